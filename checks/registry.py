@@ -657,7 +657,7 @@ def app_plays(spark, sf):
     """Plays as exported by an app: texts, some players without an answer."""
     rows = data.wide_games(spark, sf)
     whites = data.white(spark, sf)
-    rows = lookup_join(rows, data.black(spark, sf).select(F.col("card_id").alias("black_id"), F.upper("card_text").alias("black")), ["black_id"])
+    rows = lookup_join(rows, data.black(spark, sf).select(F.col("card_id").alias("black_id"), F.concat(F.lit(" "), "card_text", F.lit(" ;")).alias("black")), ["black_id"])
     for i in range(1, 6):
         texts = whites.select(F.col("card_id").alias(f"white_id_{i}"), F.concat(F.lit("  "), F.upper("card_text"), F.lit(" ")).alias(f"white_{i}"))
         rows = lookup_join(rows, texts, [f"white_id_{i}"])
