@@ -1,17 +1,22 @@
 """Game tables derived from the driver's tables; they grow with them.
 
 ``benchmark`` gives the templates, ``part`` the option cards, ``events`` the
-answers: one row each, without limits.  Card ids have twelve digits, so the
+answers: one row each, without limits.  As between the stages of an experiment,
+answers, good answers and scored options are handed over as written tables;
+each is written once per application, in the shared scratch folder.  Card ids have twelve digits, so the
 number of cards is not bounded by the id; queries pass ``ID_PATTERN`` on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
 from choicemeter.operators import answers
+from choicemeter.session import scratch_dir
 
 ID_PATTERN = "W[0-9]{12}"
 OFFSETS = (0, 53, 106, 159, 12)
@@ -24,6 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A stage's table, built and written when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{scratch_dir(spark, name)}/{name}"
+        build(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table that comes in fewer splits than there are cores; leave others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def black(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates: whole texts with a blank put in; every tenth has a second blank at its end."""
     blanked = F.regexp_replace("text", r"^([^ ]+ [^ ]+ [^ ]+) ", "$1 ____ ")
@@ -49,6 +73,10 @@ def white(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "cards", build_cards)
+
+
+def build_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of both colours in two languages."""
     both = black(spark, sf_dir).withColumn("color", F.lit("BLACK")).unionByName(
         white(spark, sf_dir).withColumn("color", F.lit("WHITE"))
@@ -57,12 +85,16 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "responses", build_responses)
+
+
+def build_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per event; ``n`` is the event's number."""
     templates = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
     options = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     n = F.col("event_id")
     parts = (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
         .select(n.alias("n"), "user_id", templates.alias("nb"), options.alias("np"))
         .select("n", "user_id", "np", (F.col("n") % F.col("nb")).alias("bn"), F.floor(F.col("n") / F.col("nb")).alias("g"))
         .withColumn("h", F.floor(F.col("g") / 9))
@@ -99,9 +131,22 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good answers, straight from the split."""
     return classified(spark, sf_dir).where("bucket = 'good'").drop("bucket", "response", "n")
 
 
+def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good answers as the next stage reads them."""
+    return written(spark, sf_dir, "winners", good)
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all offered cards as the scoring stage reads them."""
+    return written(
+        spark, sf_dir, "sentences", lambda s, d: answers.all_combinations(winners(s, d), cards(s, d))
+    )
+
+
 def with_scores(options: DataFrame) -> DataFrame:
     """Made-up scores from ids and settings, some of them missing (NaN)."""
     w, b = text.id_number("white_id"), text.id_number("black_id")
@@ -119,8 +164,12 @@ def with_scores(options: DataFrame) -> DataFrame:
 
 
 def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offered cards of the good answers with made-up scores."""
-    return with_scores(good(spark, sf_dir).select("*", F.posexplode("play").alias("pos", "white_id")))
+    """Offered cards of the good answers with made-up scores, as the analysis reads them."""
+    return written(spark, sf_dir, "combos", build_combos)
+
+
+def build_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_scores(winners(spark, sf_dir).select("*", F.posexplode("play").alias("pos", "white_id")))
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:

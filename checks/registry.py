@@ -98,7 +98,7 @@ def parse_list(spark, sf):
 
 @query
 def play_key(spark, sf):
-    rows = data.good(spark, sf)
+    rows = data.winners(spark, sf)
     return rows.select(*ROW, text.play_key("black_id", "winners").alias("play_key"))
 
 
@@ -200,13 +200,13 @@ def require_columns(spark, sf):
 
 @query
 def build_winner_sentence(spark, sf):
-    built = answers.winner_sentences(data.good(spark, sf), data.cards(spark, sf))
+    built = answers.winner_sentences(data.winners(spark, sf), data.cards(spark, sf))
     return answers.with_sentence_reason(built).select(*ROW, joined("winners"), "sentence", "reason")
 
 
 @query
 def all_combinations(spark, sf):
-    built = answers.all_combinations(data.good(spark, sf), data.cards(spark, sf))
+    built = answers.all_combinations(data.winners(spark, sf), data.cards(spark, sf))
     return built.select(*ROW, joined("winners"), "pos", "white_id", "sentence")
 
 
@@ -215,32 +215,32 @@ def all_combinations(spark, sf):
 
 @query
 def mer(spark, sf):
-    return shown(consistency.majority_election_rate(data.good(spark, sf)))
+    return shown(consistency.majority_election_rate(data.winners(spark, sf)))
 
 
 @query
 def mer_chart(spark, sf):
-    return shown(consistency.mer_chart(consistency.majority_election_rate(data.good(spark, sf))))
+    return shown(consistency.mer_chart(consistency.majority_election_rate(data.winners(spark, sf))))
 
 
 @query
 def card_victories(spark, sf):
-    return consistency.card_victories(data.good(spark, sf))
+    return consistency.card_victories(data.winners(spark, sf))
 
 
 @query
 def card_appearances(spark, sf):
-    return consistency.card_appearances(data.good(spark, sf))
+    return consistency.card_appearances(data.winners(spark, sf))
 
 
 @query
 def success_rate(spark, sf):
-    return shown(consistency.success_rate(data.good(spark, sf)))
+    return shown(consistency.success_rate(data.winners(spark, sf)))
 
 
 @query
 def top_success(spark, sf):
-    return shown(consistency.top_success(consistency.success_rate(data.good(spark, sf))))
+    return shown(consistency.top_success(consistency.success_rate(data.winners(spark, sf))))
 
 
 @query
@@ -423,8 +423,7 @@ def attach_scores(spark, sf):
 @query
 def score_sentences(spark, sf):
     """Every offered option's sentence, each distinct one scored once."""
-    built = answers.all_combinations(data.good(spark, sf), data.cards(spark, sf))
-    scored = scoring.add_scores(built, "sentence", scoring.lexicon_scorer(), ["toxicity"])
+    scored = scoring.add_scores(data.sentences(spark, sf), "sentence", scoring.lexicon_scorer(), ["toxicity"])
     return shown(scored.select(*ROW, "pos", "toxicity"))
 
 

@@ -19,13 +19,6 @@ BLACK, WHITE = "BLACK", "WHITE"
 # How one experiment cell is identified.
 CELL_KEYS = ("config", "lang", "model", "temperature", "black_id")
 
-# Table names of the stages.
-RAW_RESPONSES = "all_models_raw_responses"
-NO_ID = "all_games_no_id_detected"
-MISMATCH = "all_games_mismatch"
-WINNERS = "winners_sentences"
-COMBINATIONS = "all_combination_sentences"
-
 # The labels a run gets when its description cannot be found.
 NO_CONFIG = "ERROR: Description not found"
 NO_DESCRIPTION = "JUDGE_DESCRIPTION_MISSING"

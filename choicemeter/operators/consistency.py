@@ -80,9 +80,13 @@ def success_rate(winners: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("Success_Rate", scores.safe_ratio(F.col("victories"), F.col("appearances")))
 
 
-def top_success(rates: DataFrame, top: int = 5) -> DataFrame:
-    """The cards with the highest success rate."""
-    return rates.orderBy(F.desc("Success_Rate"), "white_id").limit(top)
+def top_success(rates: DataFrame, top: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """The cards with the highest success rate, over all or per group ``by``."""
+    order = [F.desc("Success_Rate"), F.col("white_id")]
+    if not by:
+        return rates.orderBy(*order).limit(top)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rates.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
 
 
 def with_status(options: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from choicemeter.functions import scores, text
 from choicemeter.names import ATTRIBUTES
 from choicemeter.operators.consistency import known_keys
-from choicemeter.operators.lookup import lookup_join
 
 Z_95 = 1.96
 # Width of the cells in which exact quantiles count values before ranking them.
@@ -143,7 +142,7 @@ def top_unstable(groups: DataFrame, top: int = 10) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], probabilities: dict[str, float], score: str = "toxicity", cell: float = RANK_CELL
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, for groups of any size.
+    """Count, mean, range and exact quantiles (linear interpolation), for groups of any size.
 
     The aggregate that Spark offers keeps all values of a group in one buffer.
     Here equal values are counted first, counts are added up per cell of
@@ -183,44 +182,35 @@ def exact_quantiles(
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
 
-    found: list[Column] = [F.max("_total").alias("_total")]
+    found: list[Column] = [
+        F.max("_total").alias("n"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.min("_v").alias("low"),
+        F.max("_v").alias("high"),
+    ]
     for name, rank in wanted.items():
         found += [at(F.floor(rank)).alias(f"_{name}_low"), at(F.ceil(rank)).alias(f"_{name}_high")]
     picked = ranked.groupBy(*keys).agg(*found)
-    return picked.select(
-        *keys,
-        *(
-            (
-                F.col(f"_{name}_low")
-                + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (rank - F.floor(rank))
-            ).alias(name)
-            for name, rank in wanted.items()
-        ),
-    )
+
+    def between(name: str, probability: float) -> Column:
+        rank = (F.col("n") - 1) * F.lit(float(probability))
+        below, above = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        return (below + (above - below) * (rank - F.floor(rank))).alias(name)
+
+    return picked.select(*keys, "n", "mean", "low", "high", *(between(n, p) for n, p in probabilities.items()))
 
 
 def language_risk(df: DataFrame, score: str = "toxicity", digits: int = 3) -> DataFrame:
     """Mean, median, 90th and 95th percentile per language and model, rounded."""
     keys = ["lang", "model"]
-    means = known_keys(df, keys).groupBy(*keys).agg(F.avg(scores.to_score(score)).alias("mean"))
     points = exact_quantiles(df, keys, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, score)
-    joined = lookup_join(means, points, keys)
     rounded = [scores.round_half_even(F.col(c), digits).alias(c) for c in ("mean", "p50", "p90", "p95")]
-    return joined.select(*keys, *rounded)
+    return points.select(*keys, *rounded)
 
 
 def quartiles(df: DataFrame, keys: Sequence[str], score: str = "toxicity") -> DataFrame:
     """Count, lowest, quartiles and highest score per group: what a cut violin shows."""
-    value = scores.to_score(score)
-    keys = list(keys)
-    ends = (
-        known_keys(df, keys)
-        .where(value.isNotNull())
-        .groupBy(*keys)
-        .agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    )
-    points = exact_quantiles(df, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, score)
-    return lookup_join(ends, points, keys).select(*keys, "n", "low", "q25", "q50", "q75", "high")
+    return exact_quantiles(df, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, score).drop("mean")
 
 
 def config_distribution(df: DataFrame, by_model: bool = False, score: str = "toxicity") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least one row in HOT_SHARE.  At most HOT_SHARE
-# keys can be hot, whatever the size of the table, so the set of their hashes
-# (8 bytes each) is always small enough to broadcast.
-HOT_SHARE = 1024
+# A key is hot when it has at least this many rows.  A table of n rows has at
+# most n / HOT_ROWS hot keys, and only their 8-byte hashes are broadcast: 8 MB
+# for a trillion rows.
+HOT_ROWS = 1_000_000
 
 
 def _broadcast_limit(df: DataFrame) -> int:
@@ -41,15 +41,14 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return spread_join(left, right, on, how)
 
 
-def hot_keys(df: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Hashes of the keys that hold at least one row in ``share``."""
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with at least ``hot_rows`` rows, counted exactly."""
     counts = df.groupBy(F.xxhash64(*on).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    return counts.where(F.col("_n") * share >= total).select("_hot_key")
+    return counts.where(F.col("_n") >= hot_rows).select("_hot_key")
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 64, share: int = HOT_SHARE
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 64, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Shuffle join (inner or left) in which only hot keys are salted.
 
@@ -59,7 +58,7 @@ def spread_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"spread_join supports inner and left joins, not {how!r}")
-    hot = F.broadcast(hot_keys(left, on, share).withColumn("_is_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left, on, hot_rows).withColumn("_is_hot", F.lit(True)))
     # The task number is part of the salt, so that exact copies of a row are spread too.
     plain = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     deal = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")

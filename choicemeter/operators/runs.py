@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from choicemeter.functions import scores
 from choicemeter.names import NO_CONFIG, NO_DESCRIPTION
-from choicemeter.operators.lookup import lookup_join
 
 
 def run_means(winners: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -27,7 +26,7 @@ def run_means(winners: DataFrame, files: DataFrame | None = None) -> DataFrame:
         )
     )
     if files is not None:
-        means = lookup_join(files.select(*keys).distinct(), means, keys)
+        means = files.select(*keys).distinct().join(means, keys, "left")
         empty = F.col("rows").isNull()
         means = means.withColumns(
             {c: F.when(empty, F.lit(0.0)).otherwise(F.col(c)) for c in ("mean_run_toxicity", "mean_run_severe_toxicity")}
@@ -42,7 +41,8 @@ def judge_comparison(winners: DataFrame, attributes: DataFrame, files: DataFrame
     configuration and one whose configuration has no description get a label
     of their own.
     """
-    joined = lookup_join(run_means(winners, files), attributes.select("run_id", "readable", "judge_description"), ["run_id"])
+    described_runs = attributes.select("run_id", "readable", "judge_description")
+    joined = run_means(winners, files).join(described_runs, "run_id", "left")
     description = F.when(F.coalesce(F.col("readable"), F.lit(False)), F.coalesce("judge_description", F.lit(NO_DESCRIPTION)))
     described = joined.withColumn("judge_description", F.coalesce(description, F.lit(NO_CONFIG)))
     return (
