@@ -17,7 +17,8 @@ ID_PATTERN = "W[0-9]{3}"
 BLANK_PATTERN = "__+"
 RUN_ID_PATTERN = r"run_\w+_[0-9]{2}_[0-9]{2}_[0-9]{4}_[0-9]{2}-[0-9]{2}-[0-9]{2}"
 RUN_TIME_FORMAT = "dd_MM_yyyy_HH-mm-ss"
-TRAILING_MARKS = "[.,;!]+$"
+TRAILING_MARKS = ".,;!"
+BLANKS = " \t\r\n"
 CONFIG_SUFFIX = "_configurations"
 
 
@@ -27,7 +28,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing blanks, tabs and line ends."""
-    return F.regexp_replace(_col(c), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def extract_ids(answer: Column | str, pattern: str = ID_PATTERN) -> Column:
@@ -62,7 +63,7 @@ def fill_template(template: Column | str, texts: Column) -> Column:
 
 def normalize_white(text: Column | str) -> Column:
     """Lower case, stripped, then without trailing ``.,;!`` (a blank before them stays)."""
-    return F.regexp_replace(strip(F.lower(_col(text))), TRAILING_MARKS, "")
+    return F.rtrim(strip(F.lower(_col(text))), F.lit(TRAILING_MARKS))
 
 
 def normalize_black(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ card_text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
@@ -32,6 +32,30 @@ def white_cards(cards: DataFrame) -> DataFrame:
     return usable.select("lang", F.col("card_id").alias("white_id"), F.col("card_text").alias("white_text"))
 
 
+def template_parts(cards: DataFrame) -> DataFrame:
+    """Templates as sentences are built from them: normalized and cut at their blanks.
+
+    All pattern work is done here, once per card; a row of answers only
+    concatenates.  ``head`` and ``tail`` are the texts around the first blank;
+    ``tail`` is null without a blank.
+    """
+    template = F.col("template")
+    cut = black_cards(cards).withColumn("template", text.normalize_black("black_text"))
+    return cut.select(
+        "lang",
+        "black_id",
+        F.split(template, text.BLANK_PATTERN, -1).alias("parts"),
+        F.regexp_extract_all(template, F.lit(text.BLANK_PATTERN), F.lit(0)).alias("blanks"),
+        F.get(F.split(template, text.BLANK_PATTERN, 2), F.lit(0)).alias("head"),
+        F.get(F.split(template, text.BLANK_PATTERN, 2), F.lit(1)).alias("tail"),
+    )
+
+
+def white_texts(cards: DataFrame) -> DataFrame:
+    """Option texts in the form in which they enter a sentence."""
+    return white_cards(cards).select("lang", "white_id", text.normalize_white("white_text").alias("white_text"))
+
+
 def classify_answers(responses: DataFrame, cards: DataFrame, id_pattern: str = text.ID_PATTERN) -> DataFrame:
     """Add ``winners`` and ``bucket`` (no_id, mismatch or good) to every response.
 
@@ -78,13 +102,6 @@ def most_blanks(cards: DataFrame) -> int:
     return row[0] or 0
 
 
-def _sentence(black_text: Column | str, texts: Column) -> Column:
-    """A filled template; null when the template or any text is missing."""
-    known = F.forall(texts, lambda t: t.isNotNull())
-    sentence = text.strip(text.fill_template(text.normalize_black(black_text), F.transform(texts, text.normalize_white)))
-    return F.when(known, sentence)
-
-
 def winner_sentences(good: DataFrame, cards: DataFrame, blanks: int | None = None) -> DataFrame:
     """Add the sentence that the chosen cards make, null if a card is unknown.
 
@@ -93,16 +110,17 @@ def winner_sentences(good: DataFrame, cards: DataFrame, blanks: int | None = Non
     are not shuffled and need not be grouped back together.
     """
     blanks = most_blanks(cards) if blanks is None else blanks
-    whites = white_cards(cards)
-    joined = lookup_join(good, black_cards(cards), ["lang", "black_id"])
-    slots = []
+    whites = white_texts(cards)
+    joined = lookup_join(good, template_parts(cards).drop("head", "tail"), ["lang", "black_id"])
+    pieces = [F.get("parts", F.lit(0))]
     for i in range(blanks):
         slot = f"_text_{i}"
         texts = whites.select("lang", F.col("white_id").alias("_id"), F.col("white_text").alias(slot))
         joined = lookup_join(joined.withColumn("_id", F.get("winners", F.lit(i))), texts, ["lang", "_id"]).drop("_id")
-        slots.append(slot)
-    chosen = F.slice(F.array(*slots), 1, F.size("winners")) if slots else F.array().cast("array<string>")
-    sentence = F.when(F.size("winners") <= blanks, _sentence("black_text", chosen))
+        filler = F.when(F.size("winners") > i, F.col(slot)).otherwise(F.get("blanks", F.lit(i)))
+        piece = F.concat(filler, F.get("parts", F.lit(i + 1)))
+        pieces.append(F.when((F.size("blanks") > i) | (F.size("winners") > i), piece).otherwise(""))
+    sentence = F.when(F.size("winners") <= F.size("blanks"), text.strip(F.concat(*pieces)))
     return joined.withColumn("sentence", sentence).select(*good.columns, "sentence")
 
 
@@ -112,11 +130,15 @@ def all_combinations(good: DataFrame, cards: DataFrame) -> DataFrame:
     ``pos`` is the place of the card in the play.  A template with several
     blanks has only its first one filled.
     """
-    offered = good.select("*", F.posexplode("play").alias("pos", "white_id"))
-    joined = lookup_join(offered, black_cards(cards), ["lang", "black_id"])
-    joined = lookup_join(joined, white_cards(cards), ["lang", "white_id"])
+    templates = template_parts(cards).select("lang", "black_id", "head", "tail")
+    offered = lookup_join(good, templates, ["lang", "black_id"]).select(
+        "*", F.posexplode("play").alias("pos", "white_id")
+    )
+    joined = lookup_join(offered, white_texts(cards), ["lang", "white_id"])
+    with_tail = F.concat("head", "white_text", "tail")
+    sentence = F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head"))
     kept = [c for c in good.columns if c not in ("response", "bucket")]
-    return joined.select(*kept, "pos", "white_id", _sentence("black_text", F.array("white_text")).alias("sentence"))
+    return joined.select(*kept, "pos", "white_id", text.strip(sentence).alias("sentence"))
 
 
 def with_sentence_reason(sentences: DataFrame) -> DataFrame:

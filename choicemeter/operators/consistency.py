@@ -108,7 +108,9 @@ def winner_vs_options(
     """
     scored = options.select(*keys, "iteration", "pos", "winners", "white_id", *(scores.to_score(m).alias(m) for m in measures))
     scored = with_status(scored.dropna(subset=[*keys, *measures]))
-    order = F.when(F.col("status") == "Winner", F.struct("iteration", "pos"))
+    # One number instead of a pair, so that the aggregate stays a hash aggregate.
+    place = F.shiftleft(F.col("iteration").cast("bigint"), 32) + F.col("pos")
+    order = F.when(F.col("status") == "Winner", place)
     columns: list[Column] = []
     for m in measures:
         columns += [
