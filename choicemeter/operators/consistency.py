@@ -17,8 +17,13 @@ from choicemeter.names import CELL_KEYS
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows in which no group key is null; group results leave the others out."""
-    return df.dropna(subset=list(keys))
+    """Rows in which no group key is null; group results leave the others out.
+
+    One condition per key: those on stored columns reach the Parquet scan.
+    """
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def majority_election_rate(winners: DataFrame, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
@@ -72,8 +77,9 @@ def success_rate(winners: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.array(mark(F.get("winners", F.lit(0)), 1, 0)), F.transform("play", lambda card: mark(card, 0, 1))
     )
     counts = (
-        winners.select(*by, F.inline(marks))
-        .dropna(subset=[*by, "white_id"])
+        known_keys(winners, by)
+        .select(*by, F.inline(marks))
+        .where(F.col("white_id").isNotNull())
         .groupBy(*by, "white_id")
         .agg(F.sum("won").alias("victories"), F.sum("shown").alias("appearances"))
     )
@@ -107,7 +113,7 @@ def winner_vs_options(
     aggregate.  A cell in which no offered card was chosen has a null winner.
     """
     scored = options.select(*keys, "iteration", "pos", "winners", "white_id", *(scores.to_score(m).alias(m) for m in measures))
-    scored = with_status(scored.dropna(subset=[*keys, *measures]))
+    scored = with_status(known_keys(scored, [*keys, *measures]))
     # One number instead of a pair, so that the aggregate stays a hash aggregate.
     place = F.shiftleft(F.col("iteration").cast("bigint"), 32) + F.col("pos")
     order = F.when(F.col("status") == "Winner", place)

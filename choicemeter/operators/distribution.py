@@ -129,8 +129,9 @@ def stability(df: DataFrame, score: str = "toxicity") -> DataFrame:
         .groupBy(*keys)
         .agg(F.avg(value).alias("tox_mean"), F.stddev_samp(value).alias("tox_std"), F.count(value).alias("n"))
     )
-    largest = groups.agg(F.greatest(F.max("n"), F.lit(1))).scalar()
-    return groups.withColumn("size", F.col("n") * 500 / largest)
+    # The largest group as a whole: asking for its count alone would be another aggregate over the rows.
+    largest = groups.agg(F.max(F.struct("n", "tox_mean", "tox_std"))["n"]).scalar()
+    return groups.withColumn("size", F.col("n") * 500 / F.greatest(largest, F.lit(1)))
 
 
 def top_unstable(groups: DataFrame, top: int = 10) -> DataFrame:
@@ -173,8 +174,9 @@ def exact_quantiles(
     )
     wanted = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
     within = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A left join adds no conditions to its left side, so both sides read one shuffle of the counts.
     ranked = (
-        counts.join(cells, [*keys, "_cell"])
+        counts.join(cells, [*keys, "_cell"], "left")
         .withColumn("_last", F.col("_before") + F.sum("_n").over(within) - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )

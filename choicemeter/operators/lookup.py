@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it has at least this many rows.  A table of n rows has at
 # most n / HOT_ROWS hot keys, and only their 8-byte hashes are broadcast: 8 MB
 # for a trillion rows.
 HOT_ROWS = 1_000_000
+# Tasks that share the rows of one key.
+SALTS = 32
 
 
 def _broadcast_limit(df: DataFrame) -> int:
@@ -28,17 +30,48 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_broadcast(left: DataFrame, right: DataFrame) -> bool:
+    """Whether Spark will send ``right`` to every task: its estimated size is within the session's limit."""
+    size = estimated_bytes(right)
+    return size is not None and size <= _broadcast_limit(left)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join rows to a lookup table on equal keys.
+    """Join rows to a lookup table (cards and the like) on equal keys.
 
-    The size of the lookup table decides.  Within the session's broadcast limit
-    Spark sends it to every task and ``left`` is not shuffled.  Beyond the limit
-    both sides are shuffled, with the hot keys of ``left`` spread.
+    Within the session's broadcast limit ``left`` is not shuffled.  Beyond it
+    both sides are, with every key dealt to several tasks.  Neither way reads
+    ``left`` more than once, so lookups can follow one another.
     """
-    size = estimated_bytes(right)
-    if size is not None and size <= _broadcast_limit(left):
-        return left.join(right, on, how)
-    return spread_join(left, right, on, how)
+    return left.join(right, on, how) if fits_broadcast(left, right) else salted_join(left, right, on, how)
+
+
+def match_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join rows to a table that may be as large as they are, such as one row per distinct text.
+
+    Beyond the broadcast limit only hot keys are dealt to several tasks.  They
+    are counted first, so ``left`` is read twice more for its keys; hand over a
+    written table, and do not chain these joins.
+    """
+    return left.join(right, on, how) if fits_broadcast(left, right) else spread_join(left, right, on, how)
+
+
+def _deal(left: DataFrame, salts: int) -> Column:
+    """A task number per row.  The input task is part of it, so that exact copies of a row are spread too."""
+    plain = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Shuffle join (inner or left): each key's rows go to ``salts`` tasks, each with its copy of ``right``."""
+    _check_how(how)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", _deal(left, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def _check_how(how: str) -> None:
+    if how not in ("inner", "left"):
+        raise ValueError(f"only inner and left joins can be dealt out, not {how!r}")
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -48,7 +81,7 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFram
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 64, hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Shuffle join (inner or left) in which only hot keys are salted.
 
@@ -56,17 +89,12 @@ def spread_join(
     ``right`` are repeated for each of them; all other keys are joined as they
     are.  Both sides look up the same exact hot set, so no match is lost.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"spread_join supports inner and left joins, not {how!r}")
+    _check_how(how)
     hot = F.broadcast(hot_keys(left, on, hot_rows).withColumn("_is_hot", F.lit(True)))
-    # The task number is part of the salt, so that exact copies of a row are spread too.
-    plain = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    deal = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
-
     dealt = (
         left.withColumn("_hot_key", F.xxhash64(*on))
         .join(hot, "_hot_key", "left")
-        .withColumn("_salt", F.when(F.col("_is_hot"), deal).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_is_hot"), _deal(left, salts)).otherwise(0))
         .drop("_hot_key", "_is_hot")
     )
     copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

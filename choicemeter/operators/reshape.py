@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
-from choicemeter.operators.lookup import lookup_join
+from choicemeter.operators.lookup import lookup_join, match_join
 
 
 def option_columns(df: DataFrame, prefix: str = "white_id_") -> list[str]:
@@ -42,7 +42,7 @@ def long_to_games(long: DataFrame, slots: int = 5, order: str = "ordinal") -> tu
     its rows are numbered and the window only sees groups of ``slots`` rows.
     """
     counts = long.where(F.col("black_id").isNotNull()).groupBy("black_id").agg(F.count(F.lit(1)).alias("n"))
-    fitting = lookup_join(long, counts, ["black_id"]).where(F.col("n") <= slots)
+    fitting = match_join(long, counts, ["black_id"]).where(F.col("n") <= slots)
     slot = F.row_number().over(Window.partitionBy("black_id").orderBy(order))
     numbered = fitting.select("black_id", "white_id", F.concat(F.lit("white_id_"), slot).alias("variable"))
     names = [f"white_id_{i}" for i in range(1, slots + 1)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from choicemeter.functions import scores, text
 from choicemeter.names import ATTRIBUTES
 from choicemeter.operators.answers import require_columns
-from choicemeter.operators.lookup import lookup_join
+from choicemeter.operators.lookup import match_join
 
 # A scorer takes a table whose column ``input`` holds texts and adds its score columns.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -98,11 +98,11 @@ def attach_scores(df: DataFrame, scored: DataFrame, text_col: str, score_of: str
     """Join scores to every row with the same text; rows never multiply.
 
     ``scored`` has one row per text.  A text that many rows share is dealt to
-    several tasks (see ``lookup_join``).
+    several tasks (see ``match_join``).
     """
     require_columns(df, text_col)
     keyed = df.withColumn("_input", text.score_input(text_col))
-    return lookup_join(keyed, scored.withColumnRenamed(score_of, "_input"), ["_input"]).drop("_input")
+    return match_join(keyed, scored.withColumnRenamed(score_of, "_input"), ["_input"]).drop("_input")
 
 
 def add_scores(

@@ -30,6 +30,21 @@ def test_spread_join_equals_join(skewed, how):
     assert got == expected
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_join_equals_join(skewed, how):
+    left, right = skewed
+    expected = rows(left.join(right, "k", how).select("k", "v", "w"))
+    assert rows(lookup.salted_join(left, right, ["k"], how, salts=8).select("k", "v", "w")) == expected
+
+
+def test_chained_lookups_read_the_rows_once(skewed, shuffle_joins):
+    left, right = skewed
+    for i in range(6):
+        left = lookup.lookup_join(left, right.withColumnRenamed("w", f"w{i}"), ["k"])
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3000") == 1
+
+
 def test_hot_keys_are_the_frequent_ones(skewed):
     left, _ = skewed
     hot = {r[0] for r in lookup.hot_keys(left, ["k"], 300).collect()}
