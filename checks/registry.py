@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import checks
+import choicemeter
 from checks import dataset as data
 from choicemeter.functions import scores, text
 from choicemeter.operators import answers, audit, consistency, distribution, reshape, runs, scoring, sweep, validation
@@ -18,6 +21,10 @@ from choicemeter.session import scratch_dir
 from choicemeter.sources import readers, sinks
 from choicemeter.sources.contracts import CONTRACTS, RUN_CONFIG
 
+# Functions that run in tasks travel with the job, so that workers need no copy of the repository.
+cloudpickle.register_pickle_by_value(checks)
+cloudpickle.register_pickle_by_value(choicemeter)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CELL = ["config", "lang", "model", "temperature", "black_id"]
 ROW = [*CELL[:4], "iteration", "black_id"]
