@@ -569,7 +569,7 @@ def scored_files(spark, sf) -> DataFrame:
     kinds = rows.withColumn("kind", F.explode(F.when(chosen, F.array(F.lit("winners"), F.lit("combinations"))).otherwise(F.array(F.lit("combinations")))))
     named = kinds.withColumn("name", F.concat("kind", F.lit("_detoxify_scores_"), "run_id")).drop("kind", "run_id", "prompt_type")
     sinks.write_partitioned(named, folder, ["name"])
-    return readers.route_runs(readers.scan_tagged(spark, folder, "parquet", tag="name"))
+    return readers.scan_runs(spark, folder)
 
 
 @query

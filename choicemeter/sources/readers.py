@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,14 +19,28 @@ NA_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Last part of a path that was not made by a writer: no part file, no `key=`, no extension.
-_STEM = r"([^/=]+?)(?:\.(?:csv|parquet|json))?(?:/part-[^/]*)?$"
-
-
 def file_stem(path: Column | str) -> Column:
     """Name of the file, or of the folder that a Spark writer filled, without extension."""
     decoded = F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(decoded, _STEM, 1)
+    parts = F.split(decoded, "/")
+    last = F.element_at(parts, -1)
+    named = F.when(last.startswith("part-"), F.element_at(parts, -2)).otherwise(last)
+    return F.regexp_replace(F.substring_index(named, "=", -1), r"\.(csv|parquet|json)$", "")
+
+
+def tag_files(df: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add columns that follow from the file a row lies in, worked out once per file.
+
+    ``describe`` adds them to a table with one row per ``_path`` and may drop
+    files.  The paths are fetched first (a scan that reads no column), or the
+    optimizer would move the work back to the rows.  They are the list of input
+    files, which the driver holds anyway, so their table is broadcast.
+    """
+    paths = [row[0] for row in df.select("_path").distinct().collect()]
+    listed = df.sparkSession.createDataFrame(pa.table({"_path": pa.array(paths, pa.string())}))
+    files = describe(listed)
+    added = [c for c in files.columns if c != "_path"]
+    return df.drop(*added).join(F.broadcast(files), "_path")
 
 
 def scan_csv(
@@ -79,7 +96,13 @@ def load_validated(
 def scan_tagged(spark: SparkSession, folder: str, file_type: str = "csv", tag: str = "config", columns: list[str] | None = None) -> DataFrame:
     """All files of a folder as one table, each row tagged with the name of its file."""
     df = read_table(spark, folder, file_type, columns)
-    return df.withColumn(tag, file_stem("_path")).drop("_path", "_row")
+    return tag_files(df, lambda files: files.withColumn(tag, file_stem("_path"))).drop("_path", "_row")
+
+
+def scan_runs(spark: SparkSession, folder: str, file_type: str = "parquet") -> DataFrame:
+    """Scored files of many runs as one table, routed by file name (see ``route_runs``)."""
+    df = read_table(spark, folder, file_type)
+    return tag_files(df, lambda files: route_runs(files.withColumn("name", file_stem("_path")))).drop("_path", "_row")
 
 
 def read_cards(spark: SparkSession, cards_dir: str, languages: list[str], file_type: str = "csv") -> tuple[DataFrame, DataFrame]:
