@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from choicemeter.functions.text import run_id_from_name
 from choicemeter.operators.validation import split_valid
-from choicemeter.sources.contracts import Contract, contract_for
+from choicemeter.sources.contracts import contract_for
 
 # Cell texts that count as missing.
 NA_TEXTS = (
