@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import packing, prefix_tokens, quality, repetition, simhash, webpage
+from choicemeter.llm import decontamination, line_runs, packing, prefix_tokens, quality, repetition, secrets, simhash, webpage
 from choicemeter.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +29,34 @@ def op2_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op3_decontamination(spark, sf):
+    return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op4_repetition(spark, sf):
     return repetition.repetition(table(spark, sf, "documents"))
 
 
+@query
+def op5_secrets(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+@query
+def op6_line_runs(spark, sf):
+    found = line_runs.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id",
+        F.col("_ld_n_lines").alias("n_lines"),
+        F.col("_ld_n_removed").alias("n_removed"),
+        F.length(kept).cast("long").alias("kept_chars"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_html(spark, sf):
     return webpage.extract(table(spark, sf, "pages"))

@@ -198,8 +198,8 @@ def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     stays, one stays.
     """
     found = near_duplicates(docs, radius)
-    stay = frozen(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id"), "stay")
-    same = F.col("doc_id").cast("long") == F.col("_id")
-    once = docs.join(stay.where("_rows = 1"), same, "left_semi")
-    more = docs.join(stay.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    stay = frozen(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_stay_rows")).withColumnRenamed("doc_id", "_stay_id"), "stay")
+    same = F.col("doc_id").cast("long") == F.col("_stay_id")
+    once = docs.join(stay.where("_stay_rows = 1"), same, "left_semi")
+    more = docs.join(stay.where("_stay_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
     return once.union(more).union(docs.where(F.col("doc_id").isNull()))

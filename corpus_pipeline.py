@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import packing, quality, simhash
+from choicemeter.llm import decontamination, line_runs, packing, quality, simhash
 from choicemeter.llm.common import frozen, table, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    good = found.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    good = found.where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_good_id")), "left_semi")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines."""
+    return line_runs.dedup_lines(docs).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
     ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
     ("simhash", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
     ("packing", pack_sequences),
 ]
 
