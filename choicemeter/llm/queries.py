@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import decontamination, line_runs, packing, prefix_tokens, quality, repetition, secrets, simhash, webpage
+from choicemeter.llm import decontamination, line_runs, packing, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
 from choicemeter.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op8_tokens(spark, sf):
 def op9_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_suffixes(spark, sf):
+    return suffixes.dedup_bytes(table(spark, sf, "documents"))
