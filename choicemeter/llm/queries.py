@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import decontamination, line_runs, packing, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
+from choicemeter.llm import decontamination, line_runs, oracle, packing, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
 from choicemeter.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)
 
 
 def query(build):

@@ -86,6 +86,8 @@ def test_repeat_groups_hold_all_occurrences():
     common = np.array([0, 100, 60])
     before = np.array([[ord("l")] * 68] * 3, np.int16)
     groups = list(suffixes.repeat_groups(common, before, np.array([68, 68, 68]), np.array([2, 0, 1])))
-    assert suffix and [g[1].tolist() for g in groups if len(g[1]) == 3]  # all three share 60 + 40 bytes
-    first = groups[0]
-    assert {(m, d) for m, d in zip(first[1].tolist(), first[3].tolist())} >= {(0, 100), (1, 100)}
+    _, member, need, depth = groups[0]
+    assert len(suffix) == 3
+    assert {m for m, n in zip(member.tolist(), need.tolist()) if n == 40} == {0, 1, 2}  # all share 40 + 60 bytes
+    assert {m for m, d in zip(member.tolist(), depth.tolist()) if d == 100} == {0, 1}
+    assert groups[-1][2].max() == 68  # the shared left side is followed to its end
