@@ -231,7 +231,9 @@ def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(
         F.lit('{"cards_dir": "./data", "results_dir": '),
         F.when((m == 0) & (t == 2), "7").otherwise('"./results"'),
-        F.lit(', "file_type": "csv", "languages": ["EN"], "models": ["'),
+        F.lit(', "file_type": "csv", "languages": '),
+        F.when((m == 0) & (t == 8), "[null]").otherwise('["EN"]'),
+        F.lit(', "models": ["'),
         F.col("model"),
         F.lit('"], "temperatures": ['),
         F.col("temperature").cast("string"),

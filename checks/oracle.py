@@ -228,7 +228,7 @@ sql("score_input", "", "SELECT conv_id, turn, md5(CASE WHEN turn % 5 IN (1, 2) T
 
 # --- score functions ---
 sql("numeric_coerce", "combos", f"""SELECT {ROW}, CAST(pos AS INTEGER) AS pos,
-  CASE WHEN (wn + iteration) % 5 IN (3, 4) THEN round(obscene, 6) END AS value FROM combos""")
+  CASE WHEN (wn + iteration) % 8 IN (3, 4) THEN round(obscene, 6) WHEN (wn + iteration) % 8 = 7 THEN 125e0 END AS value FROM combos""")
 sql("clip_score", "combos", f"""SELECT {ROW}, CAST(pos AS INTEGER) AS pos,
   CASE WHEN toxicity IS NOT NULL THEN round(greatest(0e0, least(1e0, toxicity * 1.4e0 - 0.2e0)), 6) END AS clipped FROM combos""")
 sql("threshold_flags", "combos", f"""SELECT {ROW}, CAST(pos AS INTEGER) AS pos,
@@ -240,10 +240,6 @@ for bucket, extra in (("no_id", "response"), ("mismatch", "array_to_string(winne
     sql(f"split_{bucket}", "classified", f"""SELECT n, {ROW}, array_to_string(play, ',') AS play, {extra}
       FROM classified WHERE bucket = '{bucket}'""")
 sql("split_counts", "classified", "SELECT bucket, count(*) AS n FROM classified GROUP BY bucket")
-sql("require_columns", "", """SELECT bucket, columns, 0::BIGINT AS n FROM (VALUES
-  ('good', 'black_id,config,iteration,lang,model,n,play,temperature,winners'),
-  ('no_id', 'black_id,config,iteration,lang,model,n,play,response,temperature'),
-  ('mismatch', 'black_id,config,iteration,lang,model,n,play,temperature,winners')) v(bucket, columns)""")
 sql("build_winner_sentence", "good white", f"""
   , texts AS (SELECT n, list(w.card_text ORDER BY i) AS t, count(*) FILTER (w.card_text IS NULL) AS missing
     FROM (SELECT n, unnest(range(1, len(winners) + 1)) AS i, unnest(winners) AS wid FROM good) LEFT JOIN white w ON wid = w.card_id GROUP BY n),
@@ -389,6 +385,7 @@ sql("validate_clean", "combos", f"SELECT {ROW}, CAST(pos AS INTEGER) AS pos, tox
 VALID = "config, CAST(iteration AS INTEGER) AS iteration, lang, model, CAST(temperature AS DOUBLE) AS temperature, black_id, play, response"
 sql("validate_split", "checkedrows", f"SELECT n, {VALID} FROM checkedrows WHERE len(errors) = 0")
 sql("validate_errors", "checkedrows", "SELECT n, 'Fila ' || (n + 2) || ' (Excel): ' || array_to_string(errors, '; ') AS message FROM checkedrows WHERE len(errors) > 0")
+sql("load_rejects", "checkedrows", "SELECT n, 'Fila (Excel): ' || array_to_string(errors, '; ') AS message, true AS numbered FROM checkedrows WHERE len(errors) > 0")
 sql("validate_status", "checkedrows", """SELECT CASE WHEN bad = 0 THEN 'success' WHEN good > 0 THEN 'partial_error' ELSE 'fatal_error' END AS status,
   CASE WHEN bad = 0 THEN 'Successful validation' ELSE 'There were found ' || bad || ' validation errors.' END AS message,
   good AS valid_rows, bad AS rejected_rows FROM (SELECT count(*) FILTER (len(errors) = 0) AS good, count(*) FILTER (len(errors) > 0) AS bad FROM checkedrows)""")
@@ -401,6 +398,27 @@ sql("drop_empty_columns", "combos", f"SELECT {ROW}, CAST(pos AS INTEGER) AS pos,
 sql("load_validated", "checkedrows", f"SELECT {VALID} FROM checkedrows WHERE len(errors) = 0")
 sql("scan_csv", "rawrows", "SELECT * EXCLUDE (n) FROM rawrows")
 sql("scan_dir_tagged", "wide", "SELECT config, lang, CAST(play_no AS VARCHAR) AS play_no, black_id, white_id_1, white_id_2, white_id_3, white_id_4, white_id_5 FROM wide")
+sql("scan_mixed_headers", "wide", """SELECT config, lang, CAST(play_no AS VARCHAR) AS play_no, black_id, white_id_1, white_id_2,
+  CASE WHEN play_no % 2 = 0 THEN white_id_3 END AS white_id_3, CASE WHEN play_no % 2 = 0 THEN white_id_4 END AS white_id_4,
+  CASE WHEN play_no % 2 = 0 THEN white_id_5 END AS white_id_5, CASE WHEN play_no % 2 = 0 THEN 'a' ELSE 'b' END AS kind FROM wide""")
+sql("cards_by_header", "cards", "SELECT lang, color, card_id, trim(card_text) AS card_text FROM cards WHERE lang = 'EN'")
+sql("prompts_from_parts", "wide black white", """
+  , p AS (SELECT config, lang, play_no, black_id, [white_id_1, white_id_2, white_id_3, white_id_4, white_id_5] AS a FROM wide),
+  q AS (SELECT *, list_max(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN a[i] IS NOT NULL THEN i ELSE 0 END)) AS n FROM p
+    WHERE len(list_filter(a, lambda x: x IS NOT NULL)) >= 2),
+  o AS (SELECT config, lang, play_no, black_id, unnest(range(1, n + 1)) AS i, unnest(a[1:n]) AS wid FROM q),
+  j AS (SELECT config, lang, play_no, black_id, string_agg('ID:' || wid || ' TEXT:' || w.card_text || ';', '' ORDER BY i) AS options,
+      count(*) FILTER (w.card_text IS NULL) AS missing FROM o LEFT JOIN white w ON wid = w.card_id GROUP BY ALL)
+  SELECT config, lang, j.black_id, CASE WHEN missing = 0 AND b.card_text IS NOT NULL THEN options END AS options,
+    CASE WHEN missing > 0 THEN 'white card not found' WHEN b.card_text IS NULL THEN 'black card not found' END AS reason
+  FROM j LEFT JOIN black b ON j.black_id = b.card_id""")
+sql("attribute_profile_runs", "combos", f"""SELECT model, {r6('avg(toxicity)', 'toxicity')}, {r6('avg(severe_toxicity)', 'severe_toxicity')},
+    {r6('avg(obscene)', 'obscene')}, CAST(NULL AS DOUBLE) AS threat, CAST(NULL AS DOUBLE) AS insult, CAST(NULL AS DOUBLE) AS identity_attack,
+    CAST(NULL AS DOUBLE) AS sexually_explicit, CAST(NULL AS DOUBLE) AS profanity, 'detoxify' AS classifier FROM combos GROUP BY model
+  UNION ALL SELECT model, {r6('avg(toxicity)', 'toxicity')}, NULL, NULL, NULL, NULL, NULL, NULL,
+    {r6('avg((wn * 13 + bnn * 7) % 97 / 100e0)', 'profanity')}, 'perspective' FROM combos GROUP BY model""")
+sql("score_trained", "", """SELECT doc_id, true AS in_range,
+  (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS fitted_on FROM documents""")
 FILES = """
   , scored AS (SELECT c.*, run_id, split_part(prompt_type, '_', 2) AS role FROM combos c
     JOIN runs r ON c.model = r.model AND abs(c.temperature - r.temperature) < 1e-9),
@@ -413,6 +431,7 @@ ATTRS = """
 sql("run_manifest", "resp runs", ATTRS + " SELECT * FROM attrs")
 sql("config_contract", "resp runs", ATTRS + """ SELECT run_id, array_to_string(list_filter([
     CASE WHEN m = 0 AND t = 2 THEN 'results_dir: Input should be a valid string' END,
+    CASE WHEN m = 0 AND t = 8 THEN 'languages: Input should be a list of strings' END,
     CASE WHEN m = 2 AND t = 5 THEN 'rounds: Input should be a valid integer' END,
     CASE WHEN m = 1 AND t = 2 THEN 'dataset_mode: Input should be one of test, all' END,
     CASE WHEN m = 1 AND t = 5 THEN 'character_description: Input should be a valid string' END], lambda x: x IS NOT NULL), '; ') AS errors
@@ -427,6 +446,10 @@ JUDGE = ATTRS + FILES + f""", means AS (SELECT run_id, role, avg(toxicity) AS mt
     role, 'detoxify' AS classifier, count(*) AS run_number, {r6('avg(mt)', 'mean_toxicity')}, {r6('avg(ms)', 'mean_severe_toxicity')}
     FROM means LEFT JOIN attrs a USING (run_id) GROUP BY 1, 2)"""
 sql("judge_comparison", "resp combos runs", JUDGE + " SELECT * FROM result")
+EMPTY = JUDGE
+for _score, _name in (("toxicity", "mt"), ("severe_toxicity", "ms")):
+    EMPTY = EMPTY.replace(f"avg({_score}) AS {_name}", f"CASE WHEN any_value(model) = 'model:2' THEN 0e0 ELSE avg({_score}) END AS {_name}")
+sql("judge_comparison_empty_run", "resp combos runs", EMPTY + " SELECT * FROM result")
 sql("judge_comparison_long", "resp combos runs", JUDGE + """ SELECT judge_description, role, classifier, unnest(['mean_toxicity', 'mean_severe_toxicity']) AS tox_type,
   unnest([mean_toxicity, mean_severe_toxicity]) AS mean_score FROM result""")
 

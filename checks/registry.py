@@ -147,9 +147,10 @@ def score_input(spark, sf):
 @query
 def numeric_coerce(spark, sf):
     rows = data.combos(spark, sf)
-    kind = (text.id_number("white_id") + F.col("iteration")) % 5
+    kind = (text.id_number("white_id") + F.col("iteration")) % 8
     raw = (
         F.when(kind == 0, "n/a").when(kind == 1, "NaN").when(kind == 2, F.lit("")).when(kind == 3, F.concat(F.lit(" "), F.col("obscene").cast("string"), F.lit(" ")))
+        .when(kind == 5, F.concat(F.col("obscene").cast("string"), F.lit("d"))).when(kind == 6, "0x1p3").when(kind == 7, "+1.25E2")
         .otherwise(F.col("obscene").cast("string"))
     )
     return shown(validation.numeric_columns(rows.select(*ROW, "pos", raw.alias("value")), ["value"]))
@@ -193,18 +194,6 @@ def split_counts(spark, sf):
     return answers.bucket_counts(data.classified(spark, sf))
 
 
-@query
-def require_columns(spark, sf):
-    """Without a response column the three tables are empty, with their columns."""
-    parts = answers.split_answers(data.responses(spark, sf).drop("response"), data.cards(spark, sf))
-    names = ("good", "no_id", "mismatch")
-    counts = [
-        p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("bucket"), F.lit(",".join(sorted(p.columns))).alias("columns"), "n")
-        for name, p in zip(names, parts)
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
-
-
 @query
 def build_winner_sentence(spark, sf):
     built = answers.winner_sentences(data.winners(spark, sf), data.cards(spark, sf))
@@ -486,7 +475,10 @@ def score_trained(spark, sf):
     docs = data.table(spark, sf, "documents").select("doc_id", "text")
     labels = data.table(spark, sf, "labels").select("doc_id", "toxic")
     model = scoring.train_scorer(docs.join(labels, "doc_id"))
-    return shown(scoring.trained_scores(model, docs).drop("text"))
+    scored = scoring.trained_scores(model, docs)
+    idf = model.stages[2]
+    # what SQL can tell: every document has a score, and the number of documents the model was fitted on
+    return scored.select("doc_id", F.col("toxicity").between(0, 1).alias("in_range"), F.lit(idf.numDocs).cast("bigint").alias("fitted_on"))
 
 
 # --- validation ----------------------------------------------------------------------
@@ -561,6 +553,70 @@ def scan_dir_tagged(spark, sf):
     return readers.scan_tagged(spark, folder, "csv", tag="config")
 
 
+@query
+def scan_mixed_headers(spark, sf):
+    """Files with five options, and files with two of them in another order, in one folder."""
+    folder = f"{scratch_dir(spark, 'games')}/games_config"
+    wide = data.wide_games(spark, sf)
+    for kind, part in (
+        ("a", wide.where("play_no % 2 = 0")),
+        ("b", wide.where("play_no % 2 = 1").select("white_id_2", "lang", "black_id", "config", "play_no", "white_id_1")),
+    ):
+        part.write.options(header=True).csv(f"{folder}/kind={kind}")
+    return readers.scan_tagged(spark, folder, "csv", tag="kind")
+
+
+@query
+def cards_by_header(spark, sf):
+    folder = scratch_dir(spark, "cards")
+    cards = data.cards(spark, sf).where("lang = 'EN'")
+    cards.where("color = 'BLACK'").select("card_id", "card_text").write.options(header=True, escape='"').csv(f"{folder}/EN/cards_texts/black_cards.csv")
+    white = cards.where("color = 'WHITE'").select(F.lit("x").alias("note"), "card_text", "card_id")
+    white.write.options(header=True, escape='"').csv(f"{folder}/EN/cards_texts/white_cards.csv")
+    return readers.read_cards(spark, folder, ["EN"])[0]
+
+
+@query
+def prompts_from_parts(spark, sf):
+    """Games of part files: a play's number starts anew in each of them."""
+    folder = scratch_dir(spark, "cards")
+    wide = data.wide_games(spark, sf).drop("play_no")
+    for lang in ("EN", "IT"):
+        own = wide.where(F.col("lang") == lang).repartition(3)
+        own.write.option("maxRecordsPerFile", 40).partitionBy("config").parquet(f"{folder}/{lang}/games_config")
+    found, _ = readers.read_games(spark, folder, ["EN", "IT"], "prompt_player", "parquet")
+    plays = sweep.play_options(found, data.cards(spark, sf))
+    usable = F.col("reason").isNull()
+    return plays.select("config", "lang", "black_id", F.when(usable, F.col("options")).alias("options"), "reason")
+
+
+@query
+def load_rejects(spark, sf):
+    """Rejected rows of text files, each with its place in its file."""
+    folder = f"{scratch_dir(spark, 'responses')}/raw_responses"
+    data.raw_rows(spark, sf).withColumnRenamed("_row", "_n").write.options(header=True, escape='"').csv(folder)
+    _, rejects = readers.load_validated(spark, folder, "csv")
+    return rejects.select(
+        F.col("_n").cast("bigint").alias("n"), F.regexp_replace("message", "^Fila [0-9]+", "Fila").alias("message"), F.col("_row").isNotNull().alias("numbered")
+    )
+
+
+@query
+def attribute_profile_runs(spark, sf):
+    """Scores of two classifiers with other attributes each, written and read back as one table."""
+    root = scratch_dir(spark, "scores")
+    rows = data.combos(spark, sf)
+    number = text.id_number("white_id") * 13 + text.id_number("black_id") * 7
+    other = rows.drop("obscene", "severe_toxicity").withColumn("profanity", number % 97 / F.lit(100.0))
+    sinks.write_scores(rows, root, "run_a", "combinations", "detoxify")
+    sinks.write_scores(other, root, "run_a", "combinations", "perspective")
+    scored = spark.read.parquet(f"{root}/scored_combinations")
+    parts = [
+        distribution.attribute_profile(scored.where(F.col("classifier") == c)).withColumn("classifier", F.lit(c)) for c in ("detoxify", "perspective")
+    ]
+    return shown(parts[0].unionByName(parts[1]))
+
+
 def scored_files(spark, sf) -> DataFrame:
     """Scored options of all runs, written and read back with the name of their file."""
     folder = f"{scratch_dir(spark, 'analysis')}/analysis_module"
@@ -626,6 +682,15 @@ def judge_comparison(spark, sf):
     return shown(compared(spark, sf))
 
 
+@query
+def judge_comparison_empty_run(spark, sf):
+    """A run that was scored and has no rows counts with mean 0."""
+    winners = scored_files(spark, sf).where(F.col("kind") == "winners")
+    files = winners.select("run_id", "role", "classifier").distinct()
+    some = winners.where(~F.col("model").isin("model:2"))
+    return shown(runs.judge_comparison(some, readers.run_attributes(manifest(spark, sf)), files))
+
+
 @query
 def judge_comparison_long(spark, sf):
     return shown(reshape.melt_means(compared(spark, sf)))

@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from choicemeter.functions.text import strip
+
 # Flag thresholds by suffix (the flags test >=), and the tail threshold.
 FLAG_THRESHOLDS = {"gt_05": 0.5, "gt_08": 0.8}
 TAIL_THRESHOLD = 0.8
 
 
+# How numbers are written.  Spark itself also reads 1d, 0.5f and 0x1p3.
+NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
+WHOLE = r"^[+-]?\d+(\.0*)?$"
+
+
+def text_number(c: Column, pattern: str = NUMBER) -> Column:
+    """Text as a double where it is written as a number; white space around it is dropped."""
+    text = strip(c)
+    return F.when(text.rlike(pattern), text.try_cast("double"))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def to_score(c: Column | str) -> Column:
     """Any value as a double; text that is no number, and NaN, become null."""
-    value = _col(c).try_cast("double")
+    column = _col(c)
+    # typeof is known when the query is planned: numbers keep no trace of the text branch
+    value = F.when(F.typeof(column) == "string", text_number(column.cast("string"))).otherwise(column.try_cast("double"))
     return F.when(~F.isnan(value), value)
 
 

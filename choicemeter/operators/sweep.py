@@ -1,7 +1,7 @@
 """Planning of a sweep: which prompts are sent to which model, how often.
 
-``games`` has config, lang, play_no, black_id and white_ids (array); the pair
-of (config, lang) and play_no names one play.
+``games`` has config, lang, play_no, black_id and white_ids (array); config, lang,
+play_no and, for configurations of several files, part name one play.
 """
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ from choicemeter.functions.prompts import render_prompt
 from choicemeter.operators.answers import black_cards, white_cards
 from choicemeter.operators.lookup import lookup_join
 
-PLAY_KEYS = ("config", "lang", "play_no")
+PLAY_KEYS = ("config", "lang", "part", "play_no")
+
+
+def play_keys(games: DataFrame) -> list[str]:
+    return [k for k in PLAY_KEYS if k in games.columns]
 
 
 def test_subset(games: DataFrame, rows: int) -> DataFrame:
@@ -26,7 +30,7 @@ def test_subset(games: DataFrame, rows: int) -> DataFrame:
     The rank filter is applied in every input task before the shuffle, so a
     large file sends few rows to the window.
     """
-    place = F.row_number().over(Window.partitionBy("lang", "config").orderBy("play_no"))
+    place = F.row_number().over(Window.partitionBy("lang", "config").orderBy(*play_keys(games)[2:]))
     return games.withColumn("_place", place).where(F.col("_place") <= rows).drop("_place")
 
 
@@ -56,16 +60,17 @@ def play_options(games: DataFrame, cards: DataFrame) -> DataFrame:
     up here, once per play.  ``reason`` says why a play cannot be used: a card
     (or an option itself) is missing.
     """
-    offered = games.select(*PLAY_KEYS, F.posexplode("white_ids").alias("pos", "white_id"))
+    keys = play_keys(games)
+    offered = games.select(*keys, F.posexplode("white_ids").alias("pos", "white_id"))
     labelled = lookup_join(offered, white_cards(cards), ["lang", "white_id"]).select(
-        *PLAY_KEYS, "pos", text.option_label("white_id", "white_text").alias("label")
+        *keys, "pos", text.option_label("white_id", "white_text").alias("label")
     )
     # A play's own options: as many as its array holds.
-    options = labelled.groupBy(*PLAY_KEYS).agg(
+    options = labelled.groupBy(*keys).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda o: o["label"]), "").alias("options"),
         F.count_if(F.col("label").isNull()).alias("_missing"),
     )
-    joined = games.join(options, list(PLAY_KEYS), "left")
+    joined = games.join(options, keys, "left")
     joined = lookup_join(joined, black_cards(cards), ["lang", "black_id"])
     reason = F.when(F.coalesce(F.col("_missing"), F.lit(0)) > 0, "white card not found").when(
         F.col("black_text").isNull(), "black card not found"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choicemeter.functions.text import strip
+from choicemeter.functions.scores import WHOLE, text_number, to_score
 from choicemeter.sources.contracts import Contract
 
 # Start of a row message, and the place of the first data row in a sheet.
@@ -27,14 +27,14 @@ def clean_nan(df: DataFrame) -> DataFrame:
 
 
 def as_number(column: Column) -> Column:
-    """A value as a double; text is stripped first, NaN counts as null."""
-    value = strip(column.cast("string")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """A value as a double; text must be written as a number, NaN counts as null."""
+    return to_score(column)
 
 
 def as_int(column: Column) -> Column:
-    """A whole number (``3``, ``'3'``, ``3.0``) as an int; anything else is null."""
-    value = as_number(column)
+    """A whole number (``3``, ``'3'``, ``3.0``) as an int; anything else is null, also the text ``1e3``."""
+    text = F.typeof(column) == "string"
+    value = F.when(text, text_number(column.cast("string"), WHOLE)).otherwise(to_score(column))
     whole = (value == F.floor(value)) & value.between(_INT_MIN, _INT_MAX)
     return F.when(whole, value).try_cast("int")
 

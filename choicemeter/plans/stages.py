@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from choicemeter.functions import text
 from choicemeter.names import ATTRIBUTES, CELL_KEYS
-from choicemeter.operators import answers, consistency, runs, scoring, sweep
+from choicemeter.operators import answers, consistency, reshape, runs, scoring, sweep, validation
 from choicemeter.plans.report import run_report
 from choicemeter.sources import readers, sinks
-from choicemeter.sources.contracts import RUN_CONFIG
+from choicemeter.sources.contracts import STAGE_CONFIGS
 
 
 def start_run(spark: SparkSession, config: Mapping, started: datetime | None = None) -> str:
@@ -27,20 +27,44 @@ def start_run(spark: SparkSession, config: Mapping, started: datetime | None = N
     value = json.dumps(config, ensure_ascii=False)
     row = spark.createDataFrame([(str(config.get("prompt_type")), started, value)], "prompt_type string, started timestamp, value string")
     named = row.select(text.run_id("prompt_type", "started").alias("run_id"), "value")
-    checked = readers.check_configs(named.select("run_id", F.try_parse_json("value").alias("config")), RUN_CONFIG).first()
-    if checked["errors"]:
-        raise ValueError("; ".join(checked["errors"]))
+    check_stage(spark, 1, config)
     sinks.write_manifest(named, f"{config['results_dir']}/manifest")
-    return checked["run_id"]
+    return named.first()["run_id"]
+
+
+def check_stage(spark: SparkSession, stage: int, config: Mapping) -> None:
+    """Refuse a stage's configuration that breaks its contract."""
+    value = json.dumps(config, ensure_ascii=False)
+    row = spark.createDataFrame([("", value)], "run_id string, value string")
+    parsed = row.select("run_id", F.try_parse_json("value").alias("config"))
+    errors = readers.check_configs(parsed, STAGE_CONFIGS[stage]).first()["errors"]
+    if errors:
+        raise ValueError("; ".join(errors))
+
+
+def card_pattern(cards: DataFrame) -> str:
+    """The pattern of the white cards' ids, so that no id is cut: one row of an aggregate."""
+    parts = cards.where(F.col("color") == "WHITE").select(
+        F.regexp_extract("card_id", "^([A-Za-z]+)([0-9]+)$", 1).alias("letters"), F.length(F.regexp_extract("card_id", "^([A-Za-z]+)([0-9]+)$", 2)).alias("digits")
+    )
+    found = parts.agg(F.collect_set("letters").alias("letters"), F.min("digits").alias("least"), F.max("digits").alias("most")).first()
+    if not found["letters"]:
+        return text.ID_PATTERN
+    if "" in found["letters"] or len(found["letters"]) > 1:
+        raise ValueError("ids of white cards must be the same letters and a number")
+    least, most = found["least"], found["most"]
+    return found["letters"][0] + (f"[0-9]{{{most}}}" if least == most else f"[0-9]{{{least},{most}}}")
 
 
 def collect_responses(
     spark: SparkSession, config: Mapping, run_id: str, respond: Callable[[str, str, float], str], tasks: int | None = None
 ) -> DataFrame:
     """Stage 1: prompt every model with every play and store the answers.  Returns the plays left out."""
-    kind = config["file_type"]
-    cards, _ = readers.read_cards(spark, config["cards_dir"], config["languages"], kind)
-    games, _ = readers.read_games(spark, config["cards_dir"], config["languages"], config["prompt_type"], kind)
+    kind, root = config["file_type"], config["results_dir"]
+    cards, card_rejects = readers.read_cards(spark, config["cards_dir"], config["languages"], kind)
+    games, game_rejects = readers.read_games(spark, config["cards_dir"], config["languages"], config["prompt_type"], kind)
+    sinks.write_rejects(validation.row_messages(card_rejects), root, run_id, "cards")
+    sinks.write_rejects(validation.row_messages(game_rejects), root, run_id, "games")
     foreign = ~F.col("lang").eqNullSafe(F.col("folder_lang"))
     own = games.where(~foreign).drop("folder_lang")
     if config["dataset_mode"] == "test":
@@ -48,20 +72,28 @@ def collect_responses(
     prompts, left_out = sweep.plan_prompts(
         own, cards, config["models"], config["temperatures"], config["rounds"], config["prompt_type"], config["character_description"]
     )
-    sinks.write_responses(sweep.batch_respond(prompts, respond, tasks), config["results_dir"], run_id)
+    sinks.write_responses(sweep.batch_respond(prompts, respond, tasks), root, run_id)
     other = games.where(foreign).drop("folder_lang").withColumn("reason", F.lit("unexpected language"))
-    return left_out.select(*other.columns).unionByName(other)
+    unused = left_out.select(*other.columns).unionByName(other)
+    sinks.write_rejects(unused, root, run_id, "plays")
+    return unused
 
 
-def build_sentences(spark: SparkSession, config: Mapping, run_id: str, id_pattern: str = text.ID_PATTERN) -> None:
-    """Stage 2: split the answers, keep the rejects, build the winners' and all other sentences."""
+def build_sentences(spark: SparkSession, config: Mapping, run_id: str, id_pattern: str | None = None) -> None:
+    """Stage 2: split the answers, keep the rejects, build the winners' and all other sentences.
+
+    The pattern of card ids follows from the cards unless it is given.  A sentence that
+    could not be built stays in its table as null, and its row with the reason among the rejects.
+    """
     root = config["results_dir"]
     cards, _ = readers.read_cards(spark, config["cards_dir"], config["languages"], config["file_type"])
     responses = run_table(spark, f"{root}/raw_responses", run_id)
-    good, no_id, mismatch = answers.split_answers(responses, cards, id_pattern)
+    good, no_id, mismatch = answers.split_answers(responses, cards, id_pattern or card_pattern(cards))
     sinks.write_rejects(no_id, root, run_id, "no_id")
     sinks.write_rejects(mismatch, root, run_id, "mismatch")
-    sinks.write_sentences(answers.winner_sentences(good, cards), root, run_id, "winners")
+    built = answers.with_sentence_reason(answers.winner_sentences(good, cards))
+    sinks.write_sentences(built.drop("reason"), root, run_id, "winners")
+    sinks.write_rejects(built.where(F.col("sentence").isNull()), root, run_id, "sentence")
     sinks.write_sentences(answers.all_combinations(good, cards), root, run_id, "combinations")
 
 
@@ -70,7 +102,7 @@ def score_sentences(
 ) -> None:
     """Stage 3: score both sentence tables with every classifier: name -> (scorer, its labels).
 
-    A row whose sentence could not be built has no text to score and is left out.
+    A row whose sentence could not be built has no text to score: stage 2 keeps it among the rejects.
     """
     for kind in ("winners", "combinations"):
         sentences = run_table(spark, f"{root}/{kind}", run_id).where(F.col("sentence").isNotNull())
@@ -114,12 +146,18 @@ def analyse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     rates = consistency.success_rate(winners, file_keys)
     cells = consistency.winner_vs_options(options, [*file_keys, *CELL_KEYS])
     attributes = readers.run_attributes(readers.read_manifest(spark, f"{root}/manifest/*"))
+    # what was scored, also where no row came of it
+    files = with_role(spark.read.parquet(f"{root}/scored_files").where("kind = 'winners'")).where(F.col("role").isNotNull())
+    compared = runs.judge_comparison(winners, attributes, files)
+    mer = consistency.majority_election_rate(winners, [*file_keys, *CELL_KEYS])
     return {
-        "mer": consistency.majority_election_rate(winners, [*file_keys, *CELL_KEYS]),
+        "mer": mer,
+        "mer_chart": consistency.mer_chart(mer),
         "success_rate": rates,
         "top_success": consistency.top_success(rates, by=file_keys),
         "winner_vs_options": cells,
         "pattern_toxicity": consistency.toxicity_pattern(cells, "toxicity", file_keys),
         "pattern_severe": consistency.toxicity_pattern(cells, "severe_toxicity", file_keys),
-        "judge_comparison": runs.judge_comparison(winners, attributes),
+        "judge_comparison": compared,
+        "judge_comparison_long": reshape.melt_means(compared),
     }

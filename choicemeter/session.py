@@ -36,9 +36,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for a written table, below the cluster's shared folder.
 
     ``spark.checkpoint.dir`` names the folder all executors see.  Only where it
-    is unset (a local run) does a temporary folder of this machine stand in.
+    is unset on a local master does a temporary folder of this machine stand in;
+    executors of a cluster could not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{label}-")

@@ -72,7 +72,7 @@ def contract_for(name: str) -> Contract:
 RUN_CONFIG = {
     "cards_dir": "string",
     "results_dir": "string",
-    "file_type": ("xlsx", "csv"),
+    "file_type": ("csv", "parquet"),
     "languages": "strings",
     "models": "strings",
     "temperatures": "doubles",

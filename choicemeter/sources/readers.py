@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from choicemeter.functions.scores import text_number
 from choicemeter.functions.text import run_id_from_name
-from choicemeter.operators.validation import split_valid
+from choicemeter.operators.validation import row_messages, split_valid
+from choicemeter.session import scratch_dir
 from choicemeter.sources.contracts import contract_for
 
 # Cell texts that count as missing.
@@ -28,84 +27,133 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_replace(F.substring_index(named, "=", -1), r"\.(csv|parquet|json)$", "")
 
 
-def tag_files(df: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Add columns that follow from the file a row lies in, worked out once per file.
+def file_part(path: Column | str) -> Column:
+    """Name of a part file below its configuration's folder; empty for a file of its own."""
+    last = F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
+    return F.when(last.startswith("part-"), last).otherwise("")
+
+
+def tag_files(df: DataFrame, tag: str) -> DataFrame:
+    """Add the name of a row's file: a few string operations, no join and no list of files."""
+    return df.withColumn(tag, file_stem("_path"))
+
+
+def headers(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """(_path, header) of every CSV file: its first line, cut into names.
 
-    ``describe`` adds them to a table with one row per ``_path`` and may drop
-    files.  The paths are fetched first (a scan that reads no column), or the
-    optimizer would move the work back to the rows.  They are the list of input
-    files, which the driver holds anyway, so their table is broadcast.
+    Only the first line of a file's first block is kept, before anything is shuffled.
+    Line ends within header names are not supported.
     """
-    paths = [row[0] for row in df.select("_path").distinct().collect()]
-    listed = df.sparkSession.createDataFrame(pa.table({"_path": pa.array(paths, pa.string())}))
-    files = describe(listed)
-    added = [c for c in files.columns if c != "_path"]
-    return df.drop(*added).join(F.broadcast(files), "_path")
+    listing = {k: options[k] for k in ("pathGlobFilter", "recursiveFileLookup") if k in options}
+    lines = spark.read.options(**listing).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
+    )
+    placed = lines.where("_start = 0").select("value", "_path", F.monotonically_increasing_id().alias("_place"))
+    first = placed.groupBy("_path").agg(F.min_by("value", "_place").alias("line"))
+    line = F.regexp_replace("line", "^\ufeff|\r$", "")
+    # a quoted name may hold separators
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    names = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c))
+    return first.select("_path", names.alias("header"))
 
 
 def scan_csv(
-    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, numbered: bool = False, **options
+    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, numbered: bool = False, multi_line: bool = True, **options
 ) -> DataFrame:
-    """CSV with a header as text columns, missing cells null.
+    """CSV with headers as text columns, missing cells null; each file is read by its own header.
+
+    One job looks the headers up.  Files with the same header need no more than that;
+    otherwise cells are picked by name through a table of (file, header), and a column that a file
+    lacks is null.  With ``columns`` only these are returned, whatever their order in the files.
 
-    Quoted cells may hold line ends.  Such files are read one per task, so
-    large inputs should come as many files.  With ``columns`` the header is not
-    read to find the schema.  ``numbered`` adds ``_row``, the place of a row in
-    its file, which only a file read by one task has.
+    With ``multi_line`` quoted cells may hold line ends, and a file is read by one task, so large
+    inputs should come as many files; without, files are split.  ``numbered`` adds ``_row``,
+    the place of a row in its file, which only a file read by one task has.
     """
-    settings = {"header": True, "multiLine": True, "escape": '"', **options}
-    reader = spark.read.options(**settings)
-    if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(path)
-    texts = df.select(
-        *(F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in df.columns),
-        F.col("_metadata.file_path").alias("_path"),
-    )
+    found = headers(spark, path, **options)
+    # the different headers, not the files
+    kinds = [r.header for r in found.select("header").distinct().collect()]
+    names = columns or list(dict.fromkeys(n for kind in sorted(kinds, key=lambda k: (-len(k), k)) for n in kind))
+    settings = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": True, **options}
+    width = max(map(len, kinds), default=0)
+    places = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
+    df = spark.read.options(**settings).schema(schema).csv(path)
+    cell = {c: F.when(~F.col(c).isin(*NA_TEXTS), F.col(c)) for c in places}
+    # the order of rows is taken where they are read
+    path_column = [F.col("_metadata.file_path").alias("_path"), *([F.monotonically_increasing_id().alias("_order")] if numbered else [])]
+    if len(kinds) <= 1:
+        kind = kinds[0] if kinds else []
+        at = {n: cell[places[i]] for i, n in reversed(list(enumerate(kind)))}
+        texts = df.select(*(at.get(n, F.lit(None).cast("string")).alias(n) for n in names), *path_column)
+    else:
+        # Written first: Spark then knows its size, and whether to broadcast it.
+        folder = f"{scratch_dir(spark, 'headers')}/headers"
+        found.write.parquet(folder)
+        table = spark.read.schema(found.schema).parquet(folder)
+        cells = df.select(F.array(*cell.values()).alias("_cells"), *path_column).join(table, "_path")
+        pick = lambda n: F.get("_cells", F.nullif(F.array_position("header", n), F.lit(0)).cast("int") - 1)
+        texts = cells.select(*(pick(n).alias(n) for n in names), "_path", *(["_order"] if numbered else []))
     if not numbered:
         return texts
     in_file = Window.partitionBy("_path").orderBy("_order")
-    return (
-        texts.withColumn("_order", F.monotonically_increasing_id())
-        .withColumn("_row", F.row_number().over(in_file).cast("bigint") - 1)
-        .drop("_order")
-    )
+    return texts.withColumn("_row", F.row_number().over(in_file).cast("bigint") - 1).drop("_order")
 
 
-def read_table(spark: SparkSession, path: str | list[str], file_type: str = "parquet", columns: list[str] | None = None) -> DataFrame:
-    """A table with ``_path``; Parquet rows also get ``_row`` from the file itself."""
+def read_table(
+    spark: SparkSession,
+    path: str | list[str],
+    file_type: str = "parquet",
+    columns: list[str] | None = None,
+    multi_line: bool = True,
+    numbered: bool = False,
+    recursive: bool = False,
+) -> DataFrame:
+    """A table with ``_path``; Parquet rows also get ``_row`` from the file itself.
+
+    Files may differ in their columns: CSV goes by each file's header, Parquet schemas are merged.
+    """
     if file_type == "csv":
-        return scan_csv(spark, path, columns)
+        return scan_csv(spark, path, columns, numbered, multi_line, recursiveFileLookup=recursive)
     if file_type == "parquet":
         row = F.col("_metadata.row_index").alias("_row")
-        return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(
+        return spark.read.options(mergeSchema=True, recursiveFileLookup=recursive).parquet(*([path] if isinstance(path, str) else path)).select(
             "*", F.col("_metadata.file_path").alias("_path"), row
         )
     raise ValueError(f"unsupported file type {file_type!r}")
 
 
 def load_validated(
-    spark: SparkSession, path: str, file_type: str = "csv", name: str | None = None
+    spark: SparkSession, path: str, file_type: str = "csv", name: str | None = None, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Read a table, pick its contract by name and split valid rows from rejects."""
+    """Read a table, pick its contract by name and split valid rows from rejects.
+
+    Rejects have ``_row``, ``errors``, ``raw`` and a ``message`` that names the row; rows of
+    CSV files that are split over tasks have no number.
+    """
     contract = contract_for(name or path.rstrip("/").rsplit("/", 1)[-1])
-    valid, rejects = split_valid(read_table(spark, path, file_type), contract)
-    return valid.drop("_path", "_row"), rejects
+    table = read_table(spark, path, file_type, multi_line=multi_line, numbered=multi_line)
+    if "_row" not in table.columns:
+        table = table.withColumn("_row", F.lit(None).cast("bigint"))
+    valid, rejects = split_valid(table, contract)
+    return valid.drop("_path", "_row"), row_messages(rejects)
 
 
-def scan_tagged(spark: SparkSession, folder: str, file_type: str = "csv", tag: str = "config", columns: list[str] | None = None) -> DataFrame:
+def scan_tagged(
+    spark: SparkSession, folder: str, file_type: str = "csv", tag: str = "config", columns: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """All files of a folder as one table, each row tagged with the name of its file."""
-    df = read_table(spark, folder, file_type, columns)
-    return tag_files(df, lambda files: files.withColumn(tag, file_stem("_path"))).drop("_path", "_row")
+    return tag_files(read_table(spark, folder, file_type, columns, multi_line), tag).drop("_path", "_row")
 
 
 def scan_runs(spark: SparkSession, folder: str, file_type: str = "parquet") -> DataFrame:
     """Scored files of many runs as one table, routed by file name (see ``route_runs``)."""
-    df = read_table(spark, folder, file_type)
-    return tag_files(df, lambda files: route_runs(files.withColumn("name", file_stem("_path")))).drop("_path", "_row")
+    return route_runs(tag_files(read_table(spark, folder, file_type), "name")).drop("_path", "_row")
 
 
-def read_cards(spark: SparkSession, cards_dir: str, languages: list[str], file_type: str = "csv") -> tuple[DataFrame, DataFrame]:
+def read_cards(
+    spark: SparkSession, cards_dir: str, languages: list[str], file_type: str = "csv", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Black and white cards of all languages as one table, and the rejected rows.
 
     Files lie in ``<cards_dir>/<lang>/cards_texts/{black,white}_cards.<file_type>``.
@@ -114,7 +162,8 @@ def read_cards(spark: SparkSession, cards_dir: str, languages: list[str], file_t
         f"{cards_dir}/{lang}/cards_texts/{color}_cards.{file_type}" for lang in languages for color in ("black", "white")
     ]
     contract = contract_for("cards")
-    valid, rejects = split_valid(read_table(spark, paths, file_type, contract.names), contract)
+    table = read_table(spark, paths, file_type, multi_line=multi_line, numbered=multi_line)
+    valid, rejects = split_valid(table, contract)
     lang = F.regexp_extract("_path", r"/([^/]+)/cards_texts/", 1).alias("lang")
     color = F.upper(F.regexp_extract("_path", r"/(black|white)_cards", 1)).alias("color")
     return valid.select(lang, color, "card_id", "card_text"), rejects
@@ -125,29 +174,32 @@ def read_games(
 ) -> tuple[DataFrame, DataFrame]:
     """All game files of all languages as one table, and the rejected rows.
 
-    Columns: config (file name), folder_lang, lang, play_no, black_id and
-    white_ids, the options in the order of their column names.
+    Columns: config (file name), folder_lang, lang, part, play_no, black_id and
+    white_ids, the options in the order of their column names.  ``play_no`` counts the rows
+    of a file; ``part`` tells the files of a configuration apart that has several.
     """
     kind = {"prompt_player": "games_config", "prompt_judge": "to_judge_config"}[prompt_type]
-    frames = [scan_csv(spark, f"{cards_dir}/{lang}/{kind}", numbered=True) for lang in languages] if file_type == "csv" else [
-        read_table(spark, f"{cards_dir}/{lang}/{kind}", file_type) for lang in languages
-    ]
-    raw = frames[0]
-    for frame in frames[1:]:
-        raw = raw.unionByName(frame, allowMissingColumns=True)
+    raw = read_table(spark, [f"{cards_dir}/{lang}/{kind}" for lang in languages], file_type, numbered=True, recursive=True)
     valid, rejects = split_valid(raw, contract_for("games"))
     options = sorted((c for c in valid.columns if c.startswith("white_id_")), key=lambda c: (len(c), c))
     games = valid.select(
         file_stem("_path").alias("config"),
         F.regexp_extract("_path", rf"/([^/]+)/{kind}/", 1).alias("folder_lang"),
         "lang",
+        file_part("_path").alias("part"),
         F.col("_row").alias("play_no"),
         "black_id",
-        F.array(*options).alias("white_ids"),
+        # the filled cells and empty ones between them; a file with fewer columns has none behind its last
+        F.slice(F.array(*options), F.lit(1), last_filled(options)).alias("white_ids"),
     )
     return games, rejects
 
 
+def last_filled(columns: list[str]) -> Column:
+    """Place of the last column that is not null, from 1."""
+    return F.greatest(F.lit(0), F.lit(0), *(F.when(F.col(c).isNotNull(), i + 1) for i, c in enumerate(columns)))
+
+
 def route_runs(df: DataFrame, name: str = "name") -> DataFrame:
     """Add ``role`` (player before judge), ``kind`` and ``classifier`` from a file name.
 
@@ -188,7 +240,7 @@ def _field_message(name: str, kind: str | tuple[str, ...]) -> Column:
     path = f"$.{name}"
     shape = F.schema_of_variant(F.try_variant_get("config", path, "variant"))
     as_text = F.try_variant_get("config", path, "string")
-    number = as_text.try_cast("double")
+    number = text_number(as_text)
     if isinstance(kind, tuple):
         fine, message = (shape == "STRING") & as_text.isin(*kind), f"Input should be one of {', '.join(kind)}"
     elif kind == "string":
@@ -198,10 +250,12 @@ def _field_message(name: str, kind: str | tuple[str, ...]) -> Column:
         fine = truth | (~shape.startswith("ARRAY") & ~shape.startswith("OBJECT") & (number == F.floor(number)))
         message = "Input should be a valid integer"
     elif kind == "strings":
-        fine, message = shape.isin("ARRAY<STRING>", "ARRAY<VOID>"), "Input should be a list of strings"
+        items = F.try_variant_get("config", path, "array<variant>")
+        texts = F.forall(items, lambda i: F.coalesce(F.schema_of_variant(i) == "STRING", F.lit(False)))
+        fine, message = shape.startswith("ARRAY") & texts, "Input should be a list of strings"
     else:
         items = F.try_variant_get("config", path, "array<string>")
-        fine = shape.startswith("ARRAY") & F.forall(items, lambda i: i.try_cast("double").isNotNull())
+        fine = shape.startswith("ARRAY") & F.forall(items, lambda i: F.coalesce(text_number(i).isNotNull(), F.lit(False)))
         message = "Input should be a list of numbers"
     return F.when(F.coalesce(fine, F.lit(False)), F.lit(None)).otherwise(F.lit(f"{name}: {message}"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicemeter.functions.text import run_id_from_name
+from choicemeter.names import ATTRIBUTES
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], file_type: str = "parquet") -> None:
@@ -25,25 +28,36 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], file_type: str =
         writer.parquet(path)
 
 
+def write_part(df: DataFrame, path: str, **values: str) -> None:
+    """Write one partition; it is replaced even by a table without rows."""
+    folder = "/".join([path, *(f"{name}={quote(value, safe='')}" for name, value in values.items())])
+    df.hint("rebalance").write.mode("overwrite").parquet(folder)
+
+
 def write_responses(responses: DataFrame, root: str, run_id: str) -> None:
-    write_partitioned(responses.withColumn("run_id", F.lit(run_id)), f"{root}/raw_responses", ["run_id"])
+    write_part(responses, f"{root}/raw_responses", run_id=run_id)
 
 
 def write_rejects(rejects: DataFrame, root: str, run_id: str, reason: str) -> None:
-    """Keep rejected rows by run and reason; no rows, no partition."""
-    tagged = rejects.withColumns({"run_id": F.lit(run_id), "reason": F.lit(reason)})
-    write_partitioned(tagged, f"{root}/rejects_{reason}", ["run_id", "reason"])
+    """Keep rejected rows by run; the table is named after the reason, which is a column, too."""
+    write_part(rejects.withColumn("reason", F.lit(reason)) if "reason" not in rejects.columns else rejects, f"{root}/rejects_{reason}", run_id=run_id)
 
 
 def write_sentences(sentences: DataFrame, root: str, run_id: str, kind: str) -> None:
     """Winners and combinations are separate tables."""
-    write_partitioned(sentences.withColumn("run_id", F.lit(run_id)), f"{root}/{kind}", ["run_id"])
+    write_part(sentences, f"{root}/{kind}", run_id=run_id)
 
 
 def write_scores(scored: DataFrame, root: str, run_id: str, kind: str, classifier: str) -> None:
-    """One table per kind for all runs; the cross-run analysis reads the same partitions."""
-    tagged = scored.withColumns({"run_id": F.lit(run_id), "classifier": F.lit(classifier)})
-    write_partitioned(tagged, f"{root}/scored_{kind}", ["classifier", "run_id"])
+    """One table per kind for all runs and classifiers, with every attribute; those a classifier lacks are null.
+
+    ``scored_files`` notes what was scored, so that a run without rows is not forgotten.
+    """
+    missing = {a: F.lit(None).cast("double") for a in ATTRIBUTES if a not in scored.columns}
+    whole = scored.withColumns({a: F.col(a).cast("double") for a in ATTRIBUTES if a in scored.columns} | missing)
+    write_part(whole, f"{root}/scored_{kind}", classifier=classifier, run_id=run_id)
+    note = scored.sparkSession.range(1).select(F.current_timestamp().alias("written"))
+    write_part(note, f"{root}/scored_files", kind=kind, classifier=classifier, run_id=run_id)
 
 
 def write_manifest(configs: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from choicemeter.operators import validation
+from choicemeter.operators import sweep, validation
 from choicemeter.sources import contracts, readers, sinks
 from tests.frames import frame
 
@@ -48,13 +48,14 @@ c,x,EN,m,0.5,,[],NA,x
 def test_csv_load(spark, tmp_path):
     path = f"{tmp_path}/raw_responses.csv"
     write(path, RAW)
-    valid, rejects = readers.load_validated(spark, path)
+    valid, found = readers.load_validated(spark, path)
     rows = valid.orderBy("iteration").collect()
     assert [(r.iteration, r.temperature) for r in rows] == [(1, 0.5), (3, 1.0)]
     assert rows[0].response == 'ID: W001\nline two, "quoted"' and "extra" not in valid.columns
     numbered = readers.scan_csv(spark, path, numbered=True)
     _, rejects = validation.split_valid(numbered, contracts.CONTRACTS["raw_responses"])
     messages = sorted(r.message for r in validation.row_messages(rejects).collect())
+    assert sorted(r.message for r in found.collect()) == messages and sorted(r._row for r in found.collect()) == [2, 3]
     assert messages == [
         "Fila 4 (Excel): iteration: Input should be a valid integer; temperature: Input should be a valid number",
         "Fila 5 (Excel): iteration: Input should be a valid integer; black_id: Input should be a valid string; response: Input should be a valid string",
@@ -131,6 +132,10 @@ CONFIG = {
         ({"cards_dir": 1, "dataset_mode": "some"}, ["cards_dir", "dataset_mode"]),
         ({"models": "m", "temperatures": ["x"], "languages": [1]}, ["languages", "models", "temperatures"]),
         ({"character_description": None}, ["character_description"]),
+        ({"languages": [None]}, ["languages"]),
+        ({"languages": ["a", None], "temperatures": ["1d"], "rounds": "2f"}, ["languages", "temperatures", "rounds"]),
+        ({"file_type": "parquet"}, []),
+        ({"file_type": "xlsx"}, ["file_type"]),
     ],
 )
 def test_config_contract(spark, change, fields):
@@ -164,6 +169,75 @@ def test_rewriting_one_run_keeps_the_others(spark, tmp_path):
     assert counts == {"r1": 1, "r2": 2}
 
 
-def test_no_rejects_no_partition(spark, tmp_path):
-    sinks.write_rejects(frame(spark, [], "a int"), str(tmp_path), "r1", "no_id")
-    assert not [d for d in os.listdir(f"{tmp_path}/rejects_no_id") if d.startswith("run_id")]
+def test_a_rerun_without_rejects_leaves_none(spark, tmp_path):
+    for count in (2, 0):
+        sinks.write_rejects(frame(spark, [(i,) for i in range(count)], "a int"), str(tmp_path), "r1", "no_id")
+        sinks.write_rejects(frame(spark, [(7,)], "a int"), str(tmp_path), "r2", "no_id")
+        kept = spark.read.parquet(f"{tmp_path}/rejects_no_id").groupBy("run_id").count().collect()
+        assert {r.run_id: r["count"] for r in kept} == ({"r1": 2, "r2": 1} if count else {"r2": 1})
+
+
+def test_files_of_other_widths_and_orders(spark, tmp_path):
+    folder = f"{tmp_path}/EN/games_config"
+    write(f"{folder}/games_10.csv", "lang,black_id,white_id_1,white_id_2,white_id_3,white_id_4\nEN,B1,W1,W2,W3,W4\n")
+    write(f"{folder}/games_5.csv", "black_id,white_id_2,white_id_1,lang\nB2,W8,W7,EN\nB3,,W7,EN\n")
+    write(f"{folder}/quoted.csv", '\ufeff"lang","black_id","white_id_1","a ""b"", c","white_id_2"\nEN,B4,W1,"x\ny",W2\n')
+    games, rejects = readers.read_games(spark, str(tmp_path), ["EN"], "prompt_player")
+    rows = sorted((r.config, r.lang, r.black_id, tuple(r.white_ids)) for r in games.collect())
+    assert rows == [
+        ("games_10", "EN", "B1", ("W1", "W2", "W3", "W4")),
+        ("games_5", "EN", "B2", ("W7", "W8")),
+        ("quoted", "EN", "B4", ("W1", "W2")),
+    ]
+    assert [(r._row, r.errors[0][-7:]) for r in rejects.collect()] == [(1, "found 1")]
+    split = readers.scan_csv(spark, [f"{folder}/games_10.csv", f"{folder}/games_5.csv"], multi_line=False)
+    assert {(r.black_id, r.white_id_1, r.white_id_4) for r in split.collect()} == {("B1", "W1", "W4"), ("B2", "W7", None), ("B3", "W7", None)}
+
+
+def test_cards_go_by_their_header(spark, tmp_path):
+    write(f"{tmp_path}/EN/cards_texts/black_cards.csv", "card_text,card_id\nI like __,B1\n")
+    write(f"{tmp_path}/EN/cards_texts/white_cards.csv", "card_id,note,card_text\nW1,x,it\nW2,x,\n")
+    cards, rejects = readers.read_cards(spark, str(tmp_path), ["EN"])
+    assert sorted((r.color, r.card_id, r.card_text) for r in cards.collect()) == [("BLACK", "B1", "I like __"), ("WHITE", "W1", "it")]
+    assert [r._row for r in rejects.collect()] == [1]
+
+
+def test_plays_of_part_files_stay_apart(spark, tmp_path):
+    for part, card in (("part-0", "W1"), ("part-1", "W2")):
+        write(f"{tmp_path}/EN/games_config/games/{part}.csv", f"lang,black_id,white_id_1,white_id_2\nEN,B1,{card},W3\n")
+    games, _ = readers.read_games(spark, f"{tmp_path}", ["EN"], "prompt_player")
+    cards = frame(spark, [("EN", "BLACK", "B1", "I __"), *(("EN", "WHITE", f"W{i}", f"t{i}") for i in (1, 2, 3))], "lang string, color string, card_id string, card_text string")
+    rows = sweep.play_options(games, cards).collect()
+    assert sorted(r.options for r in rows) == ["ID:W1 TEXT:t1;ID:W3 TEXT:t3;", "ID:W2 TEXT:t2;ID:W3 TEXT:t3;"]
+    assert {r.play_no for r in rows} == {0} and len({r.part for r in rows}) == 2
+
+
+def test_readers_hold_no_list_of_files(spark, tmp_path):
+    """Tagging is a projection: no join, and no job while planning."""
+    frame(spark, [("x", 1)], "name string, a int").write.parquet(f"{tmp_path}/winners_detoxify_scores_run_prompt_player_1_1_2025_1-1-1")
+    df = readers.scan_runs(spark, f"{tmp_path}/*")
+    assert "Join" not in df._jdf.queryExecution().toString()
+
+
+def test_scores_of_different_classifiers(spark, tmp_path):
+    sinks.write_scores(frame(spark, [("m", 0.5, 0.1)], "model string, toxicity double, obscene double"), str(tmp_path), "r1", "winners", "detoxify")
+    sinks.write_scores(frame(spark, [("m", 0.5, 0.2)], "model string, toxicity double, profanity double"), str(tmp_path), "r1", "winners", "perspective")
+    rows = {r.classifier: r for r in spark.read.parquet(f"{tmp_path}/scored_winners").collect()}
+    assert rows["detoxify"].obscene == 0.1 and rows["detoxify"].profanity is None
+    assert rows["perspective"].profanity == 0.2 and rows["perspective"].obscene is None
+
+
+@pytest.mark.parametrize("value,expected", [("1d", None), ("0.5f", None), ("0x1p3", None), ("1e3", 1000.0), (" .5 ", 0.5), ("-2.", -2.0), ("inf", float("inf")), ("nan", None), ("Infinity", float("inf")), ("1 2", None)])
+def test_number_rule(spark, value, expected):
+    df = frame(spark, [(value,)], "v string")
+    assert df.select(validation.as_number(F.col("v"))).first()[0] == expected
+    assert df.select(validation.as_int(F.col("v"))).first()[0] == (-2 if value == "-2." else None)
+
+
+def test_stage_configs(spark):
+    from choicemeter.plans import stages
+
+    stages.check_stage(spark, 3, {"run_id": "r", "run_config_dir": "d", "detoxify_model": "o", "device": "cpu", "batch_size": 64})
+    for stage, config in ((2, {"run_id": "r"}), (3, {"run_id": "r", "run_config_dir": "d", "detoxify_model": "o", "device": "cpu", "batch_size": "x"}), (5, {"analysis_dir": 1, "file_type": "csv"})):
+        with pytest.raises(ValueError):
+            stages.check_stage(spark, stage, config)
