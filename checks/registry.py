@@ -823,7 +823,8 @@ def frequency_zero_filled(spark, sf):
 
 @query
 def chi_square_uniform(spark, sf):
-    return shown(audit.chi_square_uniform(frequencies(spark, sf)))
+    ids = data.table(spark, sf, "part").agg(F.count(F.lit(1))).scalar()
+    return shown(audit.chi_square_uniform(data.long_plays(spark, sf), ids))
 
 
 @query

@@ -88,15 +88,16 @@ def frequency_zero_filled(assignments: DataFrame, id_count: Column | int, by: st
     return frame.join(counts, [by, "white_num"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def chi_square_uniform(frequencies: DataFrame, by: str = "config") -> DataFrame:
-    """Goodness of fit against the uniform distribution: statistic, degrees, p and verdict."""
-    sums = frequencies.groupBy(by).agg(
-        F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("ids"),
-        F.sum(F.col("n") * F.col("n")).alias("_squares"),
-    )
-    statistic = F.try_divide(F.col("_squares") * F.col("ids"), F.col("total")) - F.col("total")
-    tested = sums.select(by, "total", (F.col("ids") - 1).alias("degrees"), statistic.alias("statistic"))
+def chi_square_uniform(assignments: DataFrame, id_count: Column | int, by: str = "config") -> DataFrame:
+    """Goodness of fit of assigned ids against the uniform distribution: statistic, degrees, p and verdict.
+
+    Ids that do not occur add nothing to the sum of squares, so only those that do are counted.
+    """
+    counts = assignments.dropna(subset=[by, "white_num"]).groupBy(by, "white_num").agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy(by).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("_squares"))
+    ids = (id_count if isinstance(id_count, Column) else F.lit(id_count)).cast("bigint")
+    statistic = F.try_divide(F.col("_squares") * ids, F.col("total")) - F.col("total")
+    tested = sums.select(by, "total", (ids - 1).alias("degrees"), statistic.alias("statistic"))
     return tested.withColumn("p_value", chi_square_p("statistic", "degrees")).withColumn(
         "uniform", F.col("p_value") >= ALPHA
     )

@@ -164,19 +164,25 @@ def exact_quantiles(
     begin = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = (
         counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .select(
-            *keys,
-            "_cell",
-            (F.sum("_cell_n").over(begin) - F.col("_cell_n")).alias("_before"),
-            F.sum("_cell_n").over(Window.partitionBy(*keys)).alias("_total"),
+        .agg(
+            F.sum("_n").alias("_cell_n"),
+            F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
+            F.min("_v").alias("_low"),
+            F.max("_v").alias("_high"),
         )
+        .withColumn("_before", F.sum("_cell_n").over(begin) - F.col("_cell_n"))
+        .withColumn("_total", F.sum("_cell_n").over(Window.partitionBy(*keys)))
     )
     wanted = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
+    ranks = [r for rank in wanted.values() for r in (F.floor(rank), F.ceil(rank))]
+    holds = F.lit(False)
+    for rank in ranks:
+        holds |= (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_cell_n"))
+    # Two cells a probability and group at most; only their values are ranked.
+    picked_cells = cells.where(holds).select(*keys, "_cell", "_before", "_total")
     within = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A left join adds no conditions to its left side, so both sides read one shuffle of the counts.
     ranked = (
-        counts.join(cells, [*keys, "_cell"], "left")
+        counts.join(picked_cells, [*keys, "_cell"])
         .withColumn("_last", F.col("_before") + F.sum("_n").over(within) - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )
@@ -184,15 +190,13 @@ def exact_quantiles(
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
 
-    found: list[Column] = [
-        F.max("_total").alias("n"),
-        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.min("_v").alias("low"),
-        F.max("_v").alias("high"),
-    ]
+    found: list[Column] = []
     for name, rank in wanted.items():
         found += [at(F.floor(rank)).alias(f"_{name}_low"), at(F.ceil(rank)).alias(f"_{name}_high")]
-    picked = ranked.groupBy(*keys).agg(*found)
+    whole = cells.groupBy(*keys).agg(
+        F.max("_total").alias("n"), (F.sum("_sum") / F.sum("_cell_n")).alias("mean"), F.min("_low").alias("low"), F.max("_high").alias("high")
+    )
+    picked = whole.join(ranked.groupBy(*keys).agg(*found), keys)
 
     def between(name: str, probability: float) -> Column:
         rank = (F.col("n") - 1) * F.lit(float(probability))

@@ -56,17 +56,16 @@ def match_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(right, on, how) if fits_broadcast(left, right) else spread_join(left, right, on, how)
 
 
-def _deal(left: DataFrame, salts: int) -> Column:
-    """A task number per row.  The input task is part of it, so that exact copies of a row are spread too."""
-    plain = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    return F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
+def _deal(on: list[str], salts: int) -> Column:
+    """A task number per row, from its keys and its input task; other columns are not read for it."""
+    return F.pmod(F.xxhash64(*on, F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Shuffle join (inner or left): each key's rows go to ``salts`` tasks, each with its copy of ``right``."""
     _check_how(how)
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", _deal(left, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", _deal(on, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _check_how(how: str) -> None:
@@ -94,7 +93,7 @@ def spread_join(
     dealt = (
         left.withColumn("_hot_key", F.xxhash64(*on))
         .join(hot, "_hot_key", "left")
-        .withColumn("_salt", F.when(F.col("_is_hot"), _deal(left, salts)).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_is_hot"), _deal(on, salts)).otherwise(0))
         .drop("_hot_key", "_is_hot")
     )
     copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
+import types
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -67,18 +70,22 @@ def model_scorer(
     batch_size: int = BATCH_SIZE,
     aliases: Mapping[str, str] = ALIASES,
 ) -> Scorer:
-    """Scorer around a model: ``load()`` is called once per task and returns ``predict(texts)``.
+    """Scorer around a model: ``load()`` is called once per worker process and returns ``predict(texts)``.
 
-    ``labels`` are the names that ``predict`` returns.
+    ``labels`` are the names that ``predict`` returns; it sees ``batch_size`` texts at a time.
     """
+    held = f"choicemeter-model-{uuid.uuid4().hex}"
 
     def score(texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            predict = load()
+            # kept where tasks of the same process find it, outside the function that travels with each
+            models = sys.modules.setdefault("_choicemeter_models", types.ModuleType("_choicemeter_models")).__dict__
+            if held not in models:
+                models[held] = load()
             for frame in batches:
-                for start in range(0, len(frame), batch_size):
-                    part = frame.iloc[start : start + batch_size]
-                    yield part.assign(**dict(predict(part["input"].tolist())))
+                texts = frame["input"].tolist()
+                parts = [dict(models[held](texts[i : i + batch_size])) for i in range(0, len(texts), batch_size)]
+                yield frame.assign(**{label: [v for part in parts for v in part[label]] for label in labels})
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
         raw = texts.mapInPandas(run, fields + "".join(f", `{label}` double" for label in labels))
@@ -97,12 +104,15 @@ def score_distinct(df: DataFrame, text_col: str, scorer: Scorer, labels: Sequenc
 def attach_scores(df: DataFrame, scored: DataFrame, text_col: str, score_of: str = "input") -> DataFrame:
     """Join scores to every row with the same text; rows never multiply.
 
-    ``scored`` has one row per text.  A text that many rows share is dealt to
-    several tasks (see ``match_join``).
+    ``scored`` has one row per text.  Texts are matched by their MD5 digest, so that rows
+    carry their text once and the join compares 16 bytes.  A text that many rows share is
+    dealt to several tasks (see ``match_join``).
     """
     require_columns(df, text_col)
-    keyed = df.withColumn("_input", text.score_input(text_col))
-    return match_join(keyed, scored.withColumnRenamed(score_of, "_input"), ["_input"]).drop("_input")
+    digest = lambda c: F.unhex(F.md5(c))
+    keyed = df.withColumn("_digest", digest(text.score_input(text_col)))
+    given = scored.select(digest(F.col(score_of)).alias("_digest"), *(c for c in scored.columns if c != score_of))
+    return match_join(keyed, given, ["_digest"]).drop("_digest")
 
 
 def add_scores(
