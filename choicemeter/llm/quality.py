@@ -169,3 +169,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
     scored = vectors.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options: float) -> DataFrame:
+    """The rows that the classifier predicts to be of quality, with all their columns.
+
+    The model is fitted as in ``classify``; then each row is judged where it is read, so
+    texts are not shuffled and rows with a null or repeated doc_id are judged one by one.
+    """
+    model = fit(frozen(features(docs), "features"), labels, **options)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.score(statistics(*utf8(part.column("text")))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

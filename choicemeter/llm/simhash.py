@@ -45,15 +45,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row."""
+    """doc_id, digest (a hash of the text) and fp of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = [fingerprint(text) for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(fp, pa.int64())], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return slim.mapInArrow(build, "doc_id long, digest long, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -174,7 +175,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id of every row.
+    """doc_id, digest, fp and component_id of every row.
 
     A text without words (null included) has fingerprint 0 and links like any other.
     Rows with the same fingerprint are linked, so repeated rows share a component.  Rows
@@ -188,18 +189,27 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = frozen(named.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The documents that stay: of each component the one with the smallest doc_id.
 
-    Rows without doc_id can't be told apart and all stay.  Of rows with the doc_id that
-    stays, one stays.
+    Rows without doc_id can't be named and all stay.  Rows with the same doc_id are told
+    apart by their text; of several that could stay, one stays.
     """
-    found = near_duplicates(docs, radius)
-    stay = frozen(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_stay_rows")).withColumnRenamed("doc_id", "_stay_id"), "stay")
-    same = F.col("doc_id").cast("long") == F.col("_stay_id")
-    once = docs.join(stay.where("_stay_rows = 1"), same, "left_semi")
-    more = docs.join(stay.where("_stay_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.union(more).union(docs.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, radius).where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    several = frozen(
+        found.where(first).groupBy("doc_id").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_ids"
+    )
+    others = found.where(first).join(several, "doc_id").where("digest <> least")
+    copies = found.where(~first).select("doc_id", "digest").union(others.select("doc_id", "digest")).distinct()
+    # Those to go are fewer than those to stay, and those in several rows rarer still.
+    copies = frozen(copies.select(F.col("doc_id").alias("_copy_id"), F.col("digest").alias("_copy_digest")), "copies")
+    several = several.select(F.col("doc_id").alias("_again_id"))
+    number = F.col("doc_id").cast("long")
+    rest = docs.join(copies, (number == F.col("_copy_id")) & (F.xxhash64("text") == F.col("_copy_digest")), "left_anti")
+    once = rest.join(several, number == F.col("_again_id"), "left_anti")
+    more = rest.join(several, number == F.col("_again_id"), "left_semi").dropDuplicates(["doc_id"])
+    return once.union(more)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from choicemeter.llm import decontamination, line_runs, packing, quality, simhash
 from choicemeter.llm.common import frozen, table, tokenizer_path
@@ -11,9 +10,7 @@ from choicemeter.llm.common import frozen, table, tokenizer_path
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    good = found.where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_good_id")), "left_semi")
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

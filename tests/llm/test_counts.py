@@ -93,6 +93,9 @@ def test_simhash_nulls_and_repeats(spark):
     rows = simhash.near_duplicates(docs).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in rows if r.component_id is not None) == [(False, 1), (False, 7), (False, 7), (True, 7)]
     assert sorted(r.doc_id or -1 for r in simhash.keep_first(docs).collect()) == [-1, -1, -1, 1, 7]
+    # one doc_id, two texts, of which one is a copy of another document's
+    docs = documents(spark, ["a b c", "a b c", "d e f", "d e f", "g h i"], [1, 5, 5, 6, 6])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()) == [(1, "a b c"), (5, "d e f"), (6, "g h i")]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
