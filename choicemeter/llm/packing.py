@@ -15,6 +15,7 @@ Only token sums by block and source are shuffled; texts and ids stay where they
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,17 +27,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.llm.common import frozen, per_process, slices
+from choicemeter.llm.prefix_tokens import byte_letters
 
 END = 1
 MAX_QUEUES = 1024
 CACHE = 250_000
 
 
+# A word of Latin letters with ASCII marks behind it: the pattern cuts between the two.
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!\"#$%&()*+,./:;=?@^_`{|}~-]*)")
+
+
 class ChunkIds(dict):
     """Ids, as little-endian 32-bit bytes, by run of bytes without ASCII white space.
 
     The vocabulary's rules drop white space and never look across it, so the ids of a
-    text are those of its runs one after the other.
+    text are those of its runs one after the other.  Most runs are a word and marks; both
+    are kept apart, so that a word is encoded once whatever stands behind it.
     """
 
     def __init__(self, path: str):
@@ -44,12 +51,28 @@ class ChunkIds(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        value = self.words.get(word)
+        if value is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            value = self.words[word] = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+        return value
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
-        value = self[chunk] = np.array(ids, "<u4").tobytes()
+        text = chunk.decode()
+        if m := WORD.fullmatch(text):
+            value = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"")
+        else:
+            value = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = value
         return value
 
     def of(self, text: str | None) -> bytes:

@@ -129,3 +129,16 @@ def test_weights_until_a_queue_is_empty():
                 assert (window, place + i) not in spots
                 spots.add((window, place + i))
     assert len(spots) == 6300 and max(p for _, p in spots) < 128
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abcXYZÉéßİŉ\u0301'sretl12.,#&<|>end of text\x1c\x85\u00a0 \n你ﬁ")), max_size=30))
+def test_ids_of_chunks(text):
+    own = packing.chunk_ids(WORD)
+    assert own.of(text) == np.array(own.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_of_the_sample(spark):
+    own = packing.chunk_ids(WORD)
+    for r in sample(spark).collect():
+        assert own.of(r.text) == np.array(own.library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
