@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it has at least this many rows.  A table of n rows has at
-# most n / HOT_ROWS hot keys, and only their 8-byte hashes are broadcast: 8 MB
-# for a trillion rows.
+# most n / HOT_ROWS hot keys, and only their 8-byte hashes and task counts are
+# broadcast: 12 MB for a trillion rows.
 HOT_ROWS = 1_000_000
-# Tasks that share the rows of one key.
+# Tasks that share the rows of one key, at least.
 SALTS = 32
 
 
@@ -56,9 +56,9 @@ def match_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(right, on, how) if fits_broadcast(left, right) else spread_join(left, right, on, how)
 
 
-def _deal(on: list[str], salts: int) -> Column:
+def _deal(on: list[str], salts: Column | int) -> Column:
     """A task number per row, from its keys and its input task; other columns are not read for it."""
-    return F.pmod(F.xxhash64(*on, F.spark_partition_id()), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*on, F.spark_partition_id()), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -73,10 +73,14 @@ def _check_how(how: str) -> None:
         raise ValueError(f"only inner and left joins can be dealt out, not {how!r}")
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with at least ``hot_rows`` rows, counted exactly."""
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Hashes of the keys with at least ``hot_rows`` rows, counted exactly, and the tasks each is dealt to.
+
+    A key goes to ``salts`` tasks, or to more, so that none gets over ``hot_rows`` of its rows.
+    """
     counts = df.groupBy(F.xxhash64(*on).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= hot_rows).select("_hot_key")
+    tasks = F.greatest(F.lit(salts), F.ceil(F.col("_n") / hot_rows).cast("int"))
+    return counts.where(F.col("_n") >= hot_rows).select("_hot_key", tasks.alias("_salts"))
 
 
 def spread_join(
@@ -84,24 +88,24 @@ def spread_join(
 ) -> DataFrame:
     """Shuffle join (inner or left) in which only hot keys are salted.
 
-    Rows of a hot key are dealt to ``salts`` tasks and the matching rows of
+    Rows of a hot key are dealt to as many tasks as it needs and the matching rows of
     ``right`` are repeated for each of them; all other keys are joined as they
     are.  Both sides look up the same exact hot set, so no match is lost.
     """
     _check_how(how)
-    hot = F.broadcast(hot_keys(left, on, hot_rows).withColumn("_is_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left, on, hot_rows, salts))
     dealt = (
         left.withColumn("_hot_key", F.xxhash64(*on))
         .join(hot, "_hot_key", "left")
-        .withColumn("_salt", F.when(F.col("_is_hot"), _deal(on, salts)).otherwise(0))
-        .drop("_hot_key", "_is_hot")
+        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), _deal(on, F.col("_salts"))).otherwise(0))
+        .drop("_hot_key", "_salts")
     )
-    copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
     repeated = (
         right.withColumn("_hot_key", F.xxhash64(*on))
         .join(hot, "_hot_key", "left")
         .withColumn("_salt", F.explode(copies))
-        .drop("_hot_key", "_is_hot")
+        .drop("_hot_key", "_salts")
     )
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
