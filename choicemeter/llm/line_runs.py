@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = frozen(runs.groupBy("doc_id", "digest").agg(gone.alias("_ld_gone")).select(F.col("doc_id").alias("_ld_id"), F.col("digest").alias("_ld_digest"), "_ld_gone"), "removed_lines")
     rows = docs.withColumn("_ld_hash", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_hash") == F.col("_ld_digest"))
-    rows = rows.join(gone, same, "left").withColumn("_ld_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
+    # merged at every size: whether the table of removed lines is small says nothing of the next corpus
+    rows = rows.join(gone.hint("merge"), same, "left").withColumn("_ld_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
     solid = F.filter(F.transform("_ld_lines", lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_ld_solid", solid).withColumn("_ld_n", F.size("_ld_solid"))
     out = F.transform("_ld_gone", lambda i: F.get("_ld_solid", i))
