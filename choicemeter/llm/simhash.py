@@ -106,7 +106,8 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("two of four blocks agree only up to a radius of 2")
     pairs = list(combinations(range(4), 2))
     keys = nodes.select("fp", F.explode(F.array(*(F.lit(i) * (1 << 32) + block(F.col("fp"), a) * 65536 + block(F.col("fp"), b) for i, (a, b) in enumerate(pairs)))).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written, so that the join below is one of two plain shuffles, which Spark splits where a key is hot.
+    sizes = frozen(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash_key_sizes")
     shared = frozen(keys.join(sizes, "key"), "simhash_keys")
     # The other 32 bits of a large key, as 4 blocks of 8.
     rest = F.element_at(F.array(*(block(F.col("fp"), c) * 65536 + block(F.col("fp"), d) for c, d in reversed(pairs))), (F.shiftright("key", 32) + 1).cast("int"))
