@@ -69,7 +69,8 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     # the same document in repeated rows is one place
     groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(F.struct(*PLACE)).alias("last"))
     groups = groups.where(~F.col("last").eqNullSafe(F.struct(*(F.col(f"first.{c}").alias(c) for c in PLACE))))
-    return rows.join(groups.select(*keys, "first"), keys)
+    # Written, so that the join is one of two plain shuffles, which Spark splits where a line or run is hot.
+    return rows.join(frozen(groups.select(*keys, "first"), "ranked"), keys)
 
 
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
