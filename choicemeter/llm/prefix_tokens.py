@@ -25,7 +25,9 @@ from choicemeter.llm.common import per_process, slices, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters whose classes are the same in every Unicode version the two pattern engines know.
 SETTLED = regex.compile(r"[\t-\r -~ -ɏΑ-ΡΣ-ώА-я‐-‧‰-⁞€一-龥]*")
-CACHE = 400_000
+CACHE = 800_000
+# Letters of a piece after which its table so far is kept for pieces with the same begin.
+SHARED = 6
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +48,7 @@ class PieceCounts(dict):
         self.vocab = frozenset(model["vocab"])
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
+        self.begun: dict[str, tuple[list[int], list[str]]] = {}
         self.fits = lru_cache(200_000)(self._fits)
 
     def merged(self, s: str) -> list[str]:
@@ -63,23 +66,33 @@ class PieceCounts(dict):
 
     def table(self, piece: str) -> list[int]:
         """Tokens of each byte prefix of a piece, from 0 to its length."""
-        s = "".join(map(self.letters.__getitem__, piece.encode()))
-        count, last = [0], [""]
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self.longest), i):
+        return self._table("".join(map(self.letters.__getitem__, piece.encode())))[0]
+
+    def _table(self, s: str) -> tuple[list[int], list[str]]:
+        # what short prefixes have come to is shared by all pieces that begin with them
+        known = SHARED if s[:SHARED] in self.begun else 0
+        count, last = map(list.copy, self.begun[s[:SHARED]]) if known else ([0], [""])
+        vocab, fits, longest = self.vocab, self.fits, self.longest
+        for i in range(known + 1, len(s) + 1):
+            for j in range(i - longest if i > longest else 0, i):
                 token = s[j:i]
-                if token in self.vocab and self.fits(last[j], token):
+                if token in vocab and fits(last[j], token):
                     count.append(count[j] + 1)
                     last.append(token)
                     break
             else:
                 raise ValueError("a byte has no token")
-        return count
+            if i == SHARED:
+                if len(self.begun) >= CACHE // 4:
+                    self.begun.clear()
+                self.begun[s[:i]] = (count.copy(), last.copy())
+        return count, last
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        n = self[piece] = self.table(piece)[-1]
+        mapped = piece if piece.isascii() and piece.isalpha() else "".join(map(self.letters.__getitem__, piece.encode()))
+        n = self[piece] = self._table(mapped)[0][-1]
         return n
 
 
