@@ -90,7 +90,7 @@ def texts(docs: DataFrame) -> DataFrame:
     """id (null ids first), tag and text; the tag tells rows apart that share a doc_id but not the text."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     twice = frozen(slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("shared")), "shared_ids")
-    tag = F.when(F.col("shared"), F.crc32("text").bitwiseAND(0x7FFFFFFF)).otherwise(F.lit(0).cast("long"))
+    tag = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     return slim.join(twice, "id", "left").select("id", tag.alias("tag"), "text")
 
 
@@ -103,25 +103,25 @@ def sampled(rows: DataFrame) -> DataFrame:
             for part in slices(batch, "text", 1 << 18):
                 text, at, gram, around, left, right = anchors(*utf8(part.column("text")))
                 ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy()
-                found.append((gram, around, ids[text], tags[text] << 32 | at, left << 8 | right))
+                found.append((gram, around, ids[text], tags[text], at, left << 8 | right))
             if not found:
                 continue
-            key, around, ids, loc, ext = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((loc, ids, around, key))
-            key, around, ids, loc, ext = (c[order] for c in (key, around, ids, loc, ext))
+            key, around, ids, tags, loc, ext = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((loc, tags, ids, around, key))
+            key, around, ids, tags, loc, ext = (c[order] for c in (key, around, ids, tags, loc, ext))
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (around[1:] == around[:-1])
             same_place = np.zeros(len(key), bool)
-            same_place[1:] = again[1:] & (ids[1:] == ids[:-1]) & (loc[1:] == loc[:-1])
+            same_place[1:] = again[1:] & (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1]) & (loc[1:] == loc[:-1])
             # Repeats need not meet their gram: they are dealt evenly.
-            key = np.where(again, mixed(loc.astype(np.uint64) * BASE + ids.astype(np.uint64)).view(np.int64), key)
+            key = np.where(again, mixed((loc.astype(np.uint64) * BASE + tags.astype(np.uint64)) * BASE + ids.astype(np.uint64)).view(np.int64), key)
             keep = ~same_place
-            columns = (key, np.where(again, 0, around), ids, loc, np.where(again, -ext, ext))
+            columns = (key, np.where(again, 0, around), ids, tags, loc, np.where(again, -ext, ext))
             for i in range(0, len(key), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part][keep[part]]) for c in columns], ["key", "around", "id", "loc", "ext"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part][keep[part]]) for c in columns], ["key", "around", "id", "tag", "loc", "ext"])
 
-    return rows.mapInArrow(build, "key long, around long, id long, loc long, ext long")
+    return rows.mapInArrow(build, "key long, around long, id long, tag long, loc long, ext long")
 
 
 def classes(dealt: DataFrame) -> DataFrame:
@@ -130,29 +130,29 @@ def classes(dealt: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_around = pending = last_place = None
         several = False
-        names = ["id", "loc", "ext", "gram"]
+        names = ["id", "tag", "loc", "ext", "gram"]
 
-        def rows(ids, loc, ext, gram=None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(loc), pa.array(ext), pa.nulls(len(ids), pa.int64()) if gram is None else pa.array(gram)], names)
+        def rows(ids, tags, loc, ext, gram=None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(loc), pa.array(ext), pa.nulls(len(ids), pa.int64()) if gram is None else pa.array(gram)], names)
 
         for batch in batches:
-            key, around, ids, loc, ext = (batch.column(c).to_numpy() for c in ("key", "around", "id", "loc", "ext"))
+            key, around, ids, tags, loc, ext = (batch.column(c).to_numpy() for c in ("key", "around", "id", "tag", "loc", "ext"))
             known = ext < 0
             if known.any():
-                yield rows(ids[known], loc[known], -ext[known])
-                key, around, ids, loc, ext = (c[~known] for c in (key, around, ids, loc, ext))
+                yield rows(ids[known], tags[known], loc[known], -ext[known])
+                key, around, ids, tags, loc, ext = (c[~known] for c in (key, around, ids, tags, loc, ext))
             if not len(key):
                 continue
             new_key, new_class, moved = (np.ones(len(key), bool) for _ in range(3))
             new_key[1:] = key[1:] != key[:-1]
             new_class[1:] = new_key[1:] | (around[1:] != around[:-1])
-            moved[1:] = (ids[1:] != ids[:-1]) | (loc[1:] != loc[:-1])
+            moved[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (loc[1:] != loc[:-1])
             new_key[0] = key[0] != last_key
             new_class[0] = new_key[0] or around[0] != last_around
-            moved[0] = (ids[0], loc[0]) != last_place
+            moved[0] = (ids[0], tags[0], loc[0]) != last_place
             repeats = ~new_class & moved
             if repeats.any():
-                yield rows(ids[repeats], loc[repeats], ext[repeats])
+                yield rows(ids[repeats], tags[repeats], loc[repeats], ext[repeats])
             run = np.cumsum(new_key)  # 0: goes on with the last gram of the batch before
             count = np.bincount(run[new_class], minlength=run[-1] + 1)
             if count[0]:  # another class of that gram
@@ -164,16 +164,16 @@ def classes(dealt: DataFrame) -> DataFrame:
             many[0] = several
             out = new_class & many[run]
             if out.any():
-                yield rows(ids[out], loc[out], ext[out], key[out])
+                yield rows(ids[out], tags[out], loc[out], ext[out], key[out])
             if run[-1]:
                 several = bool(many[-1])
                 pending = None
                 if not several:
                     i = int(np.nonzero(new_key)[0][-1])
-                    pending = tuple(c[i : i + 1].copy() for c in (ids, loc, ext, key))
-            last_key, last_around, last_place = key[-1], around[-1], (ids[-1], loc[-1])
+                    pending = tuple(c[i : i + 1].copy() for c in (ids, tags, loc, ext, key))
+            last_key, last_around, last_place = key[-1], around[-1], (ids[-1], tags[-1], loc[-1])
 
-    return dealt.mapInArrow(scan, "id long, loc long, ext long, gram long")
+    return dealt.mapInArrow(scan, "id long, tag long, loc long, ext long, gram long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -190,25 +190,24 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The bytes around first occurrences: gram, id, loc, before (the last byte first) and suffix."""
-    wanted = firsts.groupBy("id", F.shiftright("loc", 32).alias("tag")).agg(F.collect_list(F.struct("loc", "gram")).alias("wanted"))
+    """The bytes around first occurrences: gram, id, tag, loc, before (the last byte first) and suffix."""
+    wanted = firsts.groupBy("id", "tag").agg(F.collect_list(F.struct("loc", "gram")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expand = zstandard.ZstdDecompressor().decompress
             for one in slices(batch, "data"):
                 out = []
-                for id_, data, places in zip(*(one.column(c).to_pylist() for c in ("id", "data", "wanted")), strict=True):
+                for id_, tag, data, places in zip(*(one.column(c).to_pylist() for c in ("id", "tag", "data", "wanted")), strict=True):
                     data = expand(data)
-                    for p in {(p["loc"], p["gram"]) for p in places}:
-                        at = p[0] & 0xFFFFFFFF
-                        out.append((p[1], id_, p[0], data[max(0, at - LEFT) : at][::-1], data[at : at + LENGTH]))
+                    for at, gram in {(p["loc"], p["gram"]) for p in places}:
+                        out.append((gram, id_, tag, at, data[max(0, at - LEFT) : at][::-1], data[at : at + LENGTH]))
                 if out:
                     columns = zip(*out, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "id", "loc", "before", "suffix"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "id", "tag", "loc", "before", "suffix"])
 
-    return packed(rows).join(wanted, ["id", "tag"]).select("id", "data", "wanted").mapInArrow(cut, "gram long, id long, loc long, before binary, suffix binary")
+    return packed(rows).join(wanted, ["id", "tag"]).select("id", "tag", "data", "wanted").mapInArrow(cut, "gram long, id long, tag long, loc long, before binary, suffix binary")
 
 
 def padded(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,24 +272,24 @@ def repeat_groups(common: np.ndarray, before: np.ndarray, before_size: np.ndarra
 
 
 def repeats(around: DataFrame) -> DataFrame:
-    """The places (id, loc, ext) around which a string of an earlier place repeats."""
+    """The places (id, tag, loc, ext) around which a string of an earlier place repeats."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         # a document that stands in several rows has its places once
-        place = np.stack([rows[c].to_numpy() for c in ("gram", "id", "loc")])
+        place = np.stack([rows[c].to_numpy() for c in ("gram", "id", "tag", "loc")])
         fresh = np.ones(rows.num_rows, bool)
         fresh[1:] = (place[:, 1:] != place[:, :-1]).any(0)
         rows = rows.filter(pa.array(fresh)).combine_chunks()
         suffix, suffix_size = padded(rows["suffix"].chunk(0), LENGTH)
         before, before_size = padded(rows["before"].chunk(0), LEFT)
-        gram, ids, loc = (rows[c].to_numpy() for c in ("gram", "id", "loc"))
+        gram, ids, tags, loc = (rows[c].to_numpy() for c in ("gram", "id", "tag", "loc"))
         common = np.zeros(len(gram), np.int64)
         unequal = suffix[1:] != suffix[:-1]
         common[1:] = np.where(unequal.any(1), unequal.argmax(1), LENGTH)
         common[1:] = np.minimum(common[1:], np.minimum(suffix_size[1:], suffix_size[:-1]))
         common[1:][gram[1:] != gram[:-1]] = 0
         order = np.empty(len(gram), np.int64)
-        order[np.lexsort((loc, ids))] = np.arange(len(gram))
+        order[np.lexsort((loc, tags, ids))] = np.arange(len(gram))
         left, right = np.full(len(gram), -1), np.zeros(len(gram), np.int64)
         for group, member, need, depth in repeat_groups(common, before, before_size, order):
             later = np.zeros(len(group), bool)
@@ -299,7 +298,7 @@ def repeats(around: DataFrame) -> DataFrame:
             np.maximum.at(right, member[later], depth[later])
         hit = left >= 0
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(loc[hit]), pa.array(left[hit] << 8 | right[hit])], ["id", "loc", "ext"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(tags[hit]), pa.array(loc[hit]), pa.array(left[hit] << 8 | right[hit])], ["id", "tag", "loc", "ext"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -322,33 +321,33 @@ def repeats(around: DataFrame) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    dealt = around.repartition("gram").sortWithinPartitions("gram", "suffix", "id", "loc")
-    return dealt.mapInArrow(scan, "id long, loc long, ext long")
+    dealt = around.repartition("gram").sortWithinPartitions("gram", "suffix", "id", "tag", "loc")
+    return dealt.mapInArrow(scan, "id long, tag long, loc long, ext long")
 
 
 def repeats_of_hot_grams(around: DataFrame) -> DataFrame:
     """The same for grams of too many suffixes for a task: their strings are grouped, one row each."""
     lefts = F.explode(F.sequence(F.lit(0), F.lit(LEFT))).alias("l")
-    strings = around.select("id", "loc", "suffix", "before", lefts).where(f"l <= length(before) and {LENGTH} - l <= length(suffix)")
+    strings = around.select("id", "tag", "loc", "suffix", "before", lefts).where(f"l <= length(before) and {LENGTH} - l <= length(suffix)")
     both = [F.expr("substring(before, 1, l)"), F.expr(f"substring(suffix, 1, {LENGTH} - l)")]
-    strings = strings.select("id", "loc", "l", F.xxhash64(*both).alias("h1"), F.xxhash64(F.lit(1), *both).alias("h2"))
+    strings = strings.select("id", "tag", "loc", "l", F.xxhash64(*both).alias("h1"), F.xxhash64(F.lit(1), *both).alias("h2"))
     keys = ["l", "h1", "h2"]
-    first = strings.groupBy(*keys).agg(F.min(F.struct("id", "loc")).alias("first"))
-    later = strings.join(first, keys).where("struct(id, loc) <> first")
-    return later.select("id", "loc", F.shiftleft(F.col("l").cast("long"), 8).bitwiseOR(LENGTH - F.col("l")).alias("ext"))
+    first = strings.groupBy(*keys).agg(F.min(F.struct("id", "tag", "loc")).alias("first"))
+    later = strings.join(first, keys).where("struct(id, tag, loc) <> first")
+    return later.select("id", "tag", "loc", F.shiftleft(F.col("l").cast("long"), 8).bitwiseOR(LENGTH - F.col("l")).alias("ext"))
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts, and the stretches (id, loc, ext) of them that repeat earlier strings."""
+    """The texts, and the stretches (id, tag, loc, ext) of them that repeat earlier strings."""
     rows = texts(docs)
-    dealt = sampled(rows).repartition("key").sortWithinPartitions("key", "around", "id", "loc")
+    dealt = sampled(rows).repartition("key").sortWithinPartitions("key", "around", "id", "tag", "loc")
     marks = frozen(classes(dealt), "marks")
     firsts = marks.where("gram is not null")
     hot = frozen(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram"), "hot_grams")
     found = repeats(contexts(rows, firsts.join(hot, "gram", "left_anti")))
     if not hot.isEmpty():
         found = found.union(repeats_of_hot_grams(contexts(rows, firsts.join(hot, "gram", "left_semi"))))
-    return rows, marks.where("gram is null").select("id", "loc", "ext").union(found)
+    return rows, marks.where("gram is null").select("id", "tag", "loc", "ext").union(found)
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -356,13 +355,13 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     Removed is each byte within a string of LENGTH bytes that also starts earlier: at a
     smaller doc_id, or earlier in the same text.  Null ids come first.  Rows that share a
-    doc_id (null included) but not the text are ordered by the text's CRC; rows equal in
+    doc_id (null included) but not the text are ordered by the text's 64-bit hash; rows equal in
     both are one document and come out alike.  A null or empty text has no bytes.  Long
     texts are treated whole.  An empty table gives an empty result; other columns are
     ignored.
     """
     rows, found = spans(docs)
-    pieces = found.groupBy("id", F.shiftright("loc", 32).alias("tag")).agg(F.collect_list(stretch("loc", "ext")).alias("spans"))
+    pieces = found.groupBy("id", "tag").agg(F.collect_list(stretch("loc", "ext")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -393,5 +392,4 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
 def stretch(loc: str, ext: str) -> Column:
     """Begin and end of a stretch as one number, in order of begin."""
-    at = F.col(loc).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(at - F.shiftright(ext, 8), 32).bitwiseOR(at + F.col(ext).bitwiseAND(0xFF))
+    return F.shiftleft(F.col(loc) - F.shiftright(ext, 8), 32).bitwiseOR(F.col(loc) + F.col(ext).bitwiseAND(0xFF))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -70,6 +71,17 @@ def test_null_and_repeated_ids(spark):
     assert rows == sorted([(-1, len(a), gone_self), (5, len(a), len(a)), (5, len(a), len(a)), (3, 0, 0)] + [(3, len(a + b * 2), both)] * 2)
 
 
+def test_shared_ids_with_the_same_crc(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    twice, once = letters(300) * 2, letters(600)
+    ends = {zlib.crc32((twice + e).encode()) & 0x7FFFFFFF: e for e in (letters(12) for _ in range(150_000))}
+    other = next(e for e in (letters(12) for _ in range(2_000_000)) if zlib.crc32((once + e).encode()) & 0x7FFFFFFF in ends)
+    repeats, fresh = twice + ends[zlib.crc32((once + other).encode()) & 0x7FFFFFFF], once + other
+    got = sorted(tuple(r)[1:] for r in suffixes.dedup_bytes(documents(spark, [repeats, fresh], [None, None])).collect())
+    assert got == sorted(plain([(None, text)])[0][1:] for text in (repeats, fresh))
+
+
 def test_intervals():
     text = np.frombuffer(b"banana", np.uint8)
     order = sorted(range(6), key=lambda i: text[i:].tobytes())
