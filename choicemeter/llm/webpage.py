@@ -1,9 +1,14 @@
 """Main text of web pages by two passes over their blocks.
 
 Pass one gives each block a label from its link density, length and share of stop words,
-and from the boxes it lies in (menus, footers, adverts, comments are never text; an
-article element is).  Pass two settles short and uncertain blocks: they take the label of
-their nearest decided neighbours.  One scan of the markup, linear in its length.
+and from the boxes it lies in (menus, footers, adverts, comments are no text; an article
+element is).  Pass two settles short and uncertain blocks: they take the label of their
+nearest decided neighbours.  One scan of the markup, linear in its length.
+
+Names are evidence only.  A long, dense block outside an article stays text, and an
+article with less text than the rest of the page settles nothing.  A class or id names no
+box if most of the page's text lies in it.  Where the page as a whole is poor in known
+stop words, length and links decide.
 """
 
 from __future__ import annotations
@@ -54,23 +59,34 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 LONG, SHORT, LINKS, MANY_STOPS, FEW_STOPS = 200, 70, 0.5, 0.3, 0.15
+# Letters of scripts that say in one what others say in about three.
+DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
 class Block:
     article: bool
     boxed: bool
+    named: int = -1  # the innermost box that only a class or id names
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    text: str = ""
+    size: int = 0  # without blanks
+    share: float = 0.0  # of stop words
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def measure(self) -> bool:
+        """Set what the labels go by; whether there is any text."""
+        self.text = " ".join("".join(self.parts).split())
+        if self.text:
+            words = self.text.lower().split()
+            self.size = sum(map(len, words))
+            self.share = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+        return bool(self.text)
 
 
 def box(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element holds no main text, by its name, role, class or id."""
+    """Whether an element holds no main text, by its name, role or style."""
     if name in NEVER or (name == "header" and not inside):
         return True
     for m in ATTRIBUTE.finditer(rest):
@@ -81,15 +97,22 @@ def box(name: str, rest: str, inside: bool) -> bool:
             return True
         if key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if key in ("class", "id") and name not in ("html", "body") and name not in ARTICLE and BOX.search(value):
-            return True
     return False
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks in order: text between two block-level tags."""
+def box_name(name: str, rest: str) -> bool:
+    """Whether an element's class or id is that of a box."""
+    if name in ("html", "body") or name in ARTICLE:
+        return False
+    return any(m[1].lower() in ("class", "id") and BOX.search(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest))
+
+
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks in order: text between two block-level tags; and each named box's outer one or -1."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, opens a box, opens an article
+    outer: list[int] = []
+    named = -1
+    stack: list[tuple[str, bool, bool, int]] = []  # element, opens a box, opens an article, named box around it
     boxes = articles = anchors = headings = 0
     current: Block | None = None
     at = 0
@@ -99,23 +122,24 @@ def blocks(html: str) -> list[Block]:
         if not text:
             return
         if current is None:
-            current = Block(articles > 0, boxes > 0, heading=headings > 0)
+            current = Block(articles > 0, boxes > 0, named, heading=headings > 0)
         current.parts.append(text)
         if anchors:
             current.linked += len("".join(text.split()))
 
     def close() -> None:
         nonlocal current
-        if current is not None and current.text:
+        if current is not None and current.measure():
             out.append(current)
         current = None
 
     def pop(name: str, stops: frozenset[str]) -> None:
-        nonlocal boxes, articles
+        nonlocal boxes, articles, named
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
-                for _, b, a in stack[i:]:
+                for _, b, a, _ in stack[i:]:
                     boxes, articles = boxes - b, articles - a
+                named = stack[i][3]
                 del stack[i:]
                 return
             if stack[i][0] in stops:
@@ -158,48 +182,73 @@ def blocks(html: str) -> list[Block]:
                 continue
             b, a = box(name, rest, articles > 0), name in ARTICLE or bool(re.search(r"articleBody|role\s*=\s*[\"']?(?:main|article)\b", rest))
             boxes, articles = boxes + b, articles + a
-            stack.append((name, b, a))
+            stack.append((name, b, a, named))
+            if box_name(name, rest):
+                outer.append(named)
+                named = len(outer) - 1
     close()
-    return out
+    return out, outer
 
 
-def label(block: Block, structured: bool) -> str:
-    """good, bad, near or short."""
-    text = block.text
-    size = len(text.replace(" ", ""))
-    if block.boxed or (structured and not block.article):
-        return "bad"
-    if block.linked > LINKS * size:
+def label(block: Block, worded: bool) -> str:
+    """good, bad, near or short; ``worded``: the page's stop words are known."""
+    if block.boxed or block.linked > LINKS * block.size:
         return "bad"
-    words = text.lower().split()
-    share = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    length = len(block.text)
     if block.article:
         # inside an article length or wording is enough; only short blocks wait for their neighbours
-        return "short" if len(text) < SHORT and share < MANY_STOPS else "good"
-    if len(text) < SHORT:
+        return "short" if length < SHORT and block.share < MANY_STOPS else "good"
+    if not worded:
+        length += 2 * len(DENSE.findall(block.text))
+        return "short" if length < SHORT else "good" if length > LONG else "near"
+    if length < SHORT:
         return "short"
-    if share >= MANY_STOPS:
-        return "good" if len(text) > LONG else "near"
-    return "near" if share >= FEW_STOPS else "bad"
+    if block.share >= MANY_STOPS:
+        return "good" if length > LONG else "near"
+    return "near" if block.share >= FEW_STOPS else "bad"
+
+
+def open_named_boxes(found: list[Block], labels: list[str], outer: list[int]) -> None:
+    """Mark as boxed what lies in a named box, unless the box is but a wrapper of the page's text.
+
+    A wrapper holds most of the text, and most of what lies in articles or else nine
+    tenths of all and is long: long comments on a shorter article are no wrapper, nor is
+    an advert of a few words on a page of fewer.
+    """
+    inside, in_article = [0] * len(outer), [0] * len(outer)
+    total = articles = 0
+    for block, kind in zip(found, labels, strict=True):
+        if kind in ("good", "near") or (block.article and kind == "short"):
+            total, articles = total + block.size, articles + block.size * block.article
+            if block.named >= 0:
+                inside[block.named] += block.size
+                in_article[block.named] += block.size * block.article
+    for k in range(len(outer) - 1, -1, -1):
+        if outer[k] >= 0:
+            inside[outer[k]] += inside[k]
+            in_article[outer[k]] += in_article[k]
+    closed: list[bool] = []
+    for k, around in enumerate(outer):
+        alone = 10 * inside[k] >= 9 * total and inside[k] > LONG
+        wrapper = 2 * inside[k] > total and (2 * in_article[k] > articles or alone)
+        closed.append(not wrapper or (around >= 0 and closed[around]))
+    for block in found:
+        block.boxed = block.boxed or (block.named >= 0 and closed[block.named])
 
 
 def settled(labels: list[str], found: list[Block], structured: bool) -> list[bool]:
-    """Pass two: which blocks are text."""
+    """Pass two: which blocks are text; those in articles and the others go by their own kind.  ``structured``: an article holds most of it."""
     n = len(labels)
     firm = {"good": True, "bad": False}
     # near blocks take the nearest firm label if both sides agree or one is good; short ones the nearest of all
     before: list[bool | None] = [None] * n
     after: list[bool | None] = [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        if labels[i] in firm and not found[i].boxed:
-            last = firm[labels[i]]
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] in firm and not found[i].boxed:
-            last = firm[labels[i]]
+    for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last: dict[bool, bool] = {}
+        for i in order:
+            side[i] = last.get(found[i].article)
+            if labels[i] in firm and not found[i].boxed:
+                last[found[i].article] = firm[labels[i]]
     keep = []
     for i in range(n):
         if labels[i] in firm:
@@ -209,7 +258,7 @@ def settled(labels: list[str], found: list[Block], structured: bool) -> list[boo
         if found[i].article:
             keep.append(any(around) or not around)  # an article's short lines stay unless only link lists lie around
         elif labels[i] == "near":
-            keep.append(any(around) or not around)
+            keep.append(any(around) or (not around and not structured))
         elif found[i].heading:
             keep.append(bool(after[i]))
         else:
@@ -218,9 +267,18 @@ def settled(labels: list[str], found: list[Block], structured: bool) -> list[boo
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    structured = any(b.article and not b.boxed for b in found)
-    labels = [label(b, structured) for b in found]
+    found, outer = blocks(html or "")
+    prose = [b for b in found if not b.boxed and b.linked <= LINKS * b.size]
+    # by characters: a paragraph without blanks is one word
+    worded = sum(b.share * b.size for b in prose) >= FEW_STOPS * sum(b.size for b in prose)
+    open_named_boxes(found, [label(b, worded) for b in found], outer)
+    labels = [label(b, worded) for b in found]
+    inside = sum(b.size for b, kind in zip(found, labels, strict=True) if kind != "bad" and b.article)
+    outside = sum(b.size for b, kind in zip(found, labels, strict=True) if kind in ("good", "near") and not b.article)
+    structured = inside > 0 and inside >= outside
+    if structured and not worded:
+        # length alone says too little against the article
+        labels = [kind if b.article else "bad" for b, kind in zip(found, labels, strict=True)]
     return "\n".join(b.text for b, keep in zip(found, settled(labels, found, structured), strict=True) if keep)
 
 

@@ -20,6 +20,39 @@ def test_without_article_wording_and_neighbours_decide():
     assert webpage.main_text(page).split("\n") == ["Heading", good.strip(), "Short.", good.strip()]
 
 
+GOOD = "It is the case that this text has a lot of the words that are in any text, and it is long enough to be text, too. " * 2
+
+
+def test_a_teaser_in_an_article_does_not_replace_the_text():
+    main = f"<h1>Heading</h1><p>{GOOD}</p><p>Short.</p><p>{GOOD}</p>"
+    page = f"<div>{main}</div><div><a href=a>More</a></div><article><p>Read this as well.</p></article><div>Imprint</div>"
+    assert webpage.main_text(page).split("\n") == ["Heading", GOOD.strip(), "Short.", GOOD.strip(), "Read this as well."]
+    # an article with most of the text: one long block outside stays, short ones do not
+    page = f"<article><p>{GOOD * 3}</p></article><div>Imprint</div><a href=a>Menu</a><div><p>{GOOD}</p></div>"
+    assert webpage.main_text(f"<div>Slogan</div><article><p>{GOOD}</p></article><div>Imprint</div>") == GOOD.strip()
+    assert GOOD.strip() in webpage.main_text(page).split("\n")
+
+
+def test_a_wrapper_with_the_name_of_a_box():
+    for name in ("layout has-sidebar", "no-comments", "social-sciences"):
+        inner = f"<article><p>{GOOD}</p><p>End.</p></article><div class=sidebar><p>{GOOD[:90]}</p></div>"
+        assert webpage.main_text(f"<div class='{name}'>{inner}</div>").split("\n") == [GOOD.strip(), "End."], name
+        plain = f"<p>{GOOD}</p><p>{GOOD}</p><div id=comments><p>{GOOD[:100]}</p></div>"
+        assert webpage.main_text(f"<div class='{name}'><div class='{name}'>{plain}</div></div>").split("\n") == [GOOD.strip()] * 2, name
+    talk = f"<article><p>{GOOD}</p></article><section id=comments><p>{GOOD * 4}</p></section>"
+    assert webpage.main_text(talk) == GOOD.strip()
+
+
+def test_other_languages_go_by_length_and_links():
+    russian = "Сегодня утром жители города собрались на площади, чтобы обсудить новый план развития набережной и старых кварталов. " * 2
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, aby porozmawiać o planach budowy nowego mostu przez rzekę. " * 2
+    chinese = "今天早上城市居民聚集在广场上讨论新的河岸发展计划以及旧城区的改造问题。" * 3
+    for text in (russian, polish, chinese):
+        page = f"<ul><li><a href=a>{text[:80]}</a></li></ul><p>{text}</p><p>{text[:20]}</p><p>{text}</p><div><a href=b>{text}</a></div><p>Imprint of the site</p>"
+        assert webpage.main_text(page).split("\n") == [text.strip(), text[:20].strip(), text.strip()]
+        assert webpage.main_text(f"<div>{text}</div><article><p>{text * 2}</p></article>") == (text * 2).strip()
+
+
 def test_broken_markup_and_long_pages():
     assert webpage.main_text(None) == "" and webpage.main_text("  ") == "" and webpage.main_text("<nav>x") == ""
     assert webpage.main_text("<article><p>a <b>b<!-- open <p>c") == "a b"
