@@ -7,6 +7,8 @@ carried on.  Queue s has received floor(w * Q[s]) - floor(w * Q[s-1]) tokens aft
 windows, Q being the running sum of quanta in queue order, so the carried deficits are
 the fractions of w * Q and never exceed one token, a window is always full, and any
 task knows the state of all queues at any window without replaying the ones before.
+Small sources share a queue, the pool, and are dealt inside it round by round; their running sums are
+computed and joined in Spark.
 
 The stream of a queue is ordered by the blocks in which the token table was written.
 Only token sums by block and source are shuffled; texts and ids stay where they are.
@@ -31,6 +33,7 @@ from choicemeter.llm.prefix_tokens import byte_letters
 
 END = 1
 MAX_QUEUES = 1024
+PARTS = 4096
 CACHE = 250_000
 
 
@@ -124,7 +127,7 @@ class Phase:
 
 @dataclass
 class Plan:
-    """Which tokens of each queue lie in which window; at most MAX_QUEUES + 1 queues."""
+    """Which tokens of each queue lie in which window; at most MAX_QUEUES + 1 queues, or one more than weights are given."""
 
     totals: list[int]
     weights: list[int]
@@ -213,13 +216,59 @@ class Plan:
             place, length = place + n, length - n
 
 
+def interleaved(low: int, n: int, total: int, step: int, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """(place in the pool, tokens) of the tokens [begin, end) of a source that has ``low`` tokens of others before it.
+
+    Token g of all the pool's tokens, source after source, lies in the round whose number is
+    g's last bits reversed, so that any run of tokens is spread evenly over the rounds, and
+    a source of less than a token a round too.
+    """
+    bits = max(0, (-(-total // step) - 1).bit_length())
+    rounds = 1 << bits
+
+    def bound(w: int, tokens: int) -> int:
+        """How many of the first ``tokens`` lie in the first ``w`` rounds."""
+        count, rest = tokens // rounds * w, tokens % rounds
+        if w == rounds:
+            return count + rest
+        low_bits = 0  # of the tokens whose round agrees with w so far
+        for i in range(bits):
+            if w >> (bits - 1 - i) & 1:
+                count += max(0, rest - low_bits + (2 << i) - 1 >> i + 1)
+                low_bits |= 1 << i
+        return count
+
+    def given(w: int) -> int:
+        return bound(w, low + n) - bound(w, low)
+
+    while begin < end:
+        w = bisect.bisect_right(range(1, rounds + 1), begin, key=given)
+        stop = min(end, given(w + 1))
+        yield bound(w, total) + bound(w + 1, low) - bound(w, low) + begin - given(w), stop - begin
+        begin = stop
+
+
+def running_sums(sums: DataFrame) -> DataFrame:
+    """(source, low, size): the tokens of each source and of those before it, in order of a hash."""
+    parts = frozen(sums.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(PARTS)).cast("int")), "pooled_sources")
+    low, lows = 0, []
+    for r in sorted(parts.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # at most PARTS rows
+        lows.append((r.part, low))
+        low += r.n
+    table = sums.sparkSession.createDataFrame(lows, "part int, begin long")
+    inner = F.sum("n").over(Window.partitionBy("part").orderBy("source")) - F.col("n")
+    return parts.withColumn("inner", inner).join(F.broadcast(table), "part").select("source", (F.col("begin") + F.col("inner")).alias("low"), F.col("n").alias("size"))
+
+
 def pack(docs: DataFrame, path: str, size: int = 2048, window_sequences: int = 16, weights: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all documents in sequences of ``size`` tokens (a power of two).
 
     Every document is its ids and an end id; pieces lie gapless in sequences, each id in
     one piece.  All sequences are full but the last few, which are powers of two.
     ``weights`` sets the target proportions by source, else they are the sources' shares
-    of all tokens.  Sources with less than a window's share / MAX_QUEUES are one queue.
+    of all tokens.  Without weights the sources with less than 1 / MAX_QUEUES of all tokens
+    are one queue, else those without a weight, which have the least weight together; each
+    has its share of every round of that queue, which is what a window holds of it.
 
     Null text: only the end id.  Null source: the source ''.  Null and repeated doc_ids
     and repeated rows are packed row by row.  An empty table gives no piece.  Other
@@ -233,48 +282,53 @@ def pack(docs: DataFrame, path: str, size: int = 2048, window_sequences: int = 1
     if weights is None:
         named = sums.where(F.col("n") * MAX_QUEUES >= total)
     else:
-        top = sorted(weights, key=lambda k: (-weights[k], k))[:MAX_QUEUES]
-        named = sums.where(F.col("source").isin(top))
-    # At most MAX_QUEUES rows: each has at least 1 / MAX_QUEUES of all tokens, or is named in ``weights``.
+        named = sums.where(F.col("source").isin([*weights]))
+    # At most MAX_QUEUES rows: each has at least 1 / MAX_QUEUES of all tokens; or those named in ``weights``.
     rows = sorted((r.source, r.n) for r in named.collect())
+    others = total - sum(n for _, n in rows)
+    if weights is None and rows and 0 < others * MAX_QUEUES < total:
+        rows.remove(min(rows, key=lambda row: (row[1], row[0])))  # too little for a queue of its own
     queues = {source: i for i, (source, _) in enumerate(rows)}
     counts = [n for _, n in rows]
-    others = total - sum(counts)
-    pool = len(queues)
-    if queues and others * MAX_QUEUES < total:
-        pool, counts[0] = 0, counts[0] + others  # too little for a queue of its own
-    else:
-        counts.append(others)
-    shares = counts
+    shares = counts if weights is None else [weights[s] for s, _ in rows]
+    pool, others, window = len(queues), total - sum(counts), size * window_sequences
+    if others:
+        least = others if weights is None else min(weights.values(), default=1)
+        counts, shares = [*counts, others], [*shares, least]
+        step = max(1, -(-window * least // (sum(shares) or 1)))
     if weights is not None:
-        shares = [weights[s] for s, _ in rows] + [min(weights.values(), default=1)] * (len(counts) - len(rows))
-        shares = [max(w, -(-sum(shares) // MAX_QUEUES)) for w in shares]
-    plan = Plan(counts, shares, size * window_sequences)
+        shares = [max(w, -(-sum(shares) // window)) for w in shares]  # a queue gives a token a window at least
+    plan = Plan(counts, shares, window)
 
     spark = docs.sparkSession
     queue_table = spark.createDataFrame([*queues.items()], "source string, queue int") if queues else spark.range(0).selectExpr("'' as source", "0 as queue")
     placed = by_source.join(F.broadcast(queue_table), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(pool)))
-    blocks = placed.groupBy("queue", "block").agg(F.sum("n").alias("n"))
-    blocks = blocks.select("queue", "block", (F.sum("n").over(Window.partitionBy("queue").orderBy("block")) - F.col("n")).alias("base"))
-    inner = F.sum("n").over(Window.partitionBy("queue", "block").orderBy("source")) - F.col("n")
-    starts = placed.withColumn("inner", inner).join(blocks, ["queue", "block"])
-    starts = frozen(starts.select("source", "block", "queue", (F.col("base") + F.col("inner")).alias("base")), "queue_starts")
+    starts = placed.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")).drop("n")
+    if others:
+        starts = starts.join(running_sums(sums.join(F.broadcast(queue_table), "source", "left_anti")), "source", "left")
+    else:
+        starts = starts.selectExpr("*", "0L as low", "0L as size")
+    starts = frozen(starts.select("source", "block", "queue", "base", "low", "size"), "queue_starts")
+
+    def runs(queue: int, low: int, size: int, begin: int, n: int) -> Iterator[tuple[int, int]]:
+        return interleaved(low, size, others, step, begin, begin + n) if queue == pool else iter([(begin, n)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids"):
                 out: list[tuple] = []
-                columns = (part.column(c).to_pylist() for c in ("doc_id", "queue", "begin", "n", "ids"))
-                for doc_id, queue, begin, n, ids in zip(*columns, strict=True):
-                    for window, place, a, b in plan.cells(queue, begin, begin + n):
-                        for sequence, offset, count in plan.sequences(window, place, b - a, size):
-                            at = a - begin
-                            out.append((doc_id, at, count, zlib.crc32(ids[4 * at : 4 * (at + count)]), n, sequence, offset, queue))
-                            a += count
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "queue", "low", "size", "begin", "n", "ids"))
+                for doc_id, queue, low, tokens_of_source, begin, n, ids in zip(*columns, strict=True):
+                    at = 0
+                    for first, length in runs(queue, low, tokens_of_source, begin, n):
+                        for window, place, a, b in plan.cells(queue, first, first + length):
+                            for sequence, offset, count in plan.sequences(window, place, b - a, size):
+                                out.append((doc_id, at, count, zlib.crc32(ids[4 * at : 4 * (at + count)]), n, sequence, offset, queue))
+                                at += count
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 arrays = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([*arrays[:7], arrays[7].cast(pa.int32())], [*names, "queue"])
 
-    slim = tokens.join(starts, ["source", "block"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
+    slim = tokens.join(starts, ["source", "block"]).select("doc_id", "queue", "low", "size", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
     return slim.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int")

@@ -99,6 +99,36 @@ def test_repeated_ids_and_nulls(spark):
     assert {r.sequence_id: 0 for r in rows}.keys() == set(range(4))  # 4 + 4 + 2 + 1
 
 
+def test_many_sources_in_source_order(spark):
+    """Beyond MAX_QUEUES sources, named or not, every window holds the mixture."""
+    sources = [f"s{i:04d}" for i in range(1500)]
+    rows = [(2 * i + k, "a b c d e f g h", s) for i, s in enumerate(sources) for k in (0, 1)]
+    rows += [(3000 + k, "a b c d e f g h", "big") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(4, "source")
+    source_of = {i: s for i, _, s in rows}
+    size, per_window = 64, 32
+    pieces = packing.pack(docs, WORD, size, per_window).collect()
+    check_packing(pieces, [(i, t) for i, t, _ in rows], size, per_window)
+    total = sum(r.length for r in pieces)
+    windows = total // (size * per_window)
+    got = {s: np.zeros(windows + 1) for s in [*sources, "big"]}
+    for r in pieces:
+        got[source_of[r.doc_id]][min(windows, r.sequence_id // per_window)] += r.length
+    for counts in got.values():
+        ideal = np.arange(1, windows + 1) * size * per_window * counts.sum() / total
+        assert np.abs(counts[:windows].cumsum() - ideal).max() <= 2
+
+
+def test_given_weights_hold_beyond_the_limit_of_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    weights = {"a": 26, "b": 1, "c": 1, "d": 1, "e": 1, "f": 2}
+    docs = spark.createDataFrame([(i, "a b c " * 100, s) for i, s in enumerate(weights)], "doc_id long, text string, source string")
+    first = {s: 0 for s in weights}
+    for r in packing.pack(docs, WORD, 64, 1, weights).collect():
+        first[[*weights][r.doc_id]] += r.length * (r.sequence_id == 0)
+    assert first == {s: 2 * w for s, w in weights.items()}
+
+
 def test_windows_hold_the_mixture():
     totals = [900_000, 70_001, 30_303, 333]
     plan = packing.Plan(totals, totals, 1024)
