@@ -102,4 +102,4 @@ def test_repeat_groups_hold_all_occurrences():
     assert len(suffix) == 3
     assert {m for m, n in zip(member.tolist(), need.tolist()) if n == 40} == {0, 1, 2}  # all share 40 + 60 bytes
     assert {m for m, d in zip(member.tolist(), depth.tolist()) if d == 100} == {0, 1}
-    assert groups[-1][2].max() == 68  # the shared left side is followed to its end
+    assert max(need.max() for _, _, need, _ in groups) == 68  # the shared left side is followed to its end
