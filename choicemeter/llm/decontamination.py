@@ -85,8 +85,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     null or wordless text has no words and no hits; a null or wordless item no windows.
     Rows with equal doc_id (null included) and text are judged alike, rows that differ in
     text apart.  A null item_id counts as hit but is not listed.  Empty tables give no
-    rows or no hits; other columns are ignored.
+    rows or no hits; other columns are ignored.  Very long texts are read whole; a row's
+    arrays hold some 30 bytes a word.
     """
+    return judged(docs, benchmark).drop("digest")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What ``contamination`` returns, and ``digest``, the hash of the row's text."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = frozen(hashed(items.distinct()), "items")
     # at most WINDOW - 1 lengths
@@ -123,6 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return whole.select(
         counts.doc_id,
+        counts.digest,
         "n_words",
         n_hit.alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
@@ -132,6 +139,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; of rows with a doc_id, all go if one is."""
-    bad = frozen(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated_ids")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The documents that are not contaminated.
+
+    A row goes by its doc_id and its text: of rows that share an id, or have none, only
+    those whose own text is contaminated go.  All columns are kept.
+    """
+    bad = judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest"))
+    bad = frozen(bad.distinct(), "contaminated_rows")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_digest"))
+    return docs.join(bad, same, "left_anti")
