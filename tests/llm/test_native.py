@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -63,7 +64,7 @@ def test_contamination_brute_force(spark, broadcast):
         assert sorted(got, key=str) == sorted(want, key=str)
         assert any(r[5] for r in want)
         stay = decontamination.clean(docs, items)
-        assert stay.columns == docs.columns and stay.count() == sum(not r[5] for r in want if r[0] != 0) + (0 if any(r[5] for r in want if r[0] == 0) else 2)
+        assert stay.columns == docs.columns and stay.count() == sum(not r[5] for r in want)
     finally:
         spark.conf.set(key, before)
 
@@ -77,6 +78,14 @@ def test_contamination_of_the_sample(spark):
     assert decontamination.contamination(docs, items.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_only_contaminated_rows_of_an_id_go(spark):
+    passage = " ".join(BASE)
+    docs = documents(spark, [passage, "clean one", None, passage, "clean two", "clean two"], [None, None, None, 7, 7, 7])
+    items = frame(spark, [(1, passage)], "item_id long, text string")
+    rows = sorted(((r.doc_id, r.text) for r in decontamination.clean(docs, items).collect()), key=str)
+    assert rows == sorted([(None, "clean one"), (None, None), (7, "clean two"), (7, "clean two")], key=str)
+
+
 def plain_secrets(text, scope=300):
     text = text or ""
     base = []
@@ -123,6 +132,17 @@ def test_secrets_brute_force(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_secrets_in_long_runs(spark):
+    """A megabyte of each class of a pattern, and of separators, is scanned within seconds."""
+    size, tail = 1_000_000, " .amazonaws.com ://"  # the pattern is not skipped
+    runs = ["a", "a.", "A", "0", "f", "-", ".", "password", "password ", "user ", " ", "=", "https://", "a+", "AKIA", "'\"", "é", "secret="]
+    texts = [(r * size)[:size] + tail for r in runs] + ["a." * 5000 + "z" + tail, "x" * 250 + ".amazonaws.com", "x" * 300 + ".amazonaws.com"]
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in secrets.scan(documents(spark, texts)).collect()}
+    assert time.monotonic() - began < 150
+    assert got[3] == (0, 0, 1) and got[14] == (0, 1, 0) and got[17][0] == 1 and len(got) == len(texts)
+
+
 def plain_line_runs(docs, min_chars):
     """docs: (doc_id, text) in order.  All runs against all earlier places."""
     rows = [[(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")] for _, t in docs]
