@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from choicemeter.llm import line_runs, secrets
+from choicemeter.llm import line_runs, phrases, secrets
 from choicemeter.llm.decontamination import LOWER, UPPER, WINDOW
 
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -100,4 +100,25 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-SQL = {"op3_decontamination": CONTAMINATION, "op5_secrets": SECRETS, "op6_line_runs": LINE_RUNS}
+PHRASES = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM w, (SELECT unnest(range(1, {phrases.MOST + 1})) AS size)),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, c, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND c >= {phrases.LEAST}),
+cut AS (SELECT lang, phrase, c AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (
+  SELECT cut.lang, cut.phrase, a, k, l.c AS l, r.c AS r, ((1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, w, c, unnest(range(2, size)) AS m, size FROM c),
+o AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(c) AS c FROM (SELECT *, unnest(range(1, size - m + 2)) AS j FROM i) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.c IS NULL OR 100 * o.c < {phrases.COVER} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM k JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+SQL = {"op13_phrases": PHRASES, "op3_decontamination": CONTAMINATION, "op5_secrets": SECRETS, "op6_line_runs": LINE_RUNS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import decontamination, line_runs, oracle, packing, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
+from choicemeter.llm import decontamination, line_runs, oracle, packing, phrases, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
 from choicemeter.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op9_simhash(spark, sf):
 @query
 def op10_suffixes(spark, sf):
     return suffixes.dedup_bytes(table(spark, sf, "documents"))
+
+
+@query
+def op13_phrases(spark, sf):
+    return phrases.phrases(table(spark, sf, "documents"))
