@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemeter.llm import decontamination, line_runs, oracle, packing, phrases, ppm, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage
+from choicemeter.llm import decontamination, line_runs, oracle, packing, phrases, ppm, prefix_tokens, quality, repetition, secrets, simhash, suffixes, webpage, whitening
 from choicemeter.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op10_suffixes(spark, sf):
     return suffixes.dedup_bytes(table(spark, sf, "documents"))
 
 
+@query
+def op11_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 @query
 def op12_language(spark, sf):
     return ppm.identify(table(spark, sf, "documents"))
