@@ -7,19 +7,25 @@ stripe of the empty prefix has the totals of all words, and the greatest element
 longer phrases around a phrase tell whether one of them subsumes it.
 
 A stripe of a common prefix holds the whole vocabulary, so no task ever takes a merged
-stripe: its elements are dealt by prefix and next word, added up on both sides of the
-shuffle, and those below the least count go at once.  All parts of a phrase are as
-frequent as the phrase, so what is left answers for every candidate.
+stripe: its elements are dealt by prefix and next word, added up, and those below the
+least count go at once.  All parts of a phrase are as frequent as the phrase, so what is
+left answers for every candidate, and prefixes are lengthened level by level: a bit map of
+the frequent phrases of one level, of a bounded size, keeps out most of what cannot
+be frequent on the next.  A bit set by another phrase lets some more through, and costs
+no more than their shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.llm.common import frozen, slices, utf8
@@ -30,16 +36,58 @@ END = b"\xff"
 SPACE = pa.scalar(" ", pa.large_string())
 SIGNS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + END * 10 + b" ")
 # Words whose stripes a task fills before it hands them on, and the bytes cut into words at once.
-HELD, CUT = 1 << 21, 1 << 20
+HELD, CUT = 1 << 22, 1 << 20
+# The greatest bit map (16 MB); Spark's seed of xxhash64, and how far a code is turned for each word.
+BITS, SEED, TURN = 1 << 27, 42, 21
 # Parts a language's candidates are ranked in before the best of all are.
 RANK_PARTS = 64
 
 
+class Bits:
+    """A bit map of phrases: each sets two bits by its code."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __contains__(self, code: int) -> bool:
+        return bool(self.have(np.array([code], np.uint64))[0])
+
+    def have(self, codes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(codes), bool)
+        for half in (codes, codes >> np.uint64(32)):
+            at = half & np.uint64(64 * len(self.words) - 1)
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
+def coded(lang: Column, words: Column) -> Column:
+    """The code of a phrase: hashes of its language and words, each turned and mixed in."""
+    turned = lambda c: F.shiftleft(c, TURN).bitwiseOR(F.shiftrightunsigned(c, 64 - TURN))
+    return F.aggregate(words, F.xxhash64(lang), lambda code, w: turned(code).bitwiseXOR(F.xxhash64(w)))
+
+
+def lengthened(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Codes of phrases with one word more."""
+    return (codes << np.uint64(TURN) | codes >> np.uint64(64 - TURN)) ^ words
+
+
+def bit_map(phrases: DataFrame) -> Bits:
+    """The bit map of (lang, words) rows: 16 bits a phrase or more, up to BITS in all."""
+    some = phrases.select(coded(F.col("lang"), F.col("words")).alias("code"))
+    size = min(BITS, max(1 << 10, 1 << (16 * some.count()).bit_length()))
+    places = some.select(F.explode(F.array(F.col("code").bitwiseAND(size - 1), F.shiftrightunsigned("code", 32).bitwiseAND(size - 1))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    rows = words.toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Bits(out)
+
+
 class Stripes:
-    """Counters of next words by prefix, for a bounded number of words of several languages."""
+    """Counters of next words by prefixes of ``level`` - 1 words, for a bounded number of words of several languages."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, level: int, frequent: Bits | None = None):
+        self.level, self.frequent = level, frequent
         self.ids: dict[bytes, int] = {END: 0}
         self.held: dict[str, list[np.ndarray]] = {}
         self.known: dict[str, int] = {}  # words at a begin that stripes before these counted
@@ -54,31 +102,39 @@ class Stripes:
         self.held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
+    def starts(self, lang: str, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Where phrases of ``level`` words begin whose parts may be frequent."""
+        count = max(0, len(ids) - self.level + 1)
+        fits = np.ones(count, bool)
+        for j in range(self.level):
+            fits &= ids[j : j + count] > 0
+        fits[: max(0, self.known.get(lang, 0) - self.level + 1)] = False
+        if self.frequent and self.level > 1:
+            codes = np.full(count + 1, xxhash.xxh64_intdigest(lang.encode(), SEED), np.uint64)
+            for j in range(self.level - 1):
+                codes = lengthened(codes, hashes[ids[j : j + count + 1]])
+            have = self.frequent.have(codes)
+            fits &= have[:-1] & have[1:]
+        return np.flatnonzero(fits)
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         """(lang, prefix, next, count) rows, a stripe each."""
-        words = pa.array([b"", *list(self.ids)[1:]], pa.large_binary()).cast(pa.large_string())
+        listed = list(self.ids)
+        words = pa.array([b"", *listed[1:]], pa.large_binary()).cast(pa.large_string())
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in listed), np.uint64, len(listed)) if self.frequent else np.zeros(0, np.uint64)
         for lang, parts in self.held.items():
-            ids, known = np.concatenate(parts), self.known.get(lang, 0)
-            # the phrase of k - 1 words that begins at a place, as its place among all of them; -1: a piece ends within
-            place, texts = np.zeros(len(ids), np.int64), pa.array([""], pa.large_string())
-            for k in range(1, self.most + 1):
-                starts = len(ids) - k + 1
-                if starts <= 0:
-                    break
-                last = ids[k - 1 :]
-                fits = (place[:starts] >= 0) & (last > 0)
-                pairs, inverse = np.unique(place[:starts][fits] * len(words) + last[fits], return_inverse=True)
-                place = np.full(starts, -1, np.int64)
-                place[fits] = inverse
-                counted = place[max(0, known - k + 1) :]
-                count = np.bincount(counted[counted >= 0], minlength=len(pairs))
-                yield from self._rows(lang, texts, words, pairs, count)
-                if k < self.most:
-                    tail = words.take(pa.array(pairs % len(words)))
-                    texts = tail if k == 1 else pc.binary_join_element_wise(texts.take(pa.array(pairs // len(words))), tail, SPACE)
+            ids = np.concatenate(parts)
+            starts = self.starts(lang, ids, hashes)
+            # the prefix so far, as its place among all of them
+            place, texts = np.zeros(len(starts), np.int64), pa.array([""], pa.large_string())
+            for j in range(self.level - 1):
+                pairs, place = np.unique(place * len(words) + ids[starts + j], return_inverse=True)
+                tail = words.take(pa.array(pairs % len(words)))
+                texts = tail if j == 0 else pc.binary_join_element_wise(texts.take(pa.array(pairs // len(words))), tail, SPACE)
+            pairs, count = np.unique(place * len(words) + ids[starts + self.level - 1], return_counts=True)
+            yield from self._rows(lang, texts, words, pairs, count)
 
     def _rows(self, lang: str, texts: pa.Array, words: pa.Array, pairs: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs, count = pairs[count > 0], count[count > 0]
         prefix = pairs // len(words)
         first = np.flatnonzero(np.diff(prefix, prepend=-1))
         for a in range(0, len(first), 1 << 15):
@@ -109,9 +165,9 @@ def cuts(text: bytes, size: int) -> Iterator[bytes]:
         begin = end
 
 
-def fill(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def fill(batches: Iterator[pa.RecordBatch], level: int, frequent: Bits | None) -> Iterator[pa.RecordBatch]:
     """Stripes of all texts of a task."""
-    stripes = Stripes(most)
+    stripes = Stripes(level, frequent)
     for batch in batches:
         for part in slices(batch, "text", CUT):
             langs = part.column("lang")
@@ -124,8 +180,11 @@ def fill(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
                     stripes.add(lang, words)
                     if stripes.size >= HELD:
                         yield from stripes.batches()
-                        stripes, carried = Stripes(most), words[1 - most :] if most > 1 else []
-                        stripes.add(lang, carried, len(carried))
+                        # a phrase may go on behind the words counted so far
+                        carried = np.concatenate(stripes.held[lang])[1 - level :] if level > 1 else []
+                        listed = list(stripes.ids)
+                        stripes = Stripes(level, frequent)
+                        stripes.add(lang, [listed[i] for i in carried], len(carried))
     yield from stripes.batches()
 
 
@@ -136,10 +195,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
     whose stripe counts all words.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    stripes = texts.mapInArrow(lambda batches: fill(batches, most), "lang string, prefix string, next array<string>, count array<long>")
-    elements = stripes.select("lang", "prefix", F.inline(F.arrays_zip("next", "count")))
-    merged = elements.groupBy("lang", "prefix", "next").agg(F.sum("count").alias("count"))
-    return frozen(merged.where((F.col("count") >= least) | (F.col("prefix") == "")), "stripes")
+    levels: list[DataFrame] = []
+    sent: Broadcast | None = None
+    for level in range(1, most + 1):
+
+        def count(batches: Iterator[pa.RecordBatch], level=level, sent=sent) -> Iterator[pa.RecordBatch]:
+            yield from fill(batches, level, sent.value if sent else None)
+
+        stripes = texts.mapInArrow(count, "lang string, prefix string, next array<string>, count array<long>")
+        elements = stripes.select("lang", "prefix", F.inline(F.arrays_zip("next", "count")))
+        # Tasks have added up what they hold, so elements are dealt at once, with no second try to combine them before.
+        merged = elements.repartition("lang", "prefix", "next").groupBy("lang", "prefix", "next").agg(F.sum("count").alias("count"))
+        levels.append(frozen(merged.where((F.col("count") >= least) | F.lit(level == 1)), f"stripes_{level}"))
+        if level < most:
+            words = F.concat(F.filter(F.split("prefix", " "), lambda w: w != ""), F.array("next"))
+            bits = bit_map(levels[-1].where(F.col("count") >= least).select("lang", words.alias("words")))
+            sent = docs.sparkSession.sparkContext.broadcast(bits)
+    return reduce(DataFrame.union, levels)
 
 
 def phrases(docs: DataFrame, least: int = LEAST, most: int = MOST, top: int = TOP, cover: int = COVER) -> DataFrame:

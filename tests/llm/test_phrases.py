@@ -1,11 +1,15 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from choicemeter.llm import phrases
 
+from tests.frames import frame
+
 from .cases import TEXTS, documents, sample
 
 
@@ -42,7 +46,7 @@ def of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("least, most, top, held", [(2, 3, 2000, 1 << 21), (1, 4, 40, 97), (3, 2, 7, 1000), (2, 1, 5, 50)])
+@pytest.mark.parametrize("least, most, top, held", [(2, 3, 2000, 1 << 22), (1, 4, 40, 97), (3, 2, 7, 1000), (2, 1, 5, 50)])
 def test_brute_force(spark, monkeypatch, least, most, top, held):
     monkeypatch.setattr(phrases, "HELD", held)
     monkeypatch.setattr(phrases, "CUT", 64 if held < 1000 else 1 << 20)
@@ -79,6 +83,17 @@ def test_products_beyond_64_bits(spark):
     assert (row.a, row.l, row.r, row.n, row.score) == (a, left, right, left + right, 10**6 * a * a // (left * right))
 
 
+def test_bit_map(spark):
+    rows = [("en", ["a"]), ("en", ["a", "b"]), ("de", ["a", "b", "\u00e9"])]
+    have = phrases.bit_map(frame(spark, rows, "lang string, words array<string>"))
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+    for lang, words in [*rows, ("fr", ["a"]), ("en", ["b", "a"])]:
+        code = np.array([hashed(lang)], np.uint64)
+        for w in words:
+            code = phrases.lengthened(code, np.array([hashed(w)], np.uint64))
+        assert (int(code[0]) in have) == ((lang, words) in rows)
+
+
 def test_a_long_text_is_cut_between_words():
     parts = list(phrases.cuts(b"aa bb\xffcc dddddddd e", 4))
     assert b"".join(parts) == b"aa bb\xffcc dddddddd e" and len(parts) > 2
