@@ -7,8 +7,8 @@ stripe of the empty prefix has the totals of all words, and the greatest element
 longer phrases around a phrase tell whether one of them subsumes it.
 
 A stripe of a common prefix holds the whole vocabulary, so no task ever takes a merged
-stripe: its elements are dealt by prefix and next word, added up, and those below the
-least count go at once.  All parts of a phrase are as frequent as the phrase, so what is
+stripe: stripes are dealt in parts by a hash of the next word, their elements added up,
+and those below the least count go at once.  All parts of a phrase are as frequent as the phrase, so what is
 left answers for every candidate, and prefixes are lengthened level by level: a bit map of
 the frequent phrases of one level, of a bounded size, keeps out most of what cannot
 be frequent on the next.  A bit set by another phrase lets some more through, and costs
@@ -37,6 +37,8 @@ SPACE = pa.scalar(" ", pa.large_string())
 SIGNS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + END * 10 + b" ")
 # Words whose stripes a task fills before it hands them on, and the bytes cut into words at once.
 HELD, CUT = 1 << 22, 1 << 20
+# Parts that a stripe is dealt in, by a hash of the next word; the stripe of the empty prefix, which holds all words, in more.
+PARTS, FIRST_PARTS = 32, 4096
 # The greatest bit map (16 MB); Spark's seed of xxhash64, and how far a code is turned for each word.
 BITS, SEED, TURN = 1 << 27, 42, 21
 # Parts a language's candidates are ranked in before the best of all are.
@@ -118,10 +120,11 @@ class Stripes:
         return np.flatnonzero(fits)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """(lang, prefix, next, count) rows, a stripe each."""
+        """(lang, prefix, part, next, count) rows: a stripe's words in a part, and their counts, each in one text."""
         listed = list(self.ids)
         words = pa.array([b"", *listed[1:]], pa.large_binary()).cast(pa.large_string())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in listed), np.uint64, len(listed)) if self.frequent else np.zeros(0, np.uint64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in listed), np.uint64, len(listed))
+        parts_of = (hashes % np.uint64(FIRST_PARTS if self.level == 1 else PARTS)).astype(np.int64)
         for lang, parts in self.held.items():
             ids = np.concatenate(parts)
             starts = self.starts(lang, ids, hashes)
@@ -132,21 +135,25 @@ class Stripes:
                 tail = words.take(pa.array(pairs % len(words)))
                 texts = tail if j == 0 else pc.binary_join_element_wise(texts.take(pa.array(pairs // len(words))), tail, SPACE)
             pairs, count = np.unique(place * len(words) + ids[starts + self.level - 1], return_counts=True)
-            yield from self._rows(lang, texts, words, pairs, count)
+            yield from self._rows(lang, texts, words, parts_of, pairs, count)
 
-    def _rows(self, lang: str, texts: pa.Array, words: pa.Array, pairs: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prefix = pairs // len(words)
-        first = np.flatnonzero(np.diff(prefix, prepend=-1))
+    def _rows(self, lang: str, texts: pa.Array, words: pa.Array, parts_of: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = pairs // len(words) * FIRST_PARTS + parts_of[pairs % len(words)]
+        order = np.argsort(key, kind="stable")
+        key, pairs, count = key[order], pairs[order], count[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
         for a in range(0, len(first), 1 << 15):
             some = first[a : a + (1 << 15)]
             end = first[a + len(some)] if a + len(some) < len(first) else len(pairs)
-            offsets = pa.array(np.append(some, end) - some[0], pa.int32())
+            offsets = pa.array(np.append(some, end) - some[0], pa.int64())
+            joined = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), SPACE).cast(pa.string())  # noqa: E731, B023
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang] * len(some), pa.string()),
-                    "prefix": texts.take(pa.array(prefix[some])).cast(pa.string()),
-                    "next": pa.ListArray.from_arrays(offsets, words.take(pa.array(pairs[some[0] : end] % len(words))).cast(pa.string())),
-                    "count": pa.ListArray.from_arrays(offsets, pa.array(count[some[0] : end], pa.int64())),
+                    "prefix": texts.take(pa.array(key[some] // FIRST_PARTS)).cast(pa.string()),
+                    "part": pa.array(key[some] % FIRST_PARTS, pa.int32()),
+                    "next": joined(words.take(pa.array(pairs[some[0] : end] % len(words)))),
+                    "count": joined(pa.array(count[some[0] : end], pa.int64()).cast(pa.large_string())),
                 }
             )
 
@@ -202,10 +209,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
         def count(batches: Iterator[pa.RecordBatch], level=level, sent=sent) -> Iterator[pa.RecordBatch]:
             yield from fill(batches, level, sent.value if sent else None)
 
-        stripes = texts.mapInArrow(count, "lang string, prefix string, next array<string>, count array<long>")
-        elements = stripes.select("lang", "prefix", F.inline(F.arrays_zip("next", "count")))
-        # Tasks have added up what they hold, so elements are dealt at once, with no second try to combine them before.
-        merged = elements.repartition("lang", "prefix", "next").groupBy("lang", "prefix", "next").agg(F.sum("count").alias("count"))
+        # Tasks have added up what they hold, so stripes are dealt at once, in parts, and cut into elements where these are added up.
+        stripes = texts.mapInArrow(count, "lang string, prefix string, part int, next string, count string").repartition("lang", "prefix", "part")
+        elements = stripes.select("lang", "prefix", "part", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), F.split("count", " ").alias("count"))))
+        merged = elements.groupBy("lang", "prefix", "part", "next").agg(F.sum(F.col("count").cast("long")).alias("count")).drop("part")
         levels.append(frozen(merged.where((F.col("count") >= least) | F.lit(level == 1)), f"stripes_{level}"))
         if level < most:
             words = F.concat(F.filter(F.split("prefix", " "), lambda w: w != ""), F.array("next"))
@@ -254,6 +261,15 @@ def phrases(docs: DataFrame, least: int = LEAST, most: int = MOST, top: int = TO
     kept = lowest.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
     kept = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
+    kept = frozen(kept, "kept_phrases")
+    # Most phrases are out of reach by their score alone: counts by steps of it (and by size of a for the highest score,
+    # which many may share) tell from which step on the best lie.
+    step = F.when(F.col("score") >= 1000000, 1000 + F.length(F.bin("a"))).otherwise(F.floor(F.col("score") / 1000)).cast("int")
+    steps = kept.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("phrases"))
+    above = F.coalesce(F.sum("phrases").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = frozen(steps.withColumn("above", above).where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("reach")), "reach")
+    kept = kept.join(reach, "lang").where(step >= F.col("reach")).drop("reach")
+
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
     some = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
