@@ -7,8 +7,8 @@ stripe of the empty prefix has the totals of all words, and the greatest element
 longer phrases around a phrase tell whether one of them subsumes it.
 
 A stripe of a common prefix holds the whole vocabulary, so no task ever takes a merged
-stripe: stripes are dealt in parts by a hash of the next word, their elements added up,
-and those below the least count go at once.  All parts of a phrase are as frequent as the phrase, so what is
+stripe: those of hot prefixes are dealt in parts by a hash of the next word, elements are
+added up, and those below the least count go at once.  All parts of a phrase are as frequent as the phrase, so what is
 left answers for every candidate, and prefixes are lengthened level by level: a bit map of
 the frequent phrases of one level, of a bounded size, keeps out most of what cannot
 be frequent on the next.  A bit set by another phrase lets some more through, and costs
@@ -18,6 +18,7 @@ no more than their shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -37,8 +38,9 @@ SPACE = pa.scalar(" ", pa.large_string())
 SIGNS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + END * 10 + b" ")
 # Words whose stripes a task fills before it hands them on, and the bytes cut into words at once.
 HELD, CUT = 1 << 22, 1 << 20
-# Parts that a stripe is dealt in, by a hash of the next word; the stripe of the empty prefix, which holds all words, in more.
-PARTS, FIRST_PARTS = 32, 4096
+# Parts that the stripe of a hot prefix is dealt in, by a hash of the next word; that of the empty prefix, which holds all words,
+# is dealt in more.  A prefix with 1 / HOT of all words is hot.
+PARTS, FIRST_PARTS, HOT = 64, 4096, 5000
 # The greatest bit map (16 MB); Spark's seed of xxhash64, and how far a code is turned for each word.
 BITS, SEED, TURN = 1 << 27, 42, 21
 # Parts a language's candidates are ranked in before the best of all are.
@@ -56,12 +58,22 @@ class Bits:
 
     def have(self, codes: np.ndarray) -> np.ndarray:
         found = np.ones(len(codes), bool)
-        for half in (codes, codes >> np.uint64(32)):
-            at = half & np.uint64(64 * len(self.words) - 1)
-            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        for a in range(0, len(codes), 1 << 18):
+            some = slice(a, a + (1 << 18))
+            for half in (codes[some], codes[some] >> np.uint64(32)):
+                at = half & np.uint64(64 * len(self.words) - 1)
+                found[some] &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
 
+@dataclass
+class Before:
+    """What a level learns from the one before: its frequent phrases, and the codes of those that hold 1 / HOT of all words or more."""
+
+    frequent: Bits
+    hot: np.ndarray
+
+
 def coded(lang: Column, words: Column) -> Column:
     """The code of a phrase: hashes of its language and words, each turned and mixed in."""
     turned = lambda c: F.shiftleft(c, TURN).bitwiseOR(F.shiftrightunsigned(c, 64 - TURN))
@@ -88,8 +100,8 @@ def bit_map(phrases: DataFrame) -> Bits:
 class Stripes:
     """Counters of next words by prefixes of ``level`` - 1 words, for a bounded number of words of several languages."""
 
-    def __init__(self, level: int, frequent: Bits | None = None):
-        self.level, self.frequent = level, frequent
+    def __init__(self, level: int, before: Before | None = None):
+        self.level, self.before = level, before
         self.ids: dict[bytes, int] = {END: 0}
         self.held: dict[str, list[np.ndarray]] = {}
         self.known: dict[str, int] = {}  # words at a begin that stripes before these counted
@@ -101,7 +113,7 @@ class Stripes:
         ids.update(zip(fresh, range(len(ids), len(ids) + len(fresh)), strict=True))
         if known:
             self.known[lang] = known
-        self.held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        self.held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def starts(self, lang: str, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -111,11 +123,11 @@ class Stripes:
         for j in range(self.level):
             fits &= ids[j : j + count] > 0
         fits[: max(0, self.known.get(lang, 0) - self.level + 1)] = False
-        if self.frequent and self.level > 1:
+        if self.before:
             codes = np.full(count + 1, xxhash.xxh64_intdigest(lang.encode(), SEED), np.uint64)
             for j in range(self.level - 1):
                 codes = lengthened(codes, hashes[ids[j : j + count + 1]])
-            have = self.frequent.have(codes)
+            have = self.before.frequent.have(codes)
             fits &= have[:-1] & have[1:]
         return np.flatnonzero(fits)
 
@@ -124,21 +136,26 @@ class Stripes:
         listed = list(self.ids)
         words = pa.array([b"", *listed[1:]], pa.large_binary()).cast(pa.large_string())
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in listed), np.uint64, len(listed))
-        parts_of = (hashes % np.uint64(FIRST_PARTS if self.level == 1 else PARTS)).astype(np.int64)
-        for lang, parts in self.held.items():
-            ids = np.concatenate(parts)
+        parts_of = (hashes % np.uint64(PARTS if self.before else FIRST_PARTS)).astype(np.int64)
+        for lang in list(self.held):
+            ids = np.concatenate(self.held.pop(lang))
             starts = self.starts(lang, ids, hashes)
             # the prefix so far, as its place among all of them
             place, texts = np.zeros(len(starts), np.int64), pa.array([""], pa.large_string())
+            codes = np.full(1, xxhash.xxh64_intdigest(lang.encode(), SEED), np.uint64)
             for j in range(self.level - 1):
                 pairs, place = np.unique(place * len(words) + ids[starts + j], return_inverse=True)
                 tail = words.take(pa.array(pairs % len(words)))
                 texts = tail if j == 0 else pc.binary_join_element_wise(texts.take(pa.array(pairs // len(words))), tail, SPACE)
+                codes = lengthened(codes[pairs // len(words)], hashes[pairs % len(words)])
             pairs, count = np.unique(place * len(words) + ids[starts + self.level - 1], return_counts=True)
-            yield from self._rows(lang, texts, words, parts_of, pairs, count)
+            del ids, starts, place
+            hot = np.isin(codes, self.before.hot) if self.before else np.ones(1, bool)
+            prefix = pairs // len(words)
+            key = prefix * FIRST_PARTS + np.where(hot[prefix], parts_of[pairs % len(words)], 0)
+            yield from self._rows(lang, texts, words, key, pairs, count)
 
-    def _rows(self, lang: str, texts: pa.Array, words: pa.Array, parts_of: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key = pairs // len(words) * FIRST_PARTS + parts_of[pairs % len(words)]
+    def _rows(self, lang: str, texts: pa.Array, words: pa.Array, key: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key, pairs, count = key[order], pairs[order], count[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -172,9 +189,9 @@ def cuts(text: bytes, size: int) -> Iterator[bytes]:
         begin = end
 
 
-def fill(batches: Iterator[pa.RecordBatch], level: int, frequent: Bits | None) -> Iterator[pa.RecordBatch]:
+def fill(batches: Iterator[pa.RecordBatch], level: int, before: Before | None) -> Iterator[pa.RecordBatch]:
     """Stripes of all texts of a task."""
-    stripes = Stripes(level, frequent)
+    stripes = Stripes(level, before)
     for batch in batches:
         for part in slices(batch, "text", CUT):
             langs = part.column("lang")
@@ -186,11 +203,11 @@ def fill(batches: Iterator[pa.RecordBatch], level: int, frequent: Bits | None) -
                     words = some.replace(END, b" " + END + b" ").split()
                     stripes.add(lang, words)
                     if stripes.size >= HELD:
-                        yield from stripes.batches()
                         # a phrase may go on behind the words counted so far
                         carried = np.concatenate(stripes.held[lang])[1 - level :] if level > 1 else []
                         listed = list(stripes.ids)
-                        stripes = Stripes(level, frequent)
+                        yield from stripes.batches()
+                        stripes = Stripes(level, before)
                         stripes.add(lang, [listed[i] for i in carried], len(carried))
     yield from stripes.batches()
 
@@ -216,8 +233,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
         levels.append(frozen(merged.where((F.col("count") >= least) | F.lit(level == 1)), f"stripes_{level}"))
         if level < most:
             words = F.concat(F.filter(F.split("prefix", " "), lambda w: w != ""), F.array("next"))
+            total = levels[0].agg(F.sum("count")).first()[0] or 0
+            hot = levels[-1].where(F.col("count") * HOT > total).select(coded(F.col("lang"), words).alias("code")).toArrow()  # fewer than HOT
             bits = bit_map(levels[-1].where(F.col("count") >= least).select("lang", words.alias("words")))
-            sent = docs.sparkSession.sparkContext.broadcast(bits)
+            sent = docs.sparkSession.sparkContext.broadcast(Before(bits, hot.column("code").to_numpy().view(np.uint64)))
     return reduce(DataFrame.union, levels)
 
 

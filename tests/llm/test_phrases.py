@@ -50,6 +50,7 @@ def of(df):
 def test_brute_force(spark, monkeypatch, least, most, top, held):
     monkeypatch.setattr(phrases, "HELD", held)
     monkeypatch.setattr(phrases, "CUT", 64 if held < 1000 else 1 << 20)
+    monkeypatch.setattr(phrases, "HOT", 50 if held < 1000 else 5000)
     odd = ["a b, a b. A B! a\tb  a b:c", "x\x1cy z\x85w \xa0 x\x1cy z", "ÀB àb Ab", "é\x00 é\x00 é\x00 é\x00", "w " * 300, "a b c a b c\rd a b c", "?!", "\t \n"]
     texts = [*TEXTS, *odd, *odd[:3]]
     docs = documents(spark, texts, [None, *range(len(texts) - 1)]).selectExpr("* except (lang)", "case n_chars % 3 when 0 then 'und' when 1 then 'en' end as lang")
