@@ -224,7 +224,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
     for level in range(1, most + 1):
 
         def count(batches: Iterator[pa.RecordBatch], level=level, sent=sent) -> Iterator[pa.RecordBatch]:
-            yield from fill(batches, level, sent.value if sent else None)
+            yield from fill(batches, level, Before(Bits(sent.value[0]), sent.value[1]) if sent else None)
 
         # Tasks have added up what they hold, so stripes are dealt at once, in parts, and cut into elements where these are added up.
         stripes = texts.mapInArrow(count, "lang string, prefix string, part int, next string, count string").repartition("lang", "prefix", "part")
@@ -236,7 +236,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
             total = levels[0].agg(F.sum("count")).first()[0] or 0
             hot = levels[-1].where(F.col("count") * HOT > total).select(coded(F.col("lang"), words).alias("code")).toArrow()  # fewer than HOT
             bits = bit_map(levels[-1].where(F.col("count") >= least).select("lang", words.alias("words")))
-            sent = docs.sparkSession.sparkContext.broadcast(Before(bits, hot.column("code").to_numpy().view(np.uint64)))
+            sent = docs.sparkSession.sparkContext.broadcast((bits.words, hot.column("code").to_numpy().view(np.uint64)))
     return reduce(DataFrame.union, levels)
 
 

@@ -251,19 +251,24 @@ def fit(vectors: DataFrame, column: str = "embedding", wanted: int = COMPONENTS)
     values, directions = components(covariance, wanted)
     some = values > max(1e-12 * values[0], 0)
     model.variances, model.directions = values[some], directions[:, some]
-    sent = vectors.sparkSession.sparkContext.broadcast(model)
+    sent = vectors.sparkSession.sparkContext.broadcast(vars(model))
     width = int(some.sum())
-    means, square = products(vectors, column, model.dimension, lambda x: sent.value.centred(x) @ sent.value.matrix(), width)
+
+    def project(x: np.ndarray) -> np.ndarray:
+        own = Whitening(**sent.value)
+        return own.centred(x) @ own.matrix()
+
+    means, square = products(vectors, column, model.dimension, project, width)
     model.identity_error = float(np.abs(square / n - np.outer(means / n, means / n) - np.eye(width)).max())
     return model
 
 
 def transform(vectors: DataFrame, model: Whitening, column: str = "embedding", keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """``keep``, deviation (long) and whitened (array<double>, a value per component) of every clean vector of the fitted dimension."""
-    sent: Broadcast = vectors.sparkSession.sparkContext.broadcast(model)
+    sent: Broadcast = vectors.sparkSession.sparkContext.broadcast(vars(model))  # plain values, so that workers need no copy of the class
 
     def whiten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Whitening(**sent.value)
         matrix = model.matrix()
         width = matrix.shape[1]
         for batch in batches:
