@@ -386,6 +386,16 @@ VALID = "config, CAST(iteration AS INTEGER) AS iteration, lang, model, CAST(temp
 sql("validate_split", "checkedrows", f"SELECT n, {VALID} FROM checkedrows WHERE len(errors) = 0")
 sql("validate_errors", "checkedrows", "SELECT n, 'Fila ' || (n + 2) || ' (Excel): ' || array_to_string(errors, '; ') AS message FROM checkedrows WHERE len(errors) > 0")
 sql("load_rejects", "checkedrows", "SELECT n, 'Fila (Excel): ' || array_to_string(errors, '; ') AS message, true AS numbered FROM checkedrows WHERE len(errors) > 0")
+sql("load_faults", "resp", """
+  , c AS (SELECT n, n % 11 AS k, n % 3 AS part, 'W' || n AS id, model || ' "' || lang || '",' || CASE WHEN n % 11 = 7 THEN chr(10) ELSE ' ' END || n AS t,
+      row_number() OVER (PARTITION BY n % 3 ORDER BY n) + 1 AS place FROM resp),
+  q AS (SELECT *, '"' || replace(t, '"', '""') || '"' AS quoted FROM c)
+  SELECT CASE WHEN k NOT IN (3, 5) THEN id END AS card_id,
+    CASE WHEN k = 3 THEN id || ',' || quoted || ',surplus' WHEN k = 5 THEN '{"card_id":"' || id || '"}' ELSE t END AS card_text,
+    CASE WHEN k = 3 THEN 'Fila ' || place || ' (Excel): found 3 cells, the header has 2'
+      WHEN k = 5 THEN 'Fila ' || place || ' (Excel): card_text: Input should be a valid string' END AS message
+  FROM q
+  UNION ALL SELECT NULL, 'W0,"open' || chr(10) || 'W1,x', 'Fila ' || (count(*) + 2) || ' (Excel): a quote is not closed' FROM c GROUP BY part""")
 sql("validate_status", "checkedrows", """SELECT CASE WHEN bad = 0 THEN 'success' WHEN good > 0 THEN 'partial_error' ELSE 'fatal_error' END AS status,
   CASE WHEN bad = 0 THEN 'Successful validation' ELSE 'There were found ' || bad || ' validation errors.' END AS message,
   good AS valid_rows, bad AS rejected_rows FROM (SELECT count(*) FILTER (len(errors) = 0) AS good, count(*) FILTER (len(errors) > 0) AS bad FROM checkedrows)""")
@@ -401,7 +411,7 @@ sql("scan_dir_tagged", "wide", "SELECT config, lang, CAST(play_no AS VARCHAR) AS
 sql("scan_mixed_headers", "wide", """SELECT config, lang, CAST(play_no AS VARCHAR) AS play_no, black_id, white_id_1, white_id_2,
   CASE WHEN play_no % 2 = 0 THEN white_id_3 END AS white_id_3, CASE WHEN play_no % 2 = 0 THEN white_id_4 END AS white_id_4,
   CASE WHEN play_no % 2 = 0 THEN white_id_5 END AS white_id_5, CASE WHEN play_no % 2 = 0 THEN 'a' ELSE 'b' END AS kind FROM wide""")
-sql("cards_by_header", "cards", "SELECT lang, color, card_id, trim(card_text) AS card_text FROM cards WHERE lang = 'EN'")
+sql("cards_by_header", "cards", "SELECT lang, color, card_id, trim(card_text) AS card_text FROM cards")
 sql("prompts_from_parts", "wide black white", """
   , p AS (SELECT config, lang, play_no, black_id, [white_id_1, white_id_2, white_id_3, white_id_4, white_id_5] AS a FROM wide),
   q AS (SELECT *, list_max(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN a[i] IS NOT NULL THEN i ELSE 0 END)) AS n FROM p

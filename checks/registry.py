@@ -569,11 +569,12 @@ def scan_mixed_headers(spark, sf):
 @query
 def cards_by_header(spark, sf):
     folder = scratch_dir(spark, "cards")
-    cards = data.cards(spark, sf).where("lang = 'EN'")
-    cards.where("color = 'BLACK'").select("card_id", "card_text").write.options(header=True, escape='"').csv(f"{folder}/EN/cards_texts/black_cards.csv")
-    white = cards.where("color = 'WHITE'").select(F.lit("x").alias("note"), "card_text", "card_id")
-    white.write.options(header=True, escape='"').csv(f"{folder}/EN/cards_texts/white_cards.csv")
-    return readers.read_cards(spark, folder, ["EN"])[0]
+    for lang in ("EN", "IT"):
+        cards = data.cards(spark, sf).where(F.col("lang") == lang)
+        cards.where("color = 'BLACK'").select("card_id", "card_text").write.options(header=True, escape='"').csv(f"{folder}/{lang}/cards_texts/black_cards.csv")
+        white = cards.where("color = 'WHITE'").select(F.lit("x").alias("note"), "card_text", "card_id")
+        white.write.options(header=True, escape='"').csv(f"{folder}/{lang}/cards_texts/white_cards.csv")
+    return readers.read_cards(spark, folder, ["EN", "IT"])[0]
 
 
 @query
@@ -601,6 +602,28 @@ def load_rejects(spark, sf):
     )
 
 
+@query
+def load_faults(spark, sf):
+    """Card files with surplus and missing cells, quoted line ends, and a last row whose quote is never closed: all rows, read back."""
+    rows = data.responses(spark, sf).select("n", "model", "lang")
+    kind, quoted = F.col("n") % 11, F.concat(F.lit('"'), F.col("model"), F.lit(' ""'), F.col("lang"), F.lit('"", '), F.col("n"), F.lit('"'))
+    card = F.concat(F.lit("W"), F.col("n"))
+    line = (
+        F.when(kind == 3, F.concat(card, F.lit(","), quoted, F.lit(",surplus")))
+        .when(kind == 5, card)
+        .when(kind == 7, F.concat(card, F.lit(","), F.replace(quoted, F.lit(", "), F.lit(",\n"))))
+        .otherwise(F.concat(card, F.lit(","), quoted))
+    )
+    parts = rows.select((F.col("n") % 3).alias("part"), "n", line.alias("line")).groupBy("part")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    files = parts.agg(F.concat(F.lit("card_id,card_text\n"), whole, F.lit('\nW0,"open\nW1,x')).alias("value"))
+    folder = f"{scratch_dir(spark, 'cards')}/cards"
+    files.write.partitionBy("part").text(folder)
+    valid, rejects = readers.load_validated(spark, folder, "csv")
+    kept = valid.select("card_id", "card_text", F.lit(None).cast("string").alias("message"))
+    return kept.union(rejects.select(F.lit(None).cast("string"), "raw", "message"))
+
+
 @query
 def attribute_profile_runs(spark, sf):
     """Scores of two classifiers with other attributes each, written and read back as one table."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from choicemeter.functions.scores import WHOLE, text_number, to_score
 from choicemeter.sources.contracts import Contract
+from choicemeter.sources.records import FAULT, RECORD
 
 # Start of a row message, and the place of the first data row in a sheet.
 ROW_MESSAGE = "Fila %s (Excel): "
@@ -67,7 +68,8 @@ def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
     """Coerced columns of the contract, kept extras, and ``errors`` (array, empty when valid).
 
     Undeclared columns are dropped unless the contract is open.  Columns whose
-    names start with ``_`` are carried along.
+    names start with ``_`` are carried along.  A row with a ``_fault`` could not be read: that is
+    its only error, and its text in ``_record`` is what came in.
     """
     df = clean_nan(df)
     values: list[Column] = []
@@ -81,10 +83,13 @@ def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
     extras = [
         F.col(c)
         for c in df.columns
-        if c not in contract.names and (contract.open_columns or c.startswith("_"))
+        if c not in contract.names and c not in (RECORD, FAULT) and (contract.open_columns or c.startswith("_"))
     ]
-    errors = F.filter(F.array(*messages), lambda m: m.isNotNull())
-    return df.select(*values, *extras, errors.alias("errors"), _raw_row(df, contract).alias("_raw"))
+    errors, raw = F.filter(F.array(*messages), lambda m: m.isNotNull()), _raw_row(df, contract)
+    if FAULT in df.columns:
+        errors = F.when(F.col(FAULT).isNotNull(), F.array(FAULT)).otherwise(errors)
+        raw = F.coalesce(F.col(RECORD), raw)
+    return df.select(*values, *extras, errors.alias("errors"), raw.alias("_raw"))
 
 
 def _raw_row(df: DataFrame, contract: Contract) -> Column:

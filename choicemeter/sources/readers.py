@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from choicemeter.functions.scores import text_number
 from choicemeter.functions.text import run_id_from_name
 from choicemeter.operators.validation import row_messages, split_valid
-from choicemeter.session import scratch_dir
+from choicemeter.sources import records
 from choicemeter.sources.contracts import contract_for
 
 # Cell texts that count as missing.
@@ -38,66 +37,40 @@ def tag_files(df: DataFrame, tag: str) -> DataFrame:
     return df.withColumn(tag, file_stem("_path"))
 
 
-def headers(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """(_path, header) of every CSV file: its first line, cut into names.
-
-    Only the first line of a file's first block is kept, before anything is shuffled.
-    Line ends within header names are not supported.
-    """
-    listing = {k: options[k] for k in ("pathGlobFilter", "recursiveFileLookup") if k in options}
-    lines = spark.read.options(**listing).text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
-    )
-    placed = lines.where("_start = 0").select("value", "_path", F.monotonically_increasing_id().alias("_place"))
-    first = placed.groupBy("_path").agg(F.min_by("value", "_place").alias("line"))
-    line = F.regexp_replace("line", "^\ufeff|\r$", "")
-    # a quoted name may hold separators
-    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    names = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c))
-    return first.select("_path", names.alias("header"))
-
-
 def scan_csv(
-    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, numbered: bool = False, multi_line: bool = True, **options
+    spark: SparkSession,
+    path: str | list[str],
+    columns: list[str] | None = None,
+    numbered: bool = False,
+    multi_line: bool = True,
+    faults: bool = False,
+    sep: str = ",",
+    **listing,
 ) -> DataFrame:
     """CSV with headers as text columns, missing cells null; each file is read by its own header.
 
-    One job looks the headers up.  Files with the same header need no more than that;
-    otherwise cells are picked by name through a table of (file, header), and a column that a file
-    lacks is null.  With ``columns`` only these are returned, whatever their order in the files.
+    Cells are picked by name, and a column that a file lacks is null.  With ``columns``
+    only these are returned, whatever their order in the files.  ``numbered`` adds
+    ``_row``, the place of a row in its file.
+
+    With ``multi_line`` quoted cells may hold line ends.  Either way a file is read by as many
+    tasks as it has blocks (see ``records``): numbers and quoted line ends take a pass
+    that surveys the blocks; without both, only headers are looked up.
 
-    With ``multi_line`` quoted cells may hold line ends, and a file is read by one task, so large
-    inputs should come as many files; without, files are split.  ``numbered`` adds ``_row``,
-    the place of a row in its file, which only a file read by one task has.
+    A row with more cells than its file's header, or with a quote that is not closed, makes the
+    query fail; with ``faults`` it comes with null cells, its text in ``_record`` and
+    what is wrong in ``_fault``.
     """
-    found = headers(spark, path, **options)
-    # the different headers, not the files
-    kinds = [r.header for r in found.select("header").distinct().collect()]
-    names = columns or list(dict.fromkeys(n for kind in sorted(kinds, key=lambda k: (-len(k), k)) for n in kind))
-    settings = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": True, **options}
-    width = max(map(len, kinds), default=0)
-    places = [f"_c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
-    df = spark.read.options(**settings).schema(schema).csv(path)
-    cell = {c: F.when(~F.col(c).isin(*NA_TEXTS), F.col(c)) for c in places}
-    # the order of rows is taken where they are read
-    path_column = [F.col("_metadata.file_path").alias("_path"), *([F.monotonically_increasing_id().alias("_order")] if numbered else [])]
-    if len(kinds) <= 1:
-        kind = kinds[0] if kinds else []
-        at = {n: cell[places[i]] for i, n in reversed(list(enumerate(kind)))}
-        texts = df.select(*(at.get(n, F.lit(None).cast("string")).alias(n) for n in names), *path_column)
-    else:
-        # Written first: Spark then knows its size, and whether to broadcast it.
-        folder = f"{scratch_dir(spark, 'headers')}/headers"
-        found.write.parquet(folder)
-        table = spark.read.schema(found.schema).parquet(folder)
-        cells = df.select(F.array(*cell.values()).alias("_cells"), *path_column).join(table, "_path")
-        pick = lambda n: F.get("_cells", F.nullif(F.array_position("header", n), F.lit(0)).cast("int") - 1)
-        texts = cells.select(*(pick(n).alias(n) for n in names), "_path", *(["_order"] if numbered else []))
-    if not numbered:
-        return texts
-    in_file = Window.partitionBy("_path").orderBy("_order")
-    return texts.withColumn("_row", F.row_number().over(in_file).cast("bigint") - 1).drop("_order")
+    df = records.read_records(spark, path, columns, multi_line, numbered, sep, **listing)
+    names = [c for c in df.columns if c not in (records.PATH, records.ROW, records.RECORD, records.FAULT)]
+    cells = [F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in names]
+    number = [records.ROW] if numbered else []
+    if faults:
+        return df.select(*cells, records.PATH, *number, records.RECORD, records.FAULT)
+    place = F.concat(F.lit("CSV row of "), F.col(records.PATH), F.lit(": "), F.col(records.FAULT))
+    # a condition, as a column nobody asks for would not be worked out
+    fine = F.coalesce(F.when(F.col(records.FAULT).isNotNull(), F.raise_error(place).cast("boolean")), F.lit(True))
+    return df.where(fine).select(*cells, records.PATH, *number)
 
 
 def read_table(
@@ -108,13 +81,14 @@ def read_table(
     multi_line: bool = True,
     numbered: bool = False,
     recursive: bool = False,
+    faults: bool = False,
 ) -> DataFrame:
     """A table with ``_path``; Parquet rows also get ``_row`` from the file itself.
 
     Files may differ in their columns: CSV goes by each file's header, Parquet schemas are merged.
     """
     if file_type == "csv":
-        return scan_csv(spark, path, columns, numbered, multi_line, recursiveFileLookup=recursive)
+        return scan_csv(spark, path, columns, numbered, multi_line, faults, recursiveFileLookup=recursive)
     if file_type == "parquet":
         row = F.col("_metadata.row_index").alias("_row")
         return spark.read.options(mergeSchema=True, recursiveFileLookup=recursive).parquet(*([path] if isinstance(path, str) else path)).select(
@@ -128,13 +102,11 @@ def load_validated(
 ) -> tuple[DataFrame, DataFrame]:
     """Read a table, pick its contract by name and split valid rows from rejects.
 
-    Rejects have ``_row``, ``errors``, ``raw`` and a ``message`` that names the row; rows of
-    CSV files that are split over tasks have no number.
+    Rejects have ``_row``, ``errors``, ``raw`` and a ``message`` that names the row.  A CSV row
+    with surplus cells or a quote that is not closed is a reject; its ``raw`` is the text.
     """
     contract = contract_for(name or path.rstrip("/").rsplit("/", 1)[-1])
-    table = read_table(spark, path, file_type, multi_line=multi_line, numbered=multi_line)
-    if "_row" not in table.columns:
-        table = table.withColumn("_row", F.lit(None).cast("bigint"))
+    table = read_table(spark, path, file_type, multi_line=multi_line, numbered=True, faults=True)
     valid, rejects = split_valid(table, contract)
     return valid.drop("_path", "_row"), row_messages(rejects)
 
@@ -162,7 +134,7 @@ def read_cards(
         f"{cards_dir}/{lang}/cards_texts/{color}_cards.{file_type}" for lang in languages for color in ("black", "white")
     ]
     contract = contract_for("cards")
-    table = read_table(spark, paths, file_type, multi_line=multi_line, numbered=multi_line)
+    table = read_table(spark, paths, file_type, multi_line=multi_line, numbered=True, faults=True)
     valid, rejects = split_valid(table, contract)
     lang = F.regexp_extract("_path", r"/([^/]+)/cards_texts/", 1).alias("lang")
     color = F.upper(F.regexp_extract("_path", r"/(black|white)_cards", 1)).alias("color")
@@ -179,7 +151,7 @@ def read_games(
     of a file; ``part`` tells the files of a configuration apart that has several.
     """
     kind = {"prompt_player": "games_config", "prompt_judge": "to_judge_config"}[prompt_type]
-    raw = read_table(spark, [f"{cards_dir}/{lang}/{kind}" for lang in languages], file_type, numbered=True, recursive=True)
+    raw = read_table(spark, [f"{cards_dir}/{lang}/{kind}" for lang in languages], file_type, numbered=True, recursive=True, faults=True)
     valid, rejects = split_valid(raw, contract_for("games"))
     options = sorted((c for c in valid.columns if c.startswith("white_id_")), key=lambda c: (len(c), c))
     games = valid.select(
