@@ -1,3 +1,6 @@
+import random
+import time
+
 from choicemeter.llm import webpage
 
 from tests.frames import frame
@@ -82,3 +85,36 @@ def test_article_of_the_sample(spark):
         parts = re.split(r"</?(?:p|h1)>", body)
         want = [" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", p))).split()) for p in parts]
         assert webpage.main_text(r.html) == "\n".join(p for p in want if p)
+
+
+def test_deep_and_broken_nesting_takes_linear_time():
+    """A megabyte of tags that open without end, end without start, or stop each other's search."""
+    good = f"<p>{GOOD}</p>"
+    for piece in ("<div>", "</section>", "<blockquote>", "<li><fieldset>", "<ul><fieldset><li>", "<td></p>", "</div><p>", "<x-y>", "<div class=a>", "<!-- ", "<a ", "<div '", '<div ">'):
+        page = good + piece * (1_000_000 // len(piece))
+        began = time.monotonic()
+        webpage.main_text(page)
+        assert time.monotonic() - began < 20, piece
+    page = "<div>" * 20_000 + "</section>" * 20_000 + good
+    assert webpage.main_text(page) == GOOD.strip()
+
+
+def test_passes_over_random_blocks():
+    """The two passes against neighbours looked up one by one, on pages without article markup."""
+    rng = random.Random(2)
+    link = "<div><a href=x>one link</a> <a href=y>and another</a></div>"
+    kinds = {"good": f"<p>{GOOD}</p>", "short": "<p>A short line.</p>", "bad": link, "head": "<h2>A heading</h2>"}
+    for _ in range(150):
+        picks = [rng.choice(list(kinds)) for _ in range(rng.randint(1, 12))]
+        want = []
+        for i, kind in enumerate(picks):
+            before = next((k for k in reversed(picks[:i]) if k in ("good", "bad")), None)
+            after = next((k for k in picks[i + 1 :] if k in ("good", "bad")), None)
+            around = [k == "good" for k in (before, after) if k]
+            if kind == "good":
+                want.append(GOOD.strip())
+            elif kind == "short" and around and all(around):
+                want.append("A short line.")
+            elif kind == "head" and after == "good":
+                want.append("A heading")
+        assert webpage.main_text("".join(kinds[k] for k in picks)).split("\n") == (want or [""]), picks
