@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,12 @@ from choicemeter.llm.common import per_process, slices, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters whose classes are the same in every Unicode version the two pattern engines know.
 SETTLED = regex.compile(r"[\t-\r -~ -ɏΑ-ΡΣ-ώА-я‐-‧‰-⁞€一-龥]*")
-CACHE = 800_000
+# Pieces whose count is kept in a worker, and their greatest length: together a bound in bytes.
+CACHE, KEPT = 800_000, 64
 # Letters of a piece after which its table so far is kept for pieces with the same begin.
 SHARED = 6
+# Last letters by which the longest token that may end a prefix is looked up.
+TAIL = 3
 
 
 def byte_letters() -> list[str]:
@@ -43,10 +46,18 @@ class PieceCounts(dict):
     def __init__(self, path: str):
         super().__init__()
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            rules = json.load(f)
+        cut = rules.get("pre_tokenizer") or {}
+        if rules.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} does not cut texts by the pattern of this operator")
+        model = rules["model"]
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.vocab = frozenset(model["vocab"])
-        self.longest = max(map(len, self.vocab))
+        # the longest token by its last letters
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            ending = token[-TAIL:]
+            self.reach[ending] = max(self.reach.get(ending, TAIL), len(token))
         self.letters = byte_letters()
         self.begun: dict[str, tuple[list[int], list[str]]] = {}
         self.fits = lru_cache(200_000)(self._fits)
@@ -72,8 +83,9 @@ class PieceCounts(dict):
         # what short prefixes have come to is shared by all pieces that begin with them
         known = SHARED if s[:SHARED] in self.begun else 0
         count, last = map(list.copy, self.begun[s[:SHARED]]) if known else ([0], [""])
-        vocab, fits, longest = self.vocab, self.fits, self.longest
+        vocab, fits, reach = self.vocab, self.fits, self.reach
         for i in range(known + 1, len(s) + 1):
+            longest = reach.get(s[i - TAIL : i], TAIL) if i > TAIL else i
             for j in range(i - longest if i > longest else 0, i):
                 token = s[j:i]
                 if token in vocab and fits(last[j], token):
@@ -92,7 +104,9 @@ class PieceCounts(dict):
         if len(self) >= CACHE:
             self.clear()
         mapped = piece if piece.isascii() and piece.isalpha() else "".join(map(self.letters.__getitem__, piece.encode()))
-        n = self[piece] = self._table(mapped)[0][-1]
+        n = self._table(mapped)[0][-1]
+        if len(piece) <= KEPT:
+            self[piece] = n
         return n
 
 
@@ -108,8 +122,13 @@ class PrefixCounter:
         self.special = frozenset(special)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(PATTERN).findall
+        self.one_class = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}']+)")
         self.counts = PieceCounts(path)
 
+    def alike(self, piece: str) -> bool:
+        """Whether each prefix of a piece is a piece, too (but for a blank alone)."""
+        return piece not in self.special and bool(SETTLED.fullmatch(piece)) and bool(self.one_class.fullmatch(piece))
+
     def segments(self, text: str) -> list[str]:
         """The text with the vocabulary's special strings cut out as pieces of their own."""
         if not self.split or not any(s in text for s in self.special):
@@ -133,47 +152,122 @@ class PrefixCounter:
 
 
 class Prefix:
-    """Exact token count at every prefix of one text."""
+    """Exact token count at every prefix of one text.
+
+    The counts at piece ends are added up at once; within a piece the table of its dynamic
+    program answers, which is made when first asked for and kept.
+    """
 
     def __init__(self, counter: PrefixCounter, text: str, pieces: list[str], counts: list[int]):
         self.counter, self.text, self.pieces = counter, text, pieces
         self.ends = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=self.ends[1:])
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
 
     @property
     def total(self) -> int:
         return int(self.ends[-1])
 
-    def _starts(self) -> np.ndarray:
+    @cached_property
+    def starts(self) -> np.ndarray:
         return np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, self.pieces), np.int64, len(self.pieces)))])
 
+    def table(self, first: int, last: int) -> np.ndarray:
+        """Tokens of each character prefix of the pieces first to last, read as one piece."""
+        found = self.tables.get((first, last))
+        if found is None:
+            piece = self.text[self.starts[first] : self.starts[last + 1]]
+            counts = np.array(self.counter.counts.table(piece))
+            if not piece.isascii():
+                # from bytes to characters: a character begins at each byte that goes on no other
+                data = np.frombuffer(piece.encode(), np.uint8)
+                counts = counts[np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))]
+            found = self.tables[first, last] = counts
+        return found
+
+    def run(self, i: int) -> int:
+        """The first of the pieces of white space that piece i, or the blank it begins with, goes on."""
+        while i and self.pieces[i - 1].isspace():
+            i -= 1
+        return i
+
     def at(self, chars: int) -> int:
         """Tokens of ``text[:chars]``.
 
-        Only the piece that is cut, and white space before it, can be cut otherwise
-        than in the whole text; a special string cut short becomes ordinary text.
+        Letters, digits or marks that are cut are still one piece, and white space at the end is
+        one piece with what is before it; a special string or contraction cut short is cut anew.
         """
-        starts = self._starts()
-        i = min(int(np.searchsorted(starts, chars, side="right")) - 1, len(self.pieces))
-        if i == len(self.pieces) or not self.pieces:
+        i = min(int(np.searchsorted(self.starts, chars, side="right")) - 1, len(self.pieces))
+        if i >= len(self.pieces):
             return self.total
-        while i and self.pieces[i - 1].isspace():
-            i -= 1
+        within = chars - int(self.starts[i])
+        piece = self.pieces[i]
+        if within and self.counter.alike(piece) and not (within == 1 and piece[0] == " "):
+            return int(self.ends[i] + self.table(i, i)[within])
+        begin = self.run(i)
+        blank = within + int(self.starts[i] - self.starts[begin])
+        if blank and self.text[self.starts[i] : chars].isspace() | (not within) and self.pieces[begin] not in self.counter.special:
+            if not within:
+                return int(self.ends[begin] + self.table(begin, i - 1)[blank])
+            if piece.isspace() or piece[0] == " ":
+                return int(self.ends[begin] + self._blanks(begin, i)[blank])
+        return self._anew(begin, chars)
+
+    def _blanks(self, first: int, i: int) -> np.ndarray:
+        """The table of a run of white space that ends in piece i, or in the blank that i begins with."""
+        if self.pieces[i].isspace():
+            return self.table(first, i)
+        found = self.tables.get((first, -i - 1))
+        if found is None:
+            # white space is ASCII or counts by its own characters' bytes: one blank more goes to the table's end
+            piece = self.text[self.starts[first] : self.starts[i] + 1]
+            data = np.frombuffer(piece.encode(), np.uint8)
+            counts = np.array(self.counter.counts.table(piece))
+            found = self.tables[first, -i - 1] = counts[np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))]
+        return found
+
+    def _anew(self, i: int, chars: int) -> int:
         # A cut special string, and a mark just before it, read as one run of marks.
         if i and self.pieces[i] in self.counter.special and self.pieces[i - 1] not in self.counter.special:
-            i -= 1
-            while i and self.pieces[i - 1].isspace():
-                i -= 1
-        rest = self.text[starts[i] : chars]
+            i = self.run(i - 1)
+        rest = self.text[self.starts[i] : chars]
         return int(self.ends[i]) + sum(1 if s in self.counter.special else sum(map(self.counter.counts.__getitem__, self.counter.pieces(s))) for s in self.counter.segments(rest))
 
     def fit(self, budget: int) -> int:
-        """The most characters whose prefix has at most ``budget`` tokens, looking back from the first pieces beyond it."""
-        starts = self._starts()
-        i = int(np.searchsorted(self.ends, budget, side="right"))
-        for chars in range(int(starts[min(i + 2, len(starts) - 1)]), -1, -1):
-            if self.at(chars) <= budget:
-                return chars
+        """The most characters whose prefix has at most ``budget`` tokens, looking back from the first pieces beyond it.
+
+        A piece that is cut as one is searched in its table at once.
+        """
+        i = min(int(np.searchsorted(self.ends, budget, side="right")) + 1, len(self.pieces) - 1)
+        if self.total <= budget:
+            return len(self.text)
+        while i >= 0:
+            first, end = int(self.starts[i]), int(self.starts[i + 1])
+            if self.counter.alike(self.pieces[i]):
+                fine = np.flatnonzero(self.ends[i] + self.table(i, i) <= budget)
+                least = 2 if self.pieces[i][0] == " " else 1
+                if len(fine) and fine[-1] >= least and fine[-1] < end - first:
+                    return first + int(fine[-1])
+                tries = range(first + least - 1, first - 1, -1)
+                if int(self.at(end)) <= budget:
+                    return end
+            elif self.pieces[i].isspace():
+                counts = self.ends[self.run(i)] + self.table(self.run(i), i)
+                skip = first - int(self.starts[self.run(i)])
+                fine = np.flatnonzero(counts[skip:] <= budget)
+                if int(self.at(end)) <= budget:
+                    return end
+                fine = fine[fine < end - first]
+                if len(fine):
+                    return first + int(fine[-1])
+                i -= 1
+                continue
+            else:
+                tries = range(end, first - 1, -1)
+            for chars in tries:
+                if self.at(chars) <= budget:
+                    return chars
+            i -= 1
         return 0
 
 
@@ -186,7 +280,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, budget: int | Non
     """doc_id, n_bytes, n_tokens, over_limit of every row; with ``budget`` also fit_chars, the longest prefix within it.
 
     A null text counts as empty: no bytes, no tokens.  Rows with a null or repeated
-    doc_id are counted one by one.  Other columns are ignored.
+    doc_id are counted one by one.  Other columns are ignored.  Long texts are counted
+    whole, in time linear in their length, one piece at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,36 @@ def test_every_prefix(text):
         assert prefix.at(chars) == len(library.encode(text[:chars], add_special_tokens=False).ids), (text, chars)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab é'sreld 1\n\t #你<|endoftext|>　\x1c")), max_size=30), st.integers(0, 12))
+def test_every_budget(text, budget):
+    prefix = prefix_tokens.counter(BYTE).prefix(text)
+    fits = [c for c in range(len(text) + 1) if prefix.at(c) <= budget]
+    got = prefix.fit(budget)
+    assert got in fits and not [c for c in fits if c > got + 3], (text, budget)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "".join(chr(97 + i * i * 7 % 26) for i in range(100_000)), " " * 100_000 + "x", "é" * 50_000, "#" * 100_000, "x " * 50_000, "1" * 100_000])
+def test_long_runs_fit_at_once(text, library):
+    counter = prefix_tokens.counter(BYTE)
+    counter.prefix("warm up")
+    prefix = counter.prefix(text)
+    assert prefix.total == len(library.encode(text, add_special_tokens=False).ids)
+    chars = prefix.fit(3)
+    began = time.monotonic()
+    for budget in (3, 100, 5000, prefix.total):
+        chars = prefix.fit(budget)
+        assert prefix.at(chars) <= budget and (chars == len(text) or prefix.at(chars + 1) > budget)
+    assert time.monotonic() - began < 1
+    for chars in (1, 17, 999, len(text) - 1):
+        assert prefix.at(chars) == len(library.encode(text[:chars], add_special_tokens=False).ids)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="pattern"):
+        prefix_tokens.PrefixCounter(WORD)
+
+
 def test_budget(library):
     prefix = prefix_tokens.counter(BYTE).prefix(TEXTS[10][:900])
     for budget in (0, 1, 7, 100, 10**6):
