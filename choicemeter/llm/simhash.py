@@ -150,6 +150,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that the join is one of two plain shuffles: Spark splits the root of a giant component, which has all its edges.
+        least = frozen(least, "least")
         joined = both.join(least, "a")
         if large:
             moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     nodes = frozen(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = frozen(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = frozen(named.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
 
