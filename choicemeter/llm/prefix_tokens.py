@@ -122,6 +122,7 @@ class PrefixCounter:
         self.special = frozenset(special)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(PATTERN).findall
+        self.blank = regex.compile(r"\p{White_Space}+").fullmatch  # Python's own idea of white space is another
         self.one_class = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}']+)")
         self.counts = PieceCounts(path)
 
@@ -187,7 +188,7 @@ class Prefix:
 
     def run(self, i: int) -> int:
         """The first of the pieces of white space that piece i, or the blank it begins with, goes on."""
-        while i and self.pieces[i - 1].isspace():
+        while i and self.counter.blank(self.pieces[i - 1]):
             i -= 1
         return i
 
@@ -206,16 +207,16 @@ class Prefix:
             return int(self.ends[i] + self.table(i, i)[within])
         begin = self.run(i)
         blank = within + int(self.starts[i] - self.starts[begin])
-        if blank and self.text[self.starts[i] : chars].isspace() | (not within) and self.pieces[begin] not in self.counter.special:
+        if blank and (not within or self.counter.blank(self.text[self.starts[i] : chars])) and self.pieces[begin] not in self.counter.special:
             if not within:
                 return int(self.ends[begin] + self.table(begin, i - 1)[blank])
-            if piece.isspace() or piece[0] == " ":
+            if self.counter.blank(piece) or piece[0] == " ":
                 return int(self.ends[begin] + self._blanks(begin, i)[blank])
         return self._anew(begin, chars)
 
     def _blanks(self, first: int, i: int) -> np.ndarray:
         """The table of a run of white space that ends in piece i, or in the blank that i begins with."""
-        if self.pieces[i].isspace():
+        if self.counter.blank(self.pieces[i]):
             return self.table(first, i)
         found = self.tables.get((first, -i - 1))
         if found is None:
@@ -251,7 +252,7 @@ class Prefix:
                 tries = range(first + least - 1, first - 1, -1)
                 if int(self.at(end)) <= budget:
                     return end
-            elif self.pieces[i].isspace():
+            elif self.counter.blank(self.pieces[i]):
                 counts = self.ends[self.run(i)] + self.table(self.run(i), i)
                 skip = first - int(self.starts[self.run(i)])
                 fine = np.flatnonzero(counts[skip:] <= budget)

@@ -46,7 +46,7 @@ def test_every_budget(text, budget):
     prefix = prefix_tokens.counter(BYTE).prefix(text)
     fits = [c for c in range(len(text) + 1) if prefix.at(c) <= budget]
     got = prefix.fit(budget)
-    assert got in fits and not [c for c in fits if c > got + 3], (text, budget)
+    assert got == max(fits), (text, budget)
 
 
 @pytest.mark.parametrize("text", ["a" * 100_000, "".join(chr(97 + i * i * 7 % 26) for i in range(100_000)), " " * 100_000 + "x", "é" * 50_000, "#" * 100_000, "x " * 50_000, "1" * 100_000])
