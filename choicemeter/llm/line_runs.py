@@ -15,12 +15,13 @@ at most ``min_chars`` lines, which bounds the number of doublings whatever the i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.llm.common import frozen
 
-MIN_CHARS = 100
+# About four words: what a line of boilerplate weighs.  Shorter lines, such as headings, names and numbers, are often equal without being copies.
+MIN_CHARS = 25
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -100,6 +101,17 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return found
 
 
+def copied_stretches(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, digest, line, n_lines): the longest stretches of lines that repeated runs cover, by first line and length.
+
+    Only later copies; ``digest`` is the hash of the text.  Blank lines are not counted.
+    """
+    lines = repeated_runs(docs, min_chars).select("doc_id", "digest", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("run") - 1)).alias("line"))
+    in_text = Window.partitionBy("doc_id", "digest").orderBy("line")
+    joined = lines.distinct().withColumn("stretch", F.col("line") - F.row_number().over(in_text))
+    return joined.groupBy("doc_id", "digest", "stretch").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n_lines")).drop("stretch")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with later copies of repeated runs taken out; n_lines and n_removed count lines that aren't blank.
 
@@ -107,7 +119,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     the same document.  Rows with equal doc_id and text are one document: they are not
     copies of each other and come out alike.  A document of which no line is left gets
     the empty text.  Null stays null.  Blank lines stay unless nothing else does.  Other
-    columns are kept; ``n_chars`` follows the text.
+    columns are kept; ``n_chars`` follows the text.  A very long text's lines are rows of
+    their own while runs are looked for; its removed lines are put together in one array.
     """
     runs = repeated_runs(docs, min_chars)
     gone = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("line", "run")), lambda r: F.sequence(r["line"], r["line"] + r["run"] - 1))))

@@ -192,6 +192,13 @@ def test_line_runs_of_the_sample(spark):
     assert any(r[3] for r in got)
 
 
+def test_copied_stretches(spark):
+    a, b, c, d = ("abcd"[i] * 30 for i in range(4))
+    docs = documents(spark, ["\n".join([a, b, c, d]), "\n".join(["x" * 30, a, b, "", c, "y" * 30, d]), "\n".join([c, "short", c])])
+    rows = sorted((r.doc_id, r.line, r.n_lines) for r in line_runs.copied_stretches(docs).collect())
+    assert rows == [(1, 1, 3), (1, 5, 1), (2, 0, 1), (2, 2, 1)]
+
+
 def test_line_runs_odd_rows(spark):
     docs = documents(spark, ["L" * 120, "L" * 120, "L" * 120, None, "L" * 120 + "\nrest"], [None, 3, 3, None, 1])
     out = line_runs.dedup_lines(docs)
