@@ -316,17 +316,24 @@ SETS = (("model_temperature", "NULL", "temperature", "model, temperature"), ("co
 sql("grouped_moments", "combos", " UNION ALL ".join(
     f"""SELECT '{g}' AS grouping, CAST({c} AS VARCHAR) AS clean_config, model, CAST({t} AS DOUBLE) AS temperature, {r6('avg(toxicity)', 'mean')},
       count(toxicity) AS count, {r6('stddev_samp(toxicity)', 'std')}, {TAIL} FROM combos GROUP BY {by}""" for g, c, t, by in SETS))
-sql("run_report", "combos", """
-  , k AS (SELECT count(DISTINCT (model, temperature)) AS mt, count(DISTINCT model) AS m, count(DISTINCT clean_config) AS c,
-      count(DISTINCT (clean_config, model)) AS cm, count(DISTINCT (lang, model)) AS lm,
-      count(DISTINCT (model, temperature, play_key)) AS st,
-      count(DISTINCT (model, CAST(least(floor(toxicity * 20), 19) AS INTEGER))) FILTER (toxicity IS NOT NULL) AS hm,
-      count(DISTINCT (clean_config, CAST(least(floor(toxicity * 20), 19) AS INTEGER))) FILTER (toxicity IS NOT NULL) AS hc,
-      least(30, count(DISTINCT black_id) FILTER (toxicity IS NOT NULL)) AS tb,
-      least(30, count(DISTINCT play_key) FILTER (toxicity IS NOT NULL)) AS tp FROM combos)
-  SELECT unnest(['toxicity_by_temperature', 'score_histogram_model', 'tail_rate_temperature', 'top_black_matrix', 'top_play_matrix', 'stability',
-    'top_unstable', 'attribute_profile', 'language_risk', 'config_model_matrix', 'config_distribution', 'config_model_distribution',
-    'config_histogram', 'tail_rate_config']) AS chart, unnest([mt, hm, mt, tb, tp, st, least(10, st), m, lm, c, c, cm, hc, cm]) AS rows FROM k""")
+sql("language_risk_sketch", "combos", "SELECT lang, model, count(*) AS n, true AS p50, true AS p90, true AS p95 FROM combos WHERE toxicity IS NOT NULL GROUP BY ALL")
+sql("states_merged", "combos", f"""SELECT clean_config, {r6('mean', 'mean')}, c AS count, {r6('s', 'std')}, {r6('s / sqrt(greatest(c, 1))', 'sem')}, low, high, tail_percent
+  FROM (SELECT clean_config, {MOMENTS}, min(toxicity) AS low, max(toxicity) AS high, {TAIL} FROM combos GROUP BY clean_config)""")
+SQL["states_attributes"] = SQL["attribute_profile"]
+# Charts of the report with their key columns; each is the query of that name.
+CHARTS = {
+    "toxicity_by_temperature": "model, temperature", "score_histogram_model": "model, bin", "tail_rate_temperature": "model, temperature",
+    "top_black_matrix": "black_id", "top_play_matrix": "play_key", "stability": "model, temperature, play_key",
+    "top_unstable": "model, temperature, play_key", "attribute_profile": "model", "language_risk": "lang, model",
+    "config_model_matrix": "clean_config", "config_distribution": "clean_config", "config_model_distribution": "clean_config, model",
+    "config_histogram": "clean_config, bin", "tail_rate_config": "clean_config, model",
+}
+CONFIG_HISTOGRAM = SQL["score_histogram_model"].replace("SELECT model,", "SELECT clean_config,").replace("GROUP BY model)", "GROUP BY clean_config)").replace("USING (model)", "USING (clean_config)")
+SQL["run_report"] = " UNION ALL ".join(
+    f"""SELECT '{chart}' AS chart, concat_ws('|', {keys}) AS key, name, value
+  FROM (UNPIVOT (SELECT {keys}, CAST(COLUMNS(* EXCLUDE ({keys})) AS DOUBLE) FROM ({SQL.get(chart, CONFIG_HISTOGRAM)})) ON COLUMNS(* EXCLUDE ({keys})) INTO NAME name VALUE value)"""
+    for chart, keys in CHARTS.items()
+)
 
 # --- sweep ---
 SETTINGS = "(VALUES ('m:a'), ('m:b')) a(model), (VALUES (0.5e0), (0.8e0)) t(temperature), (VALUES (1), (2)) i(iteration)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ import checks
 import choicemeter
 from checks import dataset as data
 from choicemeter.functions import scores, text
-from choicemeter.operators import answers, audit, consistency, distribution, reshape, runs, scoring, sweep, validation
+from choicemeter.operators import answers, audit, consistency, distribution, reshape, runs, scoring, states, sweep, validation
 from choicemeter.operators.lookup import lookup_join
 from choicemeter.plans import report
 from choicemeter.session import scratch_dir
@@ -334,13 +335,47 @@ def grouped_moments(spark, sf):
 
 @query
 def run_report(spark, sf):
-    """Number of rows of each chart table of one report."""
-    tables = report.run_report(data.combos(spark, sf), models=data.MODELS)
-    sizes = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("chart"), "rows") for name, t in tables.items()]
-    total = sizes[0]
-    for size in sizes[1:]:
-        total = total.unionByName(size)
-    return total
+    """Every figure of every chart table of one report, by chart, key and name."""
+    found = []
+    for chart, table in report.run_report(data.combos(spark, sf), models=data.MODELS).items():
+        keys = [c for c, kind in table.dtypes if kind == "string" or c in ("temperature", "bin")]
+        figures = [F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in table.columns if c not in keys]
+        wide = table.select(F.concat_ws("|", *keys).alias("key"), *figures)
+        names = [F.col(f"`{c}`") for c in wide.columns[1:]]
+        long = wide.unpivot(["key"], names, "name", "value").where("value is not null")
+        found.append(long.select(F.lit(chart).alias("chart"), "key", F.regexp_replace("name", "`", "").alias("name"), (F.col("value") + F.lit(0.0)).alias("value")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def language_risk_sketch(spark, sf):
+    """Whether each quantile of the sketches has a rank within one percent of the one asked for."""
+    wanted = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    rows = data.combos(spark, sf)
+    points = states.approximate_quantiles(rows, ["lang", "model"], wanted)
+    value = scores.to_score("toxicity")
+    both = rows.where(value.isNotNull()).select("lang", "model", value.alias("v")).join(points.select("lang", "model", "n", *wanted), ["lang", "model"])
+    share = lambda c: F.count_if(c) / F.count(F.lit(1))
+    near = [((share(F.col("v") < F.col(c)) <= p + 0.01) & (share(F.col("v") <= F.col(c)) >= p - 0.01)).alias(c) for c, p in wanted.items()]
+    return both.groupBy("lang", "model").agg(F.max("n").alias("n"), *near)
+
+
+@query
+def states_merged(spark, sf):
+    """States of each run and key, written apart, read back and merged."""
+    root = scratch_dir(spark, "states")
+    rows = data.with_run(data.combos(spark, sf))
+    for m in data.MODELS:
+        sinks.write_states(rows.where(F.col("model") == m), root, f"run_{m}", "combinations", "detoxify")
+    kept = sinks.read_parts(spark, f"{root}/score_states", kind="combinations").where("attribute = 'toxicity'")
+    merged = states.described(states.merge_states(kept, ["clean_config"]))
+    return shown(merged.drop("attribute", "band"))
+
+
+@query
+def states_attributes(spark, sf):
+    kept = states.score_states(distribution.with_clean_config(data.combos(spark, sf)), states.STATE_KEYS, ["toxicity", "severe_toxicity", "obscene"])
+    return shown(states.attribute_means(kept, ["toxicity", "severe_toxicity", "obscene"]))
 
 
 # --- sweep ---------------------------------------------------------------------------
@@ -633,7 +668,7 @@ def attribute_profile_runs(spark, sf):
     other = rows.drop("obscene", "severe_toxicity").withColumn("profanity", number % 97 / F.lit(100.0))
     sinks.write_scores(rows, root, "run_a", "combinations", "detoxify")
     sinks.write_scores(other, root, "run_a", "combinations", "perspective")
-    scored = spark.read.parquet(f"{root}/scored_combinations")
+    scored = sinks.read_parts(spark, f"{root}/scored_combinations")
     parts = [
         distribution.attribute_profile(scored.where(F.col("classifier") == c)).withColumn("classifier", F.lit(c)) for c in ("detoxify", "perspective")
     ]
@@ -686,7 +721,7 @@ def sink_roundtrip(spark, sf):
     sinks.write_scores(data.combos(spark, sf), root, "run_a", "combinations", "detoxify")
     names = ["raw_responses", "rejects_no_id", "rejects_mismatch", "winners", "combinations", "scored_combinations"]
     parts = [
-        spark.read.parquet(f"{root}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "run_id", "rows")
+        sinks.read_parts(spark, f"{root}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "run_id", "rows")
         for name in names
     ]
     total = parts[0]

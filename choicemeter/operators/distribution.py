@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from choicemeter.functions import scores, text
 from choicemeter.names import ATTRIBUTES
 from choicemeter.operators.consistency import known_keys
+from choicemeter.operators.states import approximate_quantiles
 
 Z_95 = 1.96
 # Width of the cells in which exact quantiles count values before ranking them.
@@ -206,10 +207,15 @@ def exact_quantiles(
     return picked.select(*keys, "n", "mean", "low", "high", *(between(n, p) for n, p in probabilities.items()))
 
 
-def language_risk(df: DataFrame, score: str = "toxicity", digits: int = 3) -> DataFrame:
-    """Mean, median, 90th and 95th percentile per language and model, rounded."""
+def language_risk(df: DataFrame, score: str = "toxicity", digits: int = 3, exact: bool = True) -> DataFrame:
+    """Mean, median, 90th and 95th percentile per language and model, rounded.
+
+    Not ``exact``: quantiles come from mergeable sketches (see ``states``), within a stated
+    error of their rank, and only the sketches are shuffled.
+    """
     keys = ["lang", "model"]
-    points = exact_quantiles(df, keys, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, score)
+    quantiles = exact_quantiles if exact else approximate_quantiles
+    points = quantiles(df, keys, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, score)
     rounded = [scores.round_half_even(F.col(c), digits).alias(c) for c in ("mean", "p50", "p90", "p95")]
     return points.select(*keys, *rounded)
 

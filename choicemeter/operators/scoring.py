@@ -21,6 +21,7 @@ from choicemeter.functions import scores, text
 from choicemeter.names import ATTRIBUTES
 from choicemeter.operators.answers import require_columns
 from choicemeter.operators.lookup import match_join
+from choicemeter.sources.slices import SLICES, ask_in_slices
 
 # A scorer takes a table whose column ``input`` holds texts and adds its score columns.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -168,9 +169,23 @@ def with_retry(
     return attempt
 
 
-def batch_score_json(texts: DataFrame, text_col: str, call: Callable[[str], Mapping], tasks: int | None = None, **retry) -> DataFrame:
-    """Send each distinct text to a remote scorer; columns original_text, reply (JSON), error."""
+def batch_score_json(
+    texts: DataFrame, text_col: str, call: Callable[[str], Mapping], tasks: int | None = None, store: str | None = None, slices: int = SLICES, **retry
+) -> DataFrame:
+    """Send each distinct text to a remote scorer; columns original_text, reply (JSON), error.
+
+    With ``store``, a folder, replies are kept there slice by slice, and texts it holds
+    are not sent again.
+    """
     asked = texts.select(text.score_input(text_col).alias("original_text")).distinct()
+    if store:
+        return ask_in_slices(asked, lambda some: sent(some, call, tasks, **retry), store, slices)
+    return sent(asked, call, tasks, **retry)
+
+
+def sent(asked: DataFrame, call: Callable[[str], Mapping], tasks: int | None, **retry) -> DataFrame:
+    """Replies to the texts; a column ``_call`` is carried along."""
+    carried = [c for c in ("_call",) if c in asked.columns]
     if tasks:
         asked = asked.repartition(tasks)
 
@@ -183,10 +198,11 @@ def batch_score_json(texts: DataFrame, text_col: str, call: Callable[[str], Mapp
                     "original_text": frame["original_text"].tolist(),
                     "reply": [None if "error" in r else json.dumps(r) for r in replies],
                     "error": [r.get("error") for r in replies],
+                    **{c: frame[c].tolist() for c in carried},
                 }
             )
 
-    return asked.mapInPandas(run, "original_text string, reply string, error string")
+    return asked.mapInPandas(run, "original_text string, reply string, error string" + "".join(f", {c} string" for c in carried))
 
 
 def flatten_scores(replies: DataFrame, attributes: Sequence[str] = ATTRIBUTES, reply_col: str = "reply") -> DataFrame:

@@ -16,6 +16,7 @@ from choicemeter.functions import text
 from choicemeter.functions.prompts import render_prompt
 from choicemeter.operators.answers import black_cards, white_cards
 from choicemeter.operators.lookup import lookup_join
+from choicemeter.sources.slices import SLICES, ask_in_slices
 
 PLAY_KEYS = ("config", "lang", "part", "play_no")
 
@@ -116,21 +117,25 @@ def plan_prompts(
 
 
 def batch_respond(
-    prompts: DataFrame, respond: Callable[[str, str, float], str], tasks: int | None = None
+    prompts: DataFrame, respond: Callable[[str, str, float], str], tasks: int | None = None, store: str | None = None, slices: int = SLICES
 ) -> DataFrame:
     """Send every prompt to ``respond(prompt, model, temperature)``.
 
     Calls are slow, so ``tasks`` sets how many run side by side.  A failed call
-    becomes the answer ``API_ERROR: <type>: <message>`` of its row.
+    becomes the answer ``API_ERROR: <type>: <message>`` of its row.  With ``store``, a
+    folder, answers are kept there slice by slice, and what it holds is not asked again.
     """
+    if store:
+        return ask_in_slices(prompts, lambda some: batch_respond(some, respond, tasks), store, slices)
+    carried = [c for c in ("_call",) if c in prompts.columns]
     asked = prompts.select(
-        "config", "iteration", "lang", "model", "temperature", "black_id", F.col("white_ids").alias("play"), "prompt"
+        "config", "iteration", "lang", "model", "temperature", "black_id", F.col("white_ids").alias("play"), "prompt", *carried
     )
     if tasks:
         asked = asked.repartition(tasks)
     schema = (
         "config string, iteration int, lang string, model string, temperature double, "
-        "black_id string, play array<string>, response string"
+        "black_id string, play array<string>, " + "".join(f"{c} string, " for c in carried) + "response string"
     )
 
     def answer(row) -> str:

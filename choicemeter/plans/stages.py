@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from choicemeter.functions import text
 from choicemeter.names import ATTRIBUTES, CELL_KEYS
-from choicemeter.operators import answers, consistency, reshape, runs, scoring, sweep, validation
+from choicemeter.operators import answers, consistency, reshape, runs, scoring, states, sweep, validation
 from choicemeter.plans.report import run_report
 from choicemeter.sources import readers, sinks
 from choicemeter.sources.contracts import STAGE_CONFIGS
@@ -59,7 +59,11 @@ def card_pattern(cards: DataFrame) -> str:
 def collect_responses(
     spark: SparkSession, config: Mapping, run_id: str, respond: Callable[[str, str, float], str], tasks: int | None = None
 ) -> DataFrame:
-    """Stage 1: prompt every model with every play and store the answers.  Returns the plays left out."""
+    """Stage 1: prompt every model with every play and store the answers.  Returns the plays left out.
+
+    Answers are kept in slices below ``calls``, so that a run that is repeated after a
+    failure asks only for those that are missing.
+    """
     kind, root = config["file_type"], config["results_dir"]
     cards, card_rejects = readers.read_cards(spark, config["cards_dir"], config["languages"], kind)
     games, game_rejects = readers.read_games(spark, config["cards_dir"], config["languages"], config["prompt_type"], kind)
@@ -72,7 +76,7 @@ def collect_responses(
     prompts, left_out = sweep.plan_prompts(
         own, cards, config["models"], config["temperatures"], config["rounds"], config["prompt_type"], config["character_description"]
     )
-    sinks.write_responses(sweep.batch_respond(prompts, respond, tasks), root, run_id)
+    sinks.write_responses(sweep.batch_respond(prompts, respond, tasks, f"{root}/calls/{run_id}"), root, run_id)
     other = games.where(foreign).drop("folder_lang").withColumn("reason", F.lit("unexpected language"))
     unused = left_out.select(*other.columns).unionByName(other)
     sinks.write_rejects(unused, root, run_id, "plays")
@@ -109,13 +113,17 @@ def score_sentences(
         for classifier, (scorer, labels) in scorers.items():
             scored = scoring.add_scores(sentences, "sentence", scorer, labels)
             sinks.write_scores(scored, root, run_id, kind, classifier)
+            written = sinks.read_parts(spark, f"{root}/scored_{kind}", classifier=classifier, run_id=run_id)
+            sinks.write_states(written, root, run_id, kind, classifier)
 
 
-def remote_scorer(call: Callable[[str], Mapping], attributes: Sequence[str] = ATTRIBUTES, tasks: int | None = None) -> scoring.Scorer:
-    """A scorer around a remote client whose replies hold ``attributeScores``."""
+def remote_scorer(
+    call: Callable[[str], Mapping], attributes: Sequence[str] = ATTRIBUTES, tasks: int | None = None, store: str | None = None
+) -> scoring.Scorer:
+    """A scorer around a remote client whose replies hold ``attributeScores``; with ``store`` a text is sent once."""
 
     def score(texts: DataFrame) -> DataFrame:
-        replies = scoring.batch_score_json(texts, "input", call, tasks).withColumnRenamed("original_text", "input")
+        replies = scoring.batch_score_json(texts, "input", call, tasks, store).withColumnRenamed("original_text", "input")
         return scoring.flatten_scores(replies, attributes).select("input", *(a.lower() for a in attributes))
 
     return score
@@ -123,7 +131,7 @@ def remote_scorer(call: Callable[[str], Mapping], attributes: Sequence[str] = AT
 
 def run_table(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """The rows of one run; only its partition is read."""
-    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+    return sinks.read_parts(spark, path, run_id=run_id).drop("run_id")
 
 
 def report(spark: SparkSession, root: str, run_id: str, kind: str, classifier: str, models: Sequence[str] | None = None) -> dict[str, DataFrame]:
@@ -138,16 +146,35 @@ def with_role(df: DataFrame) -> DataFrame:
     return df.withColumn("role", F.when(run.contains("player"), "player").when(run.contains("judge"), "judge"))
 
 
+def analyse_states(spark: SparkSession, root: str, kind: str = "winners", classifier: str | None = None) -> dict[str, DataFrame]:
+    """Figures of all runs from their aggregate states; the scores are not read again.
+
+    A run that is added costs the scan of its own scores, when they are written.
+    """
+    values = {"kind": kind, **({"classifier": classifier} if classifier else {})}
+    found = sinks.read_parts(spark, f"{root}/score_states", **values)
+    toxicity = found.where("attribute = 'toxicity'")
+    quantiles = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    by = lambda keys: states.described(states.merge_states(toxicity, keys), quantiles)
+    return {
+        "temperature": by(["model", "temperature"]),
+        "config": by(["clean_config", "model"]),
+        "language": by(["lang", "model"]),
+        "run": by(["run_id", "classifier"]),
+        "attributes": states.attribute_means(found),
+    }
+
+
 def analyse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Stage 5: all runs at once; run_id, role and classifier are group keys instead of files."""
     file_keys = ["run_id", "role", "classifier"]
-    winners = with_role(spark.read.parquet(f"{root}/scored_winners")).where(F.col("role").isNotNull())
-    options = with_role(spark.read.parquet(f"{root}/scored_combinations")).where(F.col("role").isNotNull())
+    winners = with_role(sinks.read_parts(spark, f"{root}/scored_winners")).where(F.col("role").isNotNull())
+    options = with_role(sinks.read_parts(spark, f"{root}/scored_combinations")).where(F.col("role").isNotNull())
     rates = consistency.success_rate(winners, file_keys)
     cells = consistency.winner_vs_options(options, [*file_keys, *CELL_KEYS])
     attributes = readers.run_attributes(readers.read_manifest(spark, f"{root}/manifest/*"))
     # what was scored, also where no row came of it
-    files = with_role(spark.read.parquet(f"{root}/scored_files").where("kind = 'winners'")).where(F.col("role").isNotNull())
+    files = with_role(sinks.read_parts(spark, f"{root}/scored_files", kind="winners")).where(F.col("role").isNotNull())
     compared = runs.judge_comparison(winners, attributes, files)
     mer = consistency.majority_election_rate(winners, [*file_keys, *CELL_KEYS])
     return {

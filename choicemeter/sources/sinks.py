@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
+import json
+import time
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicemeter.functions.text import run_id_from_name
 from choicemeter.names import ATTRIBUTES
+from choicemeter.operators import distribution, states
+
+# Folders below a table's that Spark's readers pass over.
+ATTEMPTS, PUBLISHED = "_attempts", "_published"
+MANIFEST = "values string, attempt string, at long"
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], file_type: str = "parquet") -> None:
@@ -29,9 +36,50 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], file_type: str =
 
 
 def write_part(df: DataFrame, path: str, **values: str) -> None:
-    """Write one partition; it is replaced even by a table without rows."""
-    folder = "/".join([path, *(f"{name}={quote(value, safe='')}" for name, value in values.items())])
-    df.hint("rebalance").write.mode("overwrite").parquet(folder)
+    """Write one partition and publish it.
+
+    Rows go to a folder of this attempt.  Only when all are there does a row of the
+    manifest name the attempt as the partition's, so a reader, and a writer that fails
+    half-way, leave the partition as it was; also a table without rows replaces it.
+    Attempts that are no longer named stay; ``unpublished`` lists them.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    df.hint("rebalance").write.parquet(f"{path}/{ATTEMPTS}/{attempt}")
+    keys = json.dumps(values, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(keys, attempt, time.time_ns())], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/{PUBLISHED}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """(values, attempt): the attempt that stands for each partition, the one published last."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/{PUBLISHED}")
+    return rows.groupBy("values").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
+def read_parts(spark: SparkSession, path: str, **values: str) -> DataFrame:
+    """The published partitions that have these values, with the partition's values as columns.
+
+    Attempts are few: one for each partition.  Their schemas are merged.
+    """
+    rows = [(json.loads(r["values"]), r.attempt) for r in published(spark, path).collect()]
+    some = [(have, attempt) for have, attempt in rows if all(have.get(k) == v for k, v in values.items())]
+    names = list(dict.fromkeys(k for have, _ in rows for k in have))
+    if not some:
+        some = [({}, attempt) for _, attempt in rows]
+    folders = [f"{path}/{ATTEMPTS}/{attempt}" for _, attempt in some]
+    attempt = F.regexp_extract("_metadata.file_path", f"/{ATTEMPTS}/([0-9a-f]+)/", 1)
+    found = F.create_map(*(F.lit(x) for have, a in some for x in (a, json.dumps(have))))
+    df = spark.read.options(mergeSchema=True).parquet(*folders).withColumn("_values", F.try_element_at(found, attempt))
+    if not some[0][0]:
+        df = df.where("false")
+    return df.withColumns({n: F.get_json_object("_values", f"$.{n}") for n in names}).drop("_values")
+
+
+def unpublished(spark: SparkSession, path: str) -> list[str]:
+    """The folders of attempts that no partition names, for the caller to remove once no reader uses them."""
+    named = {r.attempt for r in published(spark, path).collect()}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{ATTEMPTS}")
+    attempts = files.select(F.regexp_extract("path", f"/{ATTEMPTS}/([0-9a-f]+)/", 1).alias("attempt")).distinct().collect()
+    return sorted(f"{path}/{ATTEMPTS}/{r.attempt}" for r in attempts if r.attempt not in named)
 
 
 def write_responses(responses: DataFrame, root: str, run_id: str) -> None:
@@ -60,6 +108,12 @@ def write_scores(scored: DataFrame, root: str, run_id: str, kind: str, classifie
     write_part(note, f"{root}/scored_files", kind=kind, classifier=classifier, run_id=run_id)
 
 
+def write_states(scored: DataFrame, root: str, run_id: str, kind: str, classifier: str) -> None:
+    """Keep the aggregate states of one run's scores, so that analyses of all runs need not read them again."""
+    found = states.score_states(distribution.with_clean_config(scored), states.STATE_KEYS, ATTRIBUTES)
+    write_part(found, f"{root}/score_states", kind=kind, classifier=classifier, run_id=run_id)
+
+
 def write_manifest(configs: DataFrame, path: str) -> None:
     """Store run configurations: ``configs`` has run_id and ``value``, the JSON text.
 

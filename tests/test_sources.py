@@ -165,7 +165,7 @@ def test_rewriting_one_run_keeps_the_others(spark, tmp_path):
     for run in ("r1", "r2"):
         sinks.write_responses(df, str(tmp_path), run)
     sinks.write_responses(df.limit(1), str(tmp_path), "r1")
-    counts = {r.run_id: r["count"] for r in spark.read.parquet(f"{tmp_path}/raw_responses").groupBy("run_id").count().collect()}
+    counts = {r.run_id: r["count"] for r in sinks.read_parts(spark, f"{tmp_path}/raw_responses").groupBy("run_id").count().collect()}
     assert counts == {"r1": 1, "r2": 2}
 
 
@@ -173,7 +173,7 @@ def test_a_rerun_without_rejects_leaves_none(spark, tmp_path):
     for count in (2, 0):
         sinks.write_rejects(frame(spark, [(i,) for i in range(count)], "a int"), str(tmp_path), "r1", "no_id")
         sinks.write_rejects(frame(spark, [(7,)], "a int"), str(tmp_path), "r2", "no_id")
-        kept = spark.read.parquet(f"{tmp_path}/rejects_no_id").groupBy("run_id").count().collect()
+        kept = sinks.read_parts(spark, f"{tmp_path}/rejects_no_id").groupBy("run_id").count().collect()
         assert {r.run_id: r["count"] for r in kept} == ({"r1": 2, "r2": 1} if count else {"r2": 1})
 
 
@@ -222,7 +222,7 @@ def test_readers_hold_no_list_of_files(spark, tmp_path):
 def test_scores_of_different_classifiers(spark, tmp_path):
     sinks.write_scores(frame(spark, [("m", 0.5, 0.1)], "model string, toxicity double, obscene double"), str(tmp_path), "r1", "winners", "detoxify")
     sinks.write_scores(frame(spark, [("m", 0.5, 0.2)], "model string, toxicity double, profanity double"), str(tmp_path), "r1", "winners", "perspective")
-    rows = {r.classifier: r for r in spark.read.parquet(f"{tmp_path}/scored_winners").collect()}
+    rows = {r.classifier: r for r in sinks.read_parts(spark, f"{tmp_path}/scored_winners").collect()}
     assert rows["detoxify"].obscene == 0.1 and rows["detoxify"].profanity is None
     assert rows["perspective"].profanity == 0.2 and rows["perspective"].obscene is None
 
