@@ -34,7 +34,7 @@ from choicemeter.llm.prefix_tokens import byte_letters
 END = 1
 MAX_QUEUES = 1024
 PARTS = 4096
-CACHE = 250_000
+CACHE = 450_000
 
 
 # A word of Latin letters with ASCII marks behind it: the pattern cuts between the two.
