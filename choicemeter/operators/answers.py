@@ -7,12 +7,14 @@ card_text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
 from choicemeter.names import BLACK, WHITE
-from choicemeter.operators.lookup import lookup_join, unique_cards
+from choicemeter.operators.lookup import fits_broadcast, lookup_join, match_join, unique_cards
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -102,15 +104,47 @@ def most_blanks(cards: DataFrame) -> int:
     return row[0] or 0
 
 
+def by_distinct(rows: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with ``sentence``, which ``build`` adds to each distinct combination of ``keys`` once.
+
+    Rows and combinations meet by a digest of 16 bytes.
+    """
+    given = [c for k in keys for c in (F.isnull(k), F.col(k))]
+    digest = {"_made_1": F.xxhash64(*given), "_made_2": F.xxhash64(F.lit(1), *given)}
+    marked = rows.withColumns(digest)
+    built = build(marked.select(*digest, *keys).dropDuplicates([*digest]))
+    return match_join(marked, built.select(*digest, "sentence"), [*digest]).drop(*digest)
+
+
+def filled_once(plays: DataFrame, cards: DataFrame) -> DataFrame:
+    """The sentence of each row's lang, black_id and winners: one lookup of cards, whatever the number of blanks."""
+    digest = [c for c in plays.columns if c not in ("lang", "black_id", "winners")]
+    joined = lookup_join(plays, template_parts(cards).drop("head", "tail"), ["lang", "black_id"])
+    chosen = joined.select(*digest, "lang", "parts", "blanks", F.posexplode_outer("winners").alias("_pos", "white_id"))
+    named = lookup_join(chosen, white_texts(cards), ["lang", "white_id"]).groupBy(*digest).agg(
+        F.any_value("parts").alias("parts"),
+        F.any_value("blanks").alias("blanks"),
+        # no row of a place stands for an answer without cards
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "white_text")))).alias("chosen"),
+    )
+    texts = F.transform("chosen", lambda c: c["white_text"])
+    filler = lambda i: F.when(F.size("chosen") >= i, F.get(texts, i - 1)).otherwise(F.get("blanks", i - 1))
+    pieces = F.transform("parts", lambda part, i: F.concat(F.when(i == 0, F.lit("")).otherwise(filler(i)), part))
+    whole = (F.size("chosen") <= F.size("blanks")) & ~F.exists(pieces, lambda p: p.isNull())
+    return named.withColumn("sentence", F.when(whole, text.strip(F.array_join(pieces, ""))))
+
+
 def winner_sentences(good: DataFrame, cards: DataFrame, blanks: int | None = None) -> DataFrame:
     """Add the sentence that the chosen cards make, null if a card is unknown.
 
-    A good answer names as many cards as its template has blanks, so one lookup
-    per blank finds all texts.  With cards within the broadcast limit the rows
-    are not shuffled and need not be grouped back together.
+    With cards within the broadcast limit, one lookup per blank finds all texts, and
+    the rows are not shuffled.  Beyond it each distinct answer to a template is filled
+    once, with one lookup for all of its cards, and joined back.
     """
-    blanks = most_blanks(cards) if blanks is None else blanks
     whites = white_texts(cards)
+    if not fits_broadcast(good, whites):
+        return by_distinct(good, ["lang", "black_id", "winners"], lambda plays: filled_once(plays, cards)).select(*good.columns, "sentence")
+    blanks = most_blanks(cards) if blanks is None else blanks
     joined = lookup_join(good, template_parts(cards).drop("head", "tail"), ["lang", "black_id"])
     pieces = [F.get("parts", F.lit(0))]
     for i in range(blanks):
@@ -124,20 +158,32 @@ def winner_sentences(good: DataFrame, cards: DataFrame, blanks: int | None = Non
     return joined.withColumn("sentence", sentence).select(*good.columns, "sentence")
 
 
+def filled_first(offered: DataFrame, cards: DataFrame) -> DataFrame:
+    """The sentence of each row's lang, black_id and white_id: the first blank filled."""
+    templates = template_parts(cards).select("lang", "black_id", "head", "tail")
+    joined = lookup_join(lookup_join(offered, templates, ["lang", "black_id"]), white_texts(cards), ["lang", "white_id"])
+    with_tail = F.concat("head", "white_text", "tail")
+    sentence = F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head"))
+    return joined.withColumn("sentence", text.strip(sentence))
+
+
 def all_combinations(good: DataFrame, cards: DataFrame) -> DataFrame:
     """One row per offered card, with the sentence that this one card makes.
 
     ``pos`` is the place of the card in the play.  A template with several
-    blanks has only its first one filled.
+    blanks has only its first one filled.  Beyond the broadcast limit each
+    distinct pair of cards is filled once and joined back.
     """
+    kept = [c for c in good.columns if c not in ("response", "bucket")]
+    if not fits_broadcast(good, white_texts(cards)):
+        offered = good.select(*kept, F.posexplode("play").alias("pos", "white_id"))
+        return by_distinct(offered, ["lang", "black_id", "white_id"], lambda pairs: filled_first(pairs, cards)).select(*kept, "pos", "white_id", "sentence")
+    # templates are looked up before a play's cards become rows
     templates = template_parts(cards).select("lang", "black_id", "head", "tail")
-    offered = lookup_join(good, templates, ["lang", "black_id"]).select(
-        "*", F.posexplode("play").alias("pos", "white_id")
-    )
+    offered = lookup_join(good, templates, ["lang", "black_id"]).select("*", F.posexplode("play").alias("pos", "white_id"))
     joined = lookup_join(offered, white_texts(cards), ["lang", "white_id"])
     with_tail = F.concat("head", "white_text", "tail")
     sentence = F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head"))
-    kept = [c for c in good.columns if c not in ("response", "bucket")]
     return joined.select(*kept, "pos", "white_id", text.strip(sentence).alias("sentence"))
 
 

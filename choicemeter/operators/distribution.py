@@ -19,6 +19,8 @@ from choicemeter.operators.states import approximate_quantiles
 Z_95 = 1.96
 # Width of the cells in which exact quantiles count values before ranking them.
 RANK_CELL = 1.0 / 65536
+# Values beyond this share the outermost cells, so that a group has a bounded number of cells whatever its range.
+WIDEST = 16.0
 
 
 def with_clean_config(df: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def exact_quantiles(
         .where(value.isNotNull())
         .groupBy(*keys, value.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", F.floor(F.col("_v") / cell))
+        .withColumn("_cell", F.floor(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.col("_v"))) / cell))
     )
     begin = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = (

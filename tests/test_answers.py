@@ -76,6 +76,17 @@ def test_sentences(request, responses, cards, path):
     assert len(options) == 4 * 3
 
 
+def test_one_lookup_of_cards_for_any_number_of_blanks(spark, responses, cards, shuffle_joins):
+    many = cards.union(frame(spark, [("EN", "BLACK", "B5", "__ " * 9)], "lang string, color string, card_id string, card_text string"))
+    good = responses.withColumn("winners", F.array(*(F.lit(f"W00{i % 3 + 1}") for i in range(9)))).withColumn("black_id", F.lit("B5"))
+    built = answers.winner_sentences(good, many)
+    assert {r.sentence for r in built.collect()} == {("a cat the $1 dog x  " * 3).strip()}
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WHITE") <= answers.winner_sentences(responses.withColumn("winners", F.array(F.lit("W001"))), cards)._jdf.queryExecution().optimizedPlan().toString().count("WHITE")
+    none = good.withColumn("winners", F.array().cast("array<string>")).limit(1)
+    assert answers.winner_sentences(none, many).first().sentence == ("__ " * 9).strip()
+
+
 def test_result_does_not_depend_on_partitioning(responses, cards):
     few = answers.classify_answers(responses.repartition(1), cards).select("n", "bucket").collect()
     many = answers.classify_answers(responses.repartition(7), cards).select("n", "bucket").collect()
