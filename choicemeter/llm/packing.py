@@ -34,7 +34,8 @@ from choicemeter.llm.prefix_tokens import byte_letters
 END = 1
 MAX_QUEUES = 1024
 PARTS = 4096
-CACHE = 450_000
+# Words, and runs of a word and marks, whose ids are kept in a worker.
+WORDS, CHUNKS = 300_000, 150_000
 
 
 # A word of Latin letters with ASCII marks behind it: the pattern cuts between the two.
@@ -61,14 +62,14 @@ class ChunkIds(dict):
     def word(self, word: str) -> bytes:
         value = self.words.get(word)
         if value is None:
-            if len(self.words) >= CACHE:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             value = self.words[word] = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
         return value
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CHUNKS:
             self.clear()
         text = chunk.decode()
         if m := WORD.fullmatch(text):
