@@ -34,7 +34,11 @@ def plain_counts(text):
 
 
 def test_repetition_brute_force(spark):
-    docs = documents(spark).unionByName(sample(spark).selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", "1 as n", "'k' as key"))
+    run = " ".join("word" * 5 + chr(97 + i) for i in range(10))
+    plain_words = " ".join(f"{i}x" for i in range(40))
+    # few repeated words, but most of the characters; a run of five words only; a repeated line
+    heavy = [f"{run} {plain_words} {run}", f"{run[:104]} {plain_words} {run[:104]}", f"{plain_words}\n{run[:62]}\n{plain_words[:30]}\n{run[:62]}"]
+    docs = documents(spark, [*TEXTS, *heavy]).unionByName(sample(spark).selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", "1 as n", "'k' as key"))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = repetition.repetition(docs).collect()
     assert len(rows) == len(texts)
@@ -42,7 +46,10 @@ def test_repetition_brute_force(spark):
         want = plain_counts(texts[r.doc_id])
         assert {k: r[k] for k in want} == want, r.doc_id
         assert r.base_failed == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
-        assert not (r.kept and r.base_failed)
+        within = want["line_chars"] <= repetition.LINE_LIMIT * want["word_chars"]
+        within = within and all(want[f"run_{n}_chars"] <= limit * want["word_chars"] for n, limit in repetition.LIMITS.items())
+        assert r.kept == (within and not r.base_failed), r.doc_id
+    assert {r.kept for r in rows} == {True, False} and any(not r.kept and not r.base_failed for r in rows)
 
 
 @settings(max_examples=200, deadline=None)
@@ -54,6 +61,28 @@ def test_repetition_any_texts(texts):
         assert {k: found[k][i] for k in want} == want
 
 
+def plain_statistics(text):
+    """The classifier's statistics of one text, counted byte by byte."""
+    data = (text or "").encode()
+    of = lambda group: sum(b in group for b in data)
+    words, lines, n = data.split(), data.split(b"\n"), len(data)
+    solid, w = max(1, n - of(b" \t\n\r\x0b\x0c")), max(1, len(words))
+    upper, digits, lower = of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of(b"0123456789"), sum(97 <= b <= 122 or b >= 128 for b in data)
+    shares = [upper / solid, digits / solid, of(b"#*$%&<>@^~=+_\\") / solid, of(b"!?") / solid, of(b".") / w, of(b",;:") / w, of(b"|") / solid, data.count(b"\n") / w]
+    return [
+        np.log1p(n), np.log1p(len(words)), np.log1p(solid / w), *np.sqrt(shares),
+        np.sqrt(1 - len(set(lines)) / len(lines)), len(set(words)) / w * np.log1p(len(words)), np.sqrt(lower / max(1, n)),
+    ]
+
+
+def test_statistics_brute_force(spark):
+    texts = [t or "" for t in TEXTS] + [r.text or "" for r in sample(spark).limit(60).collect()] + ["A!B?c.,;:|\n\n#<>\\", "\n" * 5, "É é 12"]
+    found = quality.statistics(*utf8(pa.array(texts)))
+    assert found.shape == (len(texts), quality.N)
+    for row, text in zip(found, texts, strict=True):
+        assert np.allclose(row, plain_statistics(text), rtol=1e-12, atol=1e-12), text[:40]
+
+
 def plain_fingerprint(text):
     words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
