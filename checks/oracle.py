@@ -303,6 +303,18 @@ sql("score_histogram_model", "combos", f"""
 for key, keys in (("config_distribution", "clean_config"), ("config_model_distribution", "clean_config, model")):
     quarts = ", ".join(r6(f"quantile_cont(toxicity, {q}e0)", a) for q, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
     sql(key, "combos", f"SELECT {keys}, count(toxicity) AS n, min(toxicity) AS low, {quarts}, max(toxicity) AS high FROM combos GROUP BY {keys}")
+for key, keys in (("score_density_model", "model"), ("config_density", "clean_config"), ("config_model_density", "clean_config, model")):
+    sql(key, "combos", f"""
+  , b AS (SELECT {keys}, avg(toxicity) AS mid, count(*) AS n FROM combos WHERE toxicity IS NOT NULL GROUP BY {keys}, least(floor(toxicity * 1024), 1023)),
+  g AS (SELECT {keys}, count(toxicity) AS total, min(toxicity) AS low, max(toxicity) AS high,
+    CASE WHEN min(toxicity) < max(toxicity) THEN stddev_samp(toxicity) * pow(count(toxicity), -0.2e0) END AS h FROM combos WHERE toxicity IS NOT NULL GROUP BY {keys}),
+  p AS (SELECT *, low + (high - low) * point / 99e0 AS score FROM (
+    SELECT *, unnest(range(0, CASE WHEN h IS NULL THEN 1 ELSE 100 END)) AS point FROM g)),
+  d AS (SELECT {keys}, CAST(point AS INTEGER) AS point, score,
+    sum(n * exp(-pow((score - mid) / h, 2) / 2)) / (any_value(total) * any_value(h) * sqrt(2 * pi())) AS density
+    FROM p JOIN b USING ({keys}) GROUP BY {keys}, point, score)
+  SELECT {keys}, point, {r6('score', 'score')}, {r6('density', 'density')},
+    {r6(f'coalesce(density / max(density) OVER (PARTITION BY {keys}), 1)', 'width')} FROM d""")
 PIVOT = ", ".join(f"round(avg(toxicity) FILTER (model = 'model:{i}'), 6) + 0e0 AS \"model:{i}\"" for i in range(3))
 sql("config_model_matrix", "combos", f"SELECT clean_config, {PIVOT} FROM combos GROUP BY clean_config")
 for key, k in (("top_black_matrix", "black_id"), ("top_play_matrix", "play_key")):
@@ -326,6 +338,7 @@ CHARTS = {
     "top_black_matrix": "black_id", "top_play_matrix": "play_key", "stability": "model, temperature, play_key",
     "top_unstable": "model, temperature, play_key", "attribute_profile": "model", "language_risk": "lang, model",
     "config_model_matrix": "clean_config", "config_distribution": "clean_config", "config_model_distribution": "clean_config, model",
+    "score_density_model": "model, point", "config_density": "clean_config, point", "config_model_density": "clean_config, model, point",
     "config_histogram": "clean_config, bin", "tail_rate_config": "clean_config, model",
 }
 CONFIG_HISTOGRAM = SQL["score_histogram_model"].replace("SELECT model,", "SELECT clean_config,").replace("GROUP BY model)", "GROUP BY clean_config)").replace("USING (model)", "USING (clean_config)")
@@ -493,6 +506,7 @@ sql("phrase_containment", "phrasetexts", """SELECT count(*) AS phrases, count(*)
 sql("describe_text", "phrases", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique", arg_min(v, (-n, v)) AS top, max(n) AS freq
       FROM (SELECT {c} AS v, count(*) AS n FROM phrases GROUP BY 1)""" for c in ("black_id", "white_id", "full_phrase", "toxicity_label")))
+SQL["describe_frequent"] = f"""SELECT "column", count, true AS unique_near, top, freq, true AS settled FROM ({SQL['describe_text']})"""
 sql("audit_blank_count", "black", """SELECT CAST(min(b) AS INTEGER) AS fewest, CAST(max(b) AS INTEGER) AS most, bool_and(b = 1) AS all_single
   FROM (SELECT len(regexp_extract_all(card_text, '__+')) AS b FROM black)""")
 sql("audit_group_size", "longp", """SELECT count(*) AS groups, min(n) AS smallest, max(n) AS largest, bool_and(n = 5) AS all_equal

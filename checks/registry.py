@@ -293,6 +293,21 @@ def score_histogram_model(spark, sf):
     return shown(distribution.score_histogram(data.combos(spark, sf), ["model"]))
 
 
+@query
+def score_density_model(spark, sf):
+    return shown(distribution.score_density(data.combos(spark, sf), ["model"]))
+
+
+@query
+def config_density(spark, sf):
+    return shown(distribution.score_density(distribution.with_clean_config(data.combos(spark, sf)), ["clean_config"]))
+
+
+@query
+def config_model_density(spark, sf):
+    return shown(distribution.score_density(distribution.with_clean_config(data.combos(spark, sf)), ["clean_config", "model"]))
+
+
 @query
 def config_distribution(spark, sf):
     return shown(distribution.config_distribution(data.combos(spark, sf)))
@@ -338,7 +353,7 @@ def run_report(spark, sf):
     """Every figure of every chart table of one report, by chart, key and name."""
     found = []
     for chart, table in report.run_report(data.combos(spark, sf), models=data.MODELS).items():
-        keys = [c for c, kind in table.dtypes if kind == "string" or c in ("temperature", "bin")]
+        keys = [c for c, kind in table.dtypes if kind == "string" or c in ("temperature", "bin", "point")]
         figures = [F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in table.columns if c not in keys]
         wide = table.select(F.concat_ws("|", *keys).alias("key"), *figures)
         names = [F.col(f"`{c}`") for c in wide.columns[1:]]
@@ -853,6 +868,17 @@ def describe_text(spark, sf):
     return audit.describe_text(phrases(spark, sf), ["black_id", "white_id", "full_phrase", "toxicity_label"])
 
 
+@query
+def describe_frequent(spark, sf):
+    """The same from sketches, and whether the number of distinct values is within four deviations."""
+    columns = ["black_id", "white_id", "full_phrase", "toxicity_label"]
+    rows = phrases(spark, sf)
+    found = audit.describe_frequent(rows, columns)
+    exact = audit.describe_text(rows, columns).select("column", F.col("unique").alias("exact"))
+    near = F.abs(F.col("unique") - F.col("exact")) <= 4 * audit.UNIQUE_ERROR * F.col("exact")
+    return found.join(exact, "column").select("column", "count", near.alias("unique_near"), "top", "freq", "settled")
+
+
 @query
 def audit_blank_count(spark, sf):
     return audit.audit_blank_count(data.black(spark, sf))

@@ -13,26 +13,88 @@ from choicemeter.functions.stats import chi_square_p
 ALPHA = 0.05
 NO_PATTERN = 0.05
 ID_BLOCK = 65536
+# Characters of a text that are shuffled with its digest.
+HEAD = 32
+# Values a column that are counted exactly, counters of a column, and the deviation of the number of distinct values.
+CANDIDATES = 1000
+BUCKETS = 65536
+UNIQUE_ERROR = 0.01
+
+
+def filled_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): every filled cell of ``columns`` as text."""
+    cells = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], list(columns), "column", "value")
+    return cells.where(F.col("value").isNotNull())
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: filled values, distinct values, the most frequent one and its count.
 
-    Of equally frequent values the smallest is shown.
+    Of equally frequent values the smallest is shown.  Values are counted by their MD5
+    digest, and only the beginnings of texts are shuffled with it.  The smallest of the most frequent
+    values has the smallest beginning, so whole texts are looked at again only where a
+    value begins like that and is as frequent.
     """
-    counted = (
-        df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-        .unpivot([], list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = filled_values(df, columns)
+    digest = F.unhex(F.md5("value")).alias("_digest")
+    counted = cells.groupBy("column", digest).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, HEAD)).alias("_head")
     )
-    return counted.groupBy("column").agg(
+    described = counted.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"),
         F.max("n").alias("freq"),
+        F.min(F.struct(-F.col("n"), "_head")).alias("_first"),
+    )
+    # One row per column.
+    like = F.broadcast(described.select("column", F.col("_first._head").alias("_head"), "freq"))
+    tied = counted.withColumnRenamed("n", "freq").join(like, ["column", "_head", "freq"], "left_semi")
+    starts = cells.join(like.drop("freq"), "column").where(F.col("value").startswith(F.col("_head")))
+    top = (
+        starts.select("column", "value", digest)
+        .join(tied.select("column", "_digest"), ["column", "_digest"], "left_semi")
+        .groupBy("column")
+        .agg(F.min("value").alias("top"))
+    )
+    return described.join(F.broadcast(top), "column").select("column", "count", "unique", "top", "freq")
+
+
+def describe_frequent(
+    df: DataFrame, columns: Sequence[str], candidates: int = CANDIDATES, buckets: int = BUCKETS, error: float = UNIQUE_ERROR
+) -> DataFrame:
+    """``describe_text`` from sketches: nothing is shuffled that grows with the number of distinct values.
+
+    Columns: column, count, unique (HyperLogLog++, relative deviation ``error``), top, freq,
+    others (no other value occurs more often than that) and settled.  A sketch of frequent items
+    names up to ``candidates`` values a column (each with over 1 / ``candidates`` of the cells
+    is among them), which are then counted exactly.  Every value
+    also adds to one of ``buckets`` counters by its hash, and what a counter holds beyond the
+    candidates in it bounds every value that is none.  ``settled``: all of these bounds are
+    below ``freq``, so top and freq are those of ``describe_text``.  Otherwise the column has
+    no value that stands out, and top is the best candidate, or null.
+
+    ``df`` is read three times; a task shuffles ``buckets`` counters a column at most.
+    """
+    cells = filled_values(df, columns).withColumn("_hash", F.xxhash64("value"))
+    bucket = F.pmod("_hash", F.lit(buckets)).alias("_bucket")
+    frequent = F.expr(f"approx_top_k(_hash, {int(candidates)}, {10 * int(candidates)})")
+    whole = cells.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.approx_count_distinct("_hash", error).alias("unique"),
+        F.transform(frequent, lambda x: x["item"]).alias("_likely"),
     )
+    # At most ``candidates`` hashes a column.
+    likely = F.broadcast(whole.select("column", F.explode("_likely").alias("_hash")))
+    counted = cells.join(likely, ["column", "_hash"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"), F.max("n").alias("freq"))
+    ranked = counted.withColumn("_hash", F.xxhash64("value"))
+    taken = ranked.groupBy("column", bucket).agg(F.sum("n").alias("_taken"))
+    held = cells.groupBy("column", bucket).agg(F.count(F.lit(1)).alias("_held"))
+    beyond = F.col("_held") - F.coalesce("_taken", F.lit(0))
+    rest = held.join(taken, ["column", "_bucket"], "left").groupBy("column").agg(F.max(beyond).alias("others"))
+    joined = whole.drop("_likely").join(F.broadcast(best), "column", "left").join(F.broadcast(rest), "column")
+    settled = F.coalesce(F.col("others") < F.col("freq"), F.lit(False))
+    return joined.withColumn("settled", settled)
 
 
 def audit_blank_count(black_cards: DataFrame) -> DataFrame:

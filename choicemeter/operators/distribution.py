@@ -6,6 +6,7 @@ as missing.  Rows with a null group key are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -263,6 +264,58 @@ def score_histogram(df: DataFrame, keys: Sequence[str], bins: int = 20, score: s
     )
 
 
+def score_density(
+    df: DataFrame, keys: Sequence[str], points: int = 100, bins: int = 1024, score: str = "toxicity"
+) -> DataFrame:
+    """Curve of a violin: Gaussian kernel density at ``points`` places between a group's lowest and highest score.
+
+    Columns: the keys, point (from 0), score, density, and width, the density as a share of
+    the group's highest.  The bandwidth is the sample deviation times n ** -0.2.  Scores are clipped to
+    [0, 1].  Values are counted in ``bins`` equal bins, each of which stands at the mean of
+    its values, so the curve is exact where a bin has one value, and else off by the
+    kernel's second derivative over half a bin.  A group is one array of bins, whatever its
+    number of rows.  A group without spread (one score, or equal ones) has one point of
+    width 1 and no density.
+    """
+    if points < 2 or bins < 1:
+        raise ValueError("a curve needs two points and a bin")
+    keys = list(keys)
+    value = scores.clip_score(score)
+    place = F.least(F.floor(value * bins), F.lit(bins - 1))
+    binned = (
+        known_keys(df, keys)
+        .where(value.isNotNull())
+        .groupBy(*keys, place.alias("_bin"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg(value).alias("at"),
+            (F.var_pop(value) * F.count(F.lit(1))).alias("m2"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+        )
+    )
+    group = binned.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("at", "n", "m2"))).alias("_bins"),
+        F.sum("n").alias("_n"),
+        (F.sum(F.col("at") * F.col("n")) / F.sum("n")).alias("_mean"),
+        F.min("low").alias("_low"),
+        F.max("high").alias("_high"),
+    )
+    apart = F.aggregate("_bins", F.lit(0.0), lambda t, b: t + b["m2"] + b["n"] * F.pow(b["at"] - F.col("_mean"), F.lit(2)))
+    spread = F.when((F.col("_n") > 1) & (F.col("_low") < F.col("_high")), F.sqrt(apart / (F.col("_n") - 1)))
+    wide = group.withColumn("_h", spread * F.pow(F.col("_n"), F.lit(-0.2)))
+    last = F.when(F.col("_h").isNull(), 0).otherwise(points - 1)
+    x = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("point") / (points - 1)
+    kernels = F.aggregate("_bins", F.lit(0.0), lambda t, b: t + b["n"] * F.exp(F.pow((F.col("score") - b["at"]) / F.col("_h"), F.lit(2)) / -2))
+    curve = (
+        wide.withColumn("point", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("score", x)
+        .select(*keys, "point", "score", (kernels / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
+    )
+    highest = F.max("density").over(Window.partitionBy(*keys))
+    return curve.withColumn("width", F.coalesce(F.col("density") / highest, F.lit(1.0)))
+
+
 def grouped_moments(df: DataFrame, score: str = "toxicity", threshold: float = scores.TAIL_THRESHOLD) -> DataFrame:
     """Mean, count, deviation and tail rate for several groupings in one scan.
 

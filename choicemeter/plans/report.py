@@ -19,6 +19,7 @@ def run_report(scored: DataFrame, models: Sequence[str] | None = None, top_k: in
     return {
         "toxicity_by_temperature": d.toxicity_by_temperature(scored),
         "score_histogram_model": d.score_histogram(scored, ["model"]),
+        "score_density_model": d.score_density(scored, ["model"]),
         "tail_rate_temperature": d.tail_rate(scored, ["model", "temperature"]),
         "top_black_matrix": d.top_black_matrix(scored, top_k, models),
         "top_play_matrix": d.top_play_matrix(scored, top_k, models),
@@ -30,5 +31,7 @@ def run_report(scored: DataFrame, models: Sequence[str] | None = None, top_k: in
         "config_distribution": d.config_distribution(scored),
         "config_model_distribution": d.config_distribution(scored, by_model=True),
         "config_histogram": d.score_histogram(d.with_clean_config(scored), ["clean_config"]),
+        "config_density": d.score_density(d.with_clean_config(scored), ["clean_config"]),
+        "config_model_density": d.score_density(d.with_clean_config(scored), ["clean_config", "model"]),
         "tail_rate_config": d.tail_rate_by_config(scored),
     }

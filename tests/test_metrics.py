@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -165,3 +168,44 @@ def test_judge_comparison_labels_and_empty_files(spark):
     attributes = frame(spark, [("r1", True, "kind"), ("r4", True, "kind"), ("r3", True, None)], "run_id string, readable boolean, judge_description string")
     got = {r.judge_description: (r.run_number, round(r.mean_toxicity, 6)) for r in runs.judge_comparison(df, attributes, files).collect()}
     assert got == {"kind": (2, 0.15), "ERROR: Description not found": (1, 0.9), "JUDGE_DESCRIPTION_MISSING": (1, 0.5)}
+
+
+def plain_density(values, points):
+    """The curve over the values themselves."""
+    values = np.array(values)
+    if len(values) < 2 or values.min() == values.max():
+        return [(values[0], None, 1.0)]
+    h = values.std(ddof=1) * len(values) ** -0.2
+    at = np.linspace(values.min(), values.max(), points)
+    density = np.exp(-(((at[:, None] - values) / h) ** 2) / 2).sum(1) / (len(values) * h * math.sqrt(2 * math.pi))
+    return list(zip(at, density, density / density.max()))
+
+
+def test_density_curves(spark):
+    rng = random.Random(5)
+    groups = {
+        "steps": [rng.randint(0, 5) / 5 for _ in range(400)],
+        "wide": [rng.random() for _ in range(3000)],
+        "low": [min(1.0, rng.expovariate(8)) for _ in range(2000)],
+        "two": [0.25, 0.75],
+        "one": [0.4],
+        "equal": [0.6] * 9,
+    }
+    rows = [(k, repr(v)) for k, values in groups.items() for v in values]
+    rows += [("steps", None), ("steps", "nan"), ("steps", "x"), ("none", None), (None, "0.5")]
+    rng.shuffle(rows)
+    df = frame(spark, rows, "model string, toxicity string")
+    found = {}
+    for r in distribution.score_density(df, ["model"], points=50).orderBy("model", "point").collect():
+        found.setdefault(r.model, []).append((r.score, r.density, r.width))
+    assert set(found) == set(groups)
+    for k, values in groups.items():
+        want = plain_density(values, 50)
+        exact = k in ("steps", "two", "one", "equal")  # a bin has one value
+        for got, expected in zip(found[k], want, strict=True):
+            assert got == pytest.approx(expected, rel=1e-9 if exact else 2e-3) if expected[1] is not None else got == expected
+    two = distribution.score_density(frame(spark, [("a", "-3"), ("a", "7"), ("a", "0.5")], "model string, toxicity string"), ["model"], points=2).collect()
+    assert sorted((r.point, r.score) for r in two) == [(0, 0.0), (1, 1.0)]
+    assert distribution.score_density(df.where("false"), ["model"]).count() == 0
+    with pytest.raises(ValueError):
+        distribution.score_density(df, ["model"], points=1)

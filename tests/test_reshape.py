@@ -1,3 +1,9 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 from choicemeter.operators import audit, reshape
 from tests.frames import frame
 
@@ -45,6 +51,74 @@ def test_description_breaks_ties_by_value(spark):
     assert got == {"k": (4, 2, "a", 2), "v": (3, 3, "x", 1)}
 
 
+def plain_description(values):
+    counts = Counter(v for v in values if v is not None)
+    top = min(counts, key=lambda v: (-counts[v], v.encode()))
+    return sum(counts.values()), len(counts), top, counts[top]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_descriptions_brute_force(spark, seed):
+    rng = random.Random(seed)
+    head = "é" * audit.HEAD  # values that only differ behind the shuffled beginning
+    texts = [head + "b", head + "a", head, head[1:] + "a", "", "Z", "z", "\U0001f600", "\ufffd", None]
+    rows = [(rng.choice(texts), str(rng.randint(0, 10**6)) if seed % 2 else "same", None) for _ in range(300)]
+    df = frame(spark, rows, "a string, b string, c string")
+    want = {name: plain_description([r[i] for r in rows]) for i, name in enumerate("ab")}
+    got = {r.column: (r["count"], r.unique, r.top, r.freq) for r in audit.describe_text(df, ["a", "b", "c"]).collect()}
+    assert got == want  # a column without values has no row
+    found = {r.column: r for r in audit.describe_frequent(df, ["a", "b", "c"]).collect()}
+    assert set(found) == {"a", "b"}
+    for name, r in found.items():
+        if r.settled:
+            assert (r["count"], r.top, r.freq) == (want[name][0], *want[name][2:])
+        assert abs(r.unique - want[name][1]) <= 0.05 * want[name][1]
+    assert found["a"].settled
+    assert audit.describe_text(df.where("false"), ["a"]).count() == audit.describe_frequent(df.where("false"), ["a"]).count() == 0
+
+
+def test_frequent_values_among_many(spark):
+    n = 60_000
+    unique = F.concat(F.lit("text "), F.col("id")).alias("unique")
+    hot = F.when(F.col("id") % 500 == 0, "hot").when(F.col("id") % 500 == 1, "warm").otherwise(F.col("id").cast("string")).alias("hot")
+    pairs = F.when(F.col("id") < 4, F.lit("twice")).otherwise(F.floor(F.col("id") / 3).cast("string")).alias("pairs")
+    df = spark.range(n).select(unique, hot, pairs)
+    exact = {r.column: r for r in audit.describe_text(df, df.columns).collect()}
+    found = {r.column: r for r in audit.describe_frequent(df, df.columns, buckets=4096).collect()}
+    assert found["hot"].settled and (found["hot"].top, found["hot"].freq) == ("hot", n // 500)
+    for name, r in found.items():
+        assert r["count"] == exact[name]["count"] == n
+        assert abs(r.unique - exact[name].unique) < 4 * audit.UNIQUE_ERROR * exact[name].unique
+        assert max(r.others, r.freq or 0) >= exact[name].freq  # none can be missed
+    # nothing stands out: not settled rather than guessed
+    assert not found["unique"].settled and not found["pairs"].settled
+    assert (exact["unique"].top, exact["unique"].freq) == ("text 0", 1)
+
+
+def test_descriptions_shuffle_no_texts(spark):
+    df = spark.range(2000).select(F.repeat(F.col("id").cast("string"), 500).alias("v"))
+    for found in (audit.describe_text(df, ["v"]), audit.describe_frequent(df, ["v"])):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        written = [int(x) for x in shuffled_bytes(plan)]
+        assert sum(written) < 2000 * 500  # a text has 2,000 characters or so
+
+
+def shuffled_bytes(plan):
+    """Bytes that each exchange of a plan that has run wrote."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        yield from shuffled_bytes(plan.executedPlan())
+        return
+    if plan.getClass().getSimpleName() in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+        yield from shuffled_bytes(plan.plan())
+        return
+    if plan.getClass().getSimpleName() == "ShuffleExchangeExec":
+        yield plan.metrics().apply("shuffleBytesWritten").value()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from shuffled_bytes(children.apply(i))
+
+
 def test_audits(spark):
     cards = frame(spark, [("B1", "a __"), ("B2", "b __ __")], "card_id string, card_text string")
     assert tuple(audit.audit_blank_count(cards).first()) == (1, 2, False)
