@@ -16,6 +16,7 @@ from choicemeter.functions import scores, text
 from choicemeter.names import ATTRIBUTES
 from choicemeter.operators.consistency import known_keys
 from choicemeter.operators.states import approximate_quantiles
+from choicemeter.session import written
 
 Z_95 = 1.96
 # Width of the cells in which exact quantiles count values before ranking them.
@@ -83,10 +84,17 @@ def config_model_stats(df: DataFrame, score: str = "toxicity", min_n: int = 1) -
 
 
 def spread_models(means: DataFrame, row_key: str, models: Sequence[str] | None = None) -> DataFrame:
-    """One row per key and one column per model, from one mean per key and model."""
-    pivoted = means.groupBy(row_key)
-    pivoted = pivoted.pivot("model", list(models)) if models else pivoted.pivot("model")
-    return pivoted.agg(F.first("mean"))
+    """One row per key and one column per model, from one mean per key and model.
+
+    Columns must be known beforehand: without ``models``, the means are written, so that
+    the rows behind them are aggregated once, and the models are read from there.
+    """
+    if models is None:
+        means = written(means, "means")
+        models = [r.model for r in means.where("model is not null").select("model").distinct().orderBy("model").collect()]
+    if not models:
+        return means.select(row_key).distinct()
+    return means.groupBy(row_key).pivot("model", list(models)).agg(F.first("mean"))
 
 
 def config_model_matrix(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
-from choicemeter.operators.lookup import lookup_join, match_join
+from choicemeter.operators.lookup import fits_broadcast, lookup_join, match_join
 
 
 def option_columns(df: DataFrame, prefix: str = "white_id_") -> list[str]:
@@ -96,10 +96,15 @@ def resolve_texts(df: DataFrame, cards: DataFrame, columns: dict[str, str]) -> D
     """Replace text columns by the ids of the cards with the same normalized text.
 
     ``columns`` maps each text column to the name of its id column; an unknown
-    text gives null.  Each column is looked up on its own, so with cards within
-    the broadcast limit the rows are never shuffled or regrouped.
+    text gives null, and of cards with the same text the smallest id counts, so rows
+    never multiply.  With cards within the broadcast limit each column is looked up on its
+    own and the rows are not shuffled.  Beyond it each distinct combination of texts is
+    looked up once, all of its columns by one join, and joined back by a digest.
     """
-    known = cards.select(F.col("card_id").alias("_card_id"), text.normalize_text("card_text").alias("_norm"))
+    norms = cards.select(F.col("card_id").alias("_card_id"), text.normalize_text("card_text").alias("_norm"))
+    known = norms.where("_norm is not null").groupBy("_norm").agg(F.min("_card_id").alias("_card_id"))
+    if len(columns) > 1 and not fits_broadcast(df, norms):
+        return resolved_together(df, known, columns)
     for column, id_column in columns.items():
         df = (
             lookup_join(df.withColumn("_norm", text.normalize_text(column)), known, ["_norm"])
@@ -107,3 +112,19 @@ def resolve_texts(df: DataFrame, cards: DataFrame, columns: dict[str, str]) -> D
             .drop("_norm", column)
         )
     return df
+
+
+def resolved_together(df: DataFrame, known: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``resolve_texts`` with one lookup for all columns of each distinct combination of texts."""
+    marks = ["_made_1", "_made_2"]
+    texts = F.array(*(text.normalize_text(c) for c in columns))
+    marked = df.withColumn("_norms", texts).withColumns({"_made_1": F.xxhash64("_norms"), "_made_2": F.xxhash64(F.lit(1), "_norms")})
+    # Nulls add nothing to a hash; their places do.
+    nulls = F.transform("_norms", lambda t: t.isNull())
+    marked = marked.withColumns({m: F.xxhash64(m, nulls) for m in marks})
+    cells = marked.select(*marks, "_norms").dropDuplicates(marks).select(*marks, F.posexplode("_norms").alias("_pos", "_norm"))
+    found = lookup_join(cells.where(F.col("_norm").isNotNull()), known, ["_norm"], "inner")
+    ids = found.groupBy(*marks).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_card_id"))).alias("_ids"))
+    joined = match_join(marked, ids, marks)
+    named = [F.col("_ids")[F.lit(i)].alias(id_column) for i, id_column in enumerate(columns.values())]
+    return joined.select(*(c for c in df.columns if c not in columns), *named)

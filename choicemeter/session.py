@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only what the operators rely on: adaptive plans split skewed join partitions
 # and size shuffle partitions from measured bytes, so the partition count below
@@ -45,3 +45,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{label}-")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the scratch folder, so that what is read several times is computed once."""
+    path = f"{scratch_dir(df.sparkSession, label)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

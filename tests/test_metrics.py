@@ -127,6 +127,15 @@ def test_top_matrix_drops_keys_without_scores(spark):
     assert got == {"B1": 0.5, "B2": 0.9}
 
 
+def test_matrix_finds_its_models(spark):
+    rows = [("b1", "m2", "0.5"), ("b1", "m1", "0.25"), ("b2", "m2", "1"), ("b2", None, "0"), (None, "m3", "1")]
+    df = frame(spark, rows, "black_id string, model string, toxicity string")
+    found = distribution.top_black_matrix(df)
+    assert found.columns == ["black_id", "m1", "m2"]
+    assert sorted(tuple(r) for r in found.collect()) == [("b1", 0.25, 0.5), ("b2", None, 1.0)]
+    assert distribution.top_black_matrix(df.where("false")).columns == ["black_id"]
+
+
 def test_unstable_puts_missing_deviation_last(spark):
     df = frame(spark, [("a", 0.1), ("a", 0.2), ("b", 0.5)], "black_id string, toxicity double").withColumns(
         {"model": F.lit("m"), "temperature": F.lit(0.2), "winners": F.array(F.lit("W1"))}

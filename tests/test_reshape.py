@@ -35,6 +35,22 @@ def test_resolution_of_texts(spark):
     assert got == {0: ("W1", "W2"), 1: (None, None)}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_texts_of_several_columns(spark, request, broadcast):
+    if not broadcast:
+        request.getfixturevalue("shuffle_joins")
+    rng = random.Random(3)
+    cards = frame(spark, [("W3", "cat"), ("W1", "A  Cat."), ("W2", "a cat"), ("W4", "dog__house"), ("W5", None)], "card_id string, card_text string")
+    ids = {"cat": "W3", " a cat;": "W1", "Dog house": "W4", "bird": None, None: None, "": None}
+    rows = [(i, *(rng.choice(list(ids)) for _ in range(3))) for i in range(400)] * 2
+    df = frame(spark, rows, "i int, w1 string, w2 string, w3 string")
+    found = reshape.resolve_texts(df, cards, {f"w{k}": f"id{k}" for k in (1, 2, 3)})
+    assert found.columns == ["i", "id1", "id2", "id3"]
+    assert Counter(tuple(r) for r in found.collect()) == Counter((r[0], *(ids[t] for t in r[1:])) for r in rows)
+    assert reshape.resolve_texts(df, cards.where("false"), {"w1": "a", "w2": "b"}).where("a is not null or b is not null").count() == 0
+    assert reshape.resolve_texts(df.where("false"), cards, {"w1": "a", "w2": "b"}).count() == 0
+
+
 def test_phrase_without_text_is_a_violation(spark):
     phrases = frame(spark, [("B1", "W1", "I like CATS!"), ("B1", "W9", "x"), ("B1", "W1", "no")], "black_id string, white_id string, full_phrase string")
     whites = frame(spark, [("W1", "Cats.")], "card_id string, card_text string")

@@ -1,5 +1,10 @@
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from choicemeter.operators import scoring, sweep
@@ -103,6 +108,37 @@ def test_trained_scorer_separates_labels(spark):
     assert BinaryClassificationEvaluator(rawPredictionCol="toxicity", labelCol="toxic").evaluate(held_out) > 0.6
 
 
+def test_trained_scorer_equals_a_fit_outside_spark(spark):
+    """Newton steps on the penalized likelihood of the same features give the same probabilities."""
+    rng = random.Random(11)
+    vocabulary = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts, labels = [], []
+    for _ in range(400):
+        words = rng.sample(vocabulary, rng.randint(1, 12))
+        labels.append(float(rng.random() < (0.85 if any(w in vocabulary[:12] for w in words) else 0.2)))
+        texts.append(rng.choice(["", "7, "]) + "! ".join(w.title() for w in words))
+    df = frame(spark, [(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))], "i int, text string, toxic double")
+    model = scoring.train_scorer(df.where("i < 300"), features=64)
+    found = [r.toxicity for r in scoring.trained_scores(model, df).orderBy("i").collect()]
+
+    place = {w: HashingTF(numFeatures=64, inputCol="a", outputCol="b").indexOf(w) for w in vocabulary}
+    x = np.zeros((400, 64))
+    for row, t in zip(x, texts):
+        row[[place[w] for w in re.findall("[a-z]+", t.lower())]] = 1
+    fit, y = x[:300], np.array(labels[:300])
+    x = x * np.log(301 / (fit.sum(0) + 1))
+    spread = x[:300].std(0, ddof=1)
+    x = np.c_[x[:, spread > 0] / spread[spread > 0], np.ones(400)]
+    penalty = np.diag([0.01] * (x.shape[1] - 1) + [0.0])
+    weights = np.zeros(x.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-x[:300] @ weights))
+        slope = x[:300].T @ (p - y) / 300 + penalty @ weights
+        curve = (x[:300].T * (p * (1 - p))) @ x[:300] / 300 + penalty
+        weights -= np.linalg.solve(curve, slope)
+    assert np.abs(1 / (1 + np.exp(-x @ weights)) - np.array(found)).max() < 0.01
+
+
 CARDS = [("EN", "BLACK", "B1", "a __"), ("IT", "BLACK", "B1", "b __"), ("EN", "WHITE", "W1", "x"), ("EN", "WHITE", "W2", "y"), ("IT", "WHITE", "W1", "z")]
 GAMES = [("g", "EN", 0, "B1", ["W2", "W1"]), ("g", "EN", 1, "B1", ["W1", None]), ("g", "EN", 2, "B9", ["W1", "W2"]), ("g", "IT", 0, "B1", ["W1"]), ("g", "EN", 3, "B1", ["W1", "W1"])]
 
