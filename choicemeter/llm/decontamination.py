@@ -66,16 +66,18 @@ def fingerprints(df: DataFrame, short: list[int], every: bool) -> Column:
 
 
 def at_every_place(size: int) -> Column:
-    """The hash of ``size`` words at each of their places."""
+    """The hash of ``size`` words at each of their places.  Single elements are asked for: a slice copies all of the text's array."""
+    some = lambda i: F.array(*(F.get("hashes", i + j) for j in range(size)))
     return F.transform(
         span(0, F.col("n") - size),
-        lambda i: F.struct(i.alias("pos"), F.lit(size).alias("len"), F.xxhash64(F.slice("hashes", i + 1, F.lit(size))).alias("fp")),
+        lambda i: F.struct(i.alias("pos"), F.lit(size).alias("len"), F.xxhash64(some(i)).alias("fp")),
     )
 
 
 def windows(starts: Column) -> Column:
-    """(start, len, key) of the windows of ``words`` at (start, len)."""
-    return F.transform(starts, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice("words", s["start"] + 1, s["len"]), " ").alias("key")))
+    """(start, len, key) of the windows of ``words`` at (start, len), WINDOW words at most."""
+    some = lambda s: F.array(*(F.when(s["len"] > j, F.get("words", s["start"] + j)) for j in range(WINDOW)))
+    return F.transform(starts, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(some(s), " ").alias("key")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -117,7 +119,9 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     some = some.join(hits, same).select(some.doc_id, some.digest, words(some.text).alias("words"), "hits")
     # A change of the least hash at pos stands for the windows from pos to the next mark, SPAN - 1 further at most.
     reach = lambda h: F.when(h["len"] < WINDOW, F.array(h["pos"])).otherwise(span(h["pos"], F.least(h["pos"] + SPAN - 1, F.size("words") - WINDOW)))
-    candidates = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(reach(h), lambda i: F.struct(i.alias("start"), h["len"].alias("len"))))))
+    # Numbers, 16 * start + len, are told apart by a hash set; structs would be compared each with each.
+    coded = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(reach(h), lambda i: i.cast("long") * 16 + h["len"]))))
+    candidates = F.transform(coded, lambda c: F.struct(F.shiftright(c, 4).cast("int").alias("start"), c.bitwiseAND(15).cast("int").alias("len")))
     exact = some.select("doc_id", "digest", F.explode(windows(candidates)).alias("w")).select("doc_id", "digest", "w.start", "w.len", "w.key").join(spans, "key")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
     result = exact.groupBy("doc_id", "digest").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
