@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemeter.functions import text
@@ -13,6 +13,8 @@ from choicemeter.functions.stats import chi_square_p
 ALPHA = 0.05
 NO_PATTERN = 0.05
 ID_BLOCK = 65536
+# Tasks that fill up the ids nobody was assigned, at least.
+FILL_TASKS = 200
 # Characters of a text that are shuffled with its digest.
 HEAD = 32
 # Values a column that are counted exactly, counters of a column, and the deviation of the number of distinct values.
@@ -126,28 +128,44 @@ def cards_used(cards: DataFrame, rows: DataFrame) -> DataFrame:
     return cards.join(ids, "card_id", "left_semi")
 
 
-def id_range(sets: DataFrame, id_count: Column | int) -> DataFrame:
-    """Every row of ``sets`` with every ``white_num`` from 1 to ``id_count``.
-
-    Unfolded in two steps of bounded arrays: blocks of ids, then ids.
-    """
-    last = id_count if isinstance(id_count, Column) else F.lit(id_count)
+def id_blocks(sets: DataFrame, id_count: Column | int) -> DataFrame:
+    """Every row of ``sets`` with ``_block`` and the block's first id and the one behind its last, for ids from 1 to ``id_count``."""
+    last = (id_count if isinstance(id_count, Column) else F.lit(id_count)).cast("bigint")
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / ID_BLOCK))
     start = F.col("_block") * ID_BLOCK + 1
-    ids = F.sequence(start, F.least(start + ID_BLOCK - 1, last.cast("bigint")))
-    return sets.withColumn("_block", F.explode(blocks)).withColumn("white_num", F.explode(ids)).drop("_block")
+    dealt = sets.where(last >= 1).withColumn("_block", F.explode(blocks))
+    return dealt.withColumns({"white_num": start, "_end": F.least(start + ID_BLOCK, last + 1)})
 
 
-def frequency_zero_filled(assignments: DataFrame, id_count: Column | int, by: str = "config") -> DataFrame:
+def frequency_zero_filled(assignments: DataFrame, id_count: Column | int, by: str = "config", tasks: int | None = None) -> DataFrame:
     """Per set: how often each id from 1 to ``id_count`` was assigned, 0 included.
 
-    ``assignments`` has ``by`` and white_num.
+    ``assignments`` has ``by`` and white_num, a whole number.  The result has a row per set and id,
+    whatever was assigned, so only the assigned ids and the first of each block are shuffled, to
+    ``tasks`` tasks (``FILL_TASKS`` at least, or the session's number), block by block.  Each of
+    these ids is then unfolded up to the next one of its block.
     """
     counts = (
         assignments.dropna(subset=[by, "white_num"]).groupBy(by, "white_num").agg(F.count(F.lit(1)).alias("n"))
     )
-    frame = id_range(counts.select(by).distinct(), id_count)
-    return frame.join(counts, [by, "white_num"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # A condition on the count, as otherwise the sets would be an aggregate of their own over the rows.
+    sets = counts.groupBy(by).agg(F.max("n").alias("_most")).where("_most > 0").select(by)
+    firsts = id_blocks(sets, id_count)
+    block = F.floor((F.col("white_num") - 1) / ID_BLOCK)
+    used = counts.withColumn("white_num", F.col("white_num").cast("bigint"))
+    marks = firsts.select(by, "_block", "white_num", F.lit(0).cast("bigint").alias("n"), "_end").unionByName(
+        used.select(by, block.alias("_block"), "white_num", "n", F.lit(None).cast("bigint").alias("_end"))
+    )
+    # The number is given, as the rows behind the shuffle are not in proportion to its bytes.
+    tasks = tasks or max(FILL_TASKS, int(assignments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = marks.repartition(tasks, by, "_block").groupBy(by, "_block", "white_num").agg(F.sum("n").alias("n"), F.max("_end").alias("_end"))
+    of_block = Window.partitionBy(by, "_block")
+    # Ids beyond the range lie in blocks without an end, or behind it.
+    inside = dealt.withColumn("_end", F.max("_end").over(of_block)).where(F.col("white_num") < F.col("_end"))
+    behind = F.lead("white_num").over(of_block.orderBy("white_num"))
+    spans = inside.withColumn("_next", F.coalesce(behind, F.col("_end")))
+    ids = F.posexplode(F.sequence("white_num", F.col("_next") - 1)).alias("_pos", "_id")
+    return spans.select(by, "n", ids).select(by, F.col("_id").alias("white_num"), F.when(F.col("_pos") == 0, F.col("n")).otherwise(F.lit(0)).alias("n"))
 
 
 def chi_square_uniform(assignments: DataFrame, id_count: Column | int, by: str = "config") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -163,6 +164,29 @@ def test_zero_filled_range_crosses_blocks(spark):
     assert frequencies.count() == 70_001 and frequencies.agg(F.sum("n"), F.max("white_num")).first()[:] == (2, 70_001)
 
 
+def test_zero_filled_equals_plain_counts(spark):
+    rng = random.Random(3)
+    last = 131_073  # two whole blocks and one id
+    rows = [(s, n) for s in ("a", "b") for n in [1, 1, 65_536, 65_537, 65_537, last, 0, -5, last + 1, 10**7] + [rng.randint(1, last) for _ in range(50)]]
+    rows += [("c", last + 3), ("d", None), (None, 4)]
+    frequencies = audit.frequency_zero_filled(frame(spark, rows, "config string, white_num long"), F.lit(last), tasks=3)
+    assert frequencies.dtypes == [("config", "string"), ("white_num", "bigint"), ("n", "bigint")]
+    counts = {(r.config, r.white_num): r.n for r in frequencies.where("n > 0").collect()}
+    want = {k: n for k, n in Counter(rows).items() if k[0] in ("a", "b") and 1 <= k[1] <= last}
+    assert counts == want
+    whole = frequencies.groupBy("config").agg(F.count("white_num"), F.count_distinct("white_num"), F.min("white_num"), F.max("white_num"), F.sum("n"))
+    assert {tuple(r) for r in whole.collect()} == {(s, last, last, 1, last, sum(n for k, n in want.items() if k[0] == s)) for s in "abc"}
+
+
+def test_zero_filled_ids_are_not_shuffled(spark):
+    df = frame(spark, [("s", 1), ("t", 70_000)], "config string, white_num long")
+    frequencies = audit.frequency_zero_filled(df, 200_000)
+    plan = frequencies._jdf.queryExecution().executedPlan().toString().split("Generate posexplode(sequence(white_num")
+    assert len(plan) == 2 and "Exchange" not in plan[0]
+    # two sets with four blocks each
+    assert frequencies.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_constant_ids_have_no_correlation(spark):
     df = frame(spark, [("s", 1, 1), ("s", 1, 2)], "config string, black_num long, white_num long")
     assert audit.id_correlation(df).first().correlation is None
