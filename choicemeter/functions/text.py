@@ -119,8 +119,7 @@ def id_number(card_id: Column | str) -> Column:
 
 def run_id_from_name(name: Column | str) -> Column:
     """The run id inside a file name or path; null if there is none."""
-    found = F.regexp_extract(_col(name), RUN_ID_PATTERN, 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(_col(name), RUN_ID_PATTERN, 0), F.lit(""))
 
 
 def run_id(prompt_type: Column | str, started: Column | str) -> Column:
