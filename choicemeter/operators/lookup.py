@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 # Tasks that share the rows of one key, at least.
 SALTS = 32
+# Estimated bytes that the copies of a lookup table for these tasks may have; a larger table is not copied.
+COPY_BYTES = 32 << 20
 
 
 def _broadcast_limit(df: DataFrame) -> int:
@@ -40,10 +44,18 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     """Join rows to a lookup table (cards and the like) on equal keys.
 
     Within the session's broadcast limit ``left`` is not shuffled.  Beyond it
-    both sides are, with every key dealt to several tasks.  Neither way reads
+    both sides are, with every key dealt to several tasks: ``SALTS``, or as many as
+    copies of ``right`` stay within ``COPY_BYTES``.  Keys of a larger table have one task each, where
+    Spark's adaptive plan splits a large partition of ``left``.  Neither way reads
     ``left`` more than once, so lookups can follow one another.
     """
-    return left.join(right, on, how) if fits_broadcast(left, right) else salted_join(left, right, on, how)
+    return left.join(right, on, how) if fits_broadcast(left, right) else salted_join(left, right, on, how, copies_of(right))
+
+
+def copies_of(right: DataFrame) -> int:
+    """The tasks to which a key's rows are dealt, each with its copy of ``right``."""
+    size = estimated_bytes(right)
+    return SALTS if size is None else max(1, min(SALTS, COPY_BYTES // max(1, size)))
 
 
 def match_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -62,10 +74,15 @@ def _deal(on: list[str], salts: Column | int) -> Column:
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Shuffle join (inner or left): each key's rows go to ``salts`` tasks, each with its copy of ``right``."""
+    """Shuffle join (inner or left): each key's rows go to ``salts`` tasks, each with its copy of ``right``.
+
+    Rows with a null key match nothing and are dealt to ``SALTS`` tasks at least.
+    """
     _check_how(how)
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", _deal(on, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
+    unmatched = reduce(Column.__or__, (F.col(k).isNull() for k in on))
+    salt = F.when(unmatched, _deal(on, max(salts, SALTS))).otherwise(_deal(on, salts))
+    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _check_how(how: str) -> None:

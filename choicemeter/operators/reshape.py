@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from choicemeter.functions import text
 from choicemeter.operators.lookup import fits_broadcast, lookup_join, match_join
+from choicemeter.session import written
 
 
 def option_columns(df: DataFrame, prefix: str = "white_id_") -> list[str]:
@@ -117,14 +118,16 @@ def resolve_texts(df: DataFrame, cards: DataFrame, columns: dict[str, str]) -> D
 def resolved_together(df: DataFrame, known: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``resolve_texts`` with one lookup for all columns of each distinct combination of texts."""
     marks = ["_made_1", "_made_2"]
+    others = [c for c in df.columns if c not in columns]
     texts = F.array(*(text.normalize_text(c) for c in columns))
     marked = df.withColumn("_norms", texts).withColumns({"_made_1": F.xxhash64("_norms"), "_made_2": F.xxhash64(F.lit(1), "_norms")})
     # Nulls add nothing to a hash; their places do.
     nulls = F.transform("_norms", lambda t: t.isNull())
-    marked = marked.withColumns({m: F.xxhash64(m, nulls) for m in marks})
+    # Read for its keys, its texts and its rows: written, so that what makes the rows is done once.
+    marked = written(marked.withColumns({m: F.xxhash64(m, nulls) for m in marks}).select(*others, *marks, "_norms"), "texts")
     cells = marked.select(*marks, "_norms").dropDuplicates(marks).select(*marks, F.posexplode("_norms").alias("_pos", "_norm"))
     found = lookup_join(cells.where(F.col("_norm").isNotNull()), known, ["_norm"], "inner")
     ids = found.groupBy(*marks).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_card_id"))).alias("_ids"))
-    joined = match_join(marked, ids, marks)
+    joined = match_join(marked.drop("_norms"), ids, marks)
     named = [F.col("_ids")[F.lit(i)].alias(id_column) for i, id_column in enumerate(columns.values())]
-    return joined.select(*(c for c in df.columns if c not in columns), *named)
+    return joined.select(*others, *named)

@@ -73,6 +73,17 @@ def test_lookup_join_takes_the_path_that_the_size_allows(spark, skewed):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_large_lookups_are_not_copied(skewed, shuffle_joins, monkeypatch):
+    left, right = skewed
+    expected = rows(left.join(right, "k", "left").select("k", "v", "w"))
+    for limit, copies in ((lookup.COPY_BYTES, lookup.SALTS), (3 * lookup.estimated_bytes(right), 3), (1, 1)):
+        monkeypatch.setattr(lookup, "COPY_BYTES", limit)
+        joined = lookup.lookup_join(left, right, ["k"])
+        assert lookup.copies_of(right) == copies
+        assert f"sequence(0, {copies - 1}" in joined._jdf.queryExecution().analyzed().toString()
+        assert rows(joined.select("k", "v", "w")) == expected
+
+
 def test_doubled_card_ids_are_set_aside(spark):
     cards = frame(
         spark,

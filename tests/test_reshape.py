@@ -142,3 +142,19 @@ def test_audits(spark):
     assert tuple(audit.audit_group_size(rows).first()) == (1, 5, 5, True)
     whites = frame(spark, [("W1", "a"), ("W2", "b"), ("W3", "c")], "card_id string, card_text string")
     assert sorted(r.card_id for r in audit.cards_used(whites, rows).collect()) == ["W1", "W2"]
+
+
+def test_texts_are_made_once(spark, shuffle_joins):
+    """What makes the rows is worked out once, however often the lookup reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = frame(spark, [(1, "A b.", "c"), (2, "c", None), (3, "x", "a  B")], "n int, t1 string, t2 string").mapInArrow(count, "n int, t1 string, t2 string")
+    cards = frame(spark, [("W2", "a b"), ("W1", "A  b;"), ("W3", "C")], "card_id string, card_text string")
+    got = {tuple(r) for r in reshape.resolve_texts(rows, cards, {"t1": "id1", "t2": "id2"}).collect()}
+    assert got == {(1, "W1", "W3"), (2, "W3", None), (3, None, "W1")}
+    assert seen.value == 3
