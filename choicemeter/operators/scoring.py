@@ -9,7 +9,9 @@ import types
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -73,23 +75,27 @@ def model_scorer(
 ) -> Scorer:
     """Scorer around a model: ``load()`` is called once per worker process and returns ``predict(texts)``.
 
-    ``labels`` are the names that ``predict`` returns; it sees ``batch_size`` texts at a time.
+    ``labels`` are the names that ``predict`` returns; it sees ``batch_size`` texts at a time, and
+    only these are Python strings.  Columns pass through as they came, in slices of as many rows.
     """
     held = f"choicemeter-model-{uuid.uuid4().hex}"
 
     def score(texts: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # kept where tasks of the same process find it, outside the function that travels with each
             models = sys.modules.setdefault("_choicemeter_models", types.ModuleType("_choicemeter_models")).__dict__
             if held not in models:
                 models[held] = load()
-            for frame in batches:
-                texts = frame["input"].tolist()
-                parts = [dict(models[held](texts[i : i + batch_size])) for i in range(0, len(texts), batch_size)]
-                yield frame.assign(**{label: [v for part in parts for v in part[label]] for label in labels})
+            for batch in batches:
+                for i in range(0, batch.num_rows, batch_size):
+                    some = batch.slice(i, batch_size)
+                    found = dict(models[held](some.column("input").to_pylist()))
+                    # NaN is a missing score
+                    scored = [pa.array(np.asarray(found[label], dtype="float64"), from_pandas=True) for label in labels]
+                    yield pa.RecordBatch.from_arrays([*some.columns, *scored], [*some.schema.names, *labels])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
-        raw = texts.mapInPandas(run, fields + "".join(f", `{label}` double" for label in labels))
+        raw = texts.mapInArrow(run, fields + "".join(f", `{label}` double" for label in labels))
         return raw.withColumnsRenamed({k: v for k, v in aliases.items() if k in labels})
 
     return score

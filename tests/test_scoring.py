@@ -80,6 +80,26 @@ def test_model_is_loaded_per_task_and_fed_in_batches(spark):
     assert {r.sexually_explicit for r in rows} == {-1.0}
 
 
+def test_model_scorer_hands_back_slices(spark):
+    """Missing scores are null, other columns come back as they were, and what a worker hands back is a batch of the model's size."""
+    sizes = []
+
+    def load():
+        def predict(texts):
+            sizes.append(len(texts))
+            return {"toxicity": [len(sizes), float("nan"), None][: len(texts)] + [0.5] * (len(texts) - 3)}
+
+        return predict
+
+    df = spark.range(150).select(F.col("id").cast("string").alias("input"), F.date_from_unix_date(F.col("id").cast("int")).alias("day")).coalesce(1)
+    scored = scoring.model_scorer(load, ["toxicity"])(df)
+    assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
+    got = {int(r.input): (r.day.toordinal(), r.toxicity) for r in scored.collect()}
+    epoch = 719163
+    want = {i: (epoch + i, {0: i // 64 + 1, 1: None, 2: None}.get(i % 64, 0.5)) for i in range(150)}
+    assert got == want
+
+
 def test_missing_text_column(spark):
     with pytest.raises(ValueError, match="sentence"):
         scoring.add_scores(spark.range(1), "sentence", scoring.lexicon_scorer(), ["toxicity"])
