@@ -149,18 +149,21 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_scores(options: DataFrame) -> DataFrame:
     """Made-up scores from ids and settings, some of them missing (NaN)."""
-    w, b = text.id_number("white_id"), text.id_number("black_id")
-    setting = F.col("iteration") * 373 + text.id_number("model") * 131 + F.round(F.col("temperature") * 10).cast("bigint") * 57
+    # columns of their own, so that each number is looked for once a row
+    numbered = options.withColumns({f"_{c}": text.id_number(c) for c in ("white_id", "black_id", "model")})
+    w, b = F.col("_white_id"), F.col("_black_id")
+    setting = F.col("iteration") * 373 + F.col("_model") * 131 + F.round(F.col("temperature") * 10).cast("bigint") * 57
     gap = w + b + F.col("iteration")
     toxicity = (w * 7919 + b * 104729 + setting + 17) % 1001 / F.lit(1000.0)
     severe = (w * 6101 + b * 3571 + setting + 5) % 1001 / F.lit(1000.0)
-    return options.withColumns(
+    scored = numbered.withColumns(
         {
             "toxicity": F.when(gap % 29 == 0, F.lit(float("nan"))).otherwise(toxicity),
             "severe_toxicity": F.when(gap % 31 == 0, F.lit(float("nan"))).otherwise(severe),
             "obscene": (w * 31 + b * 17) % 101 / F.lit(100.0),
         }
     )
+    return scored.drop("_white_id", "_black_id", "_model")
 
 
 def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
