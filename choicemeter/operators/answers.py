@@ -7,14 +7,15 @@ card_text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from choicemeter.functions import text
 from choicemeter.names import BLACK, WHITE
-from choicemeter.operators.lookup import fits_broadcast, lookup_join, match_join, unique_cards
+from choicemeter.operators.lookup import fits_broadcast, lookup_join, match_join, small_join, unique_cards
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -72,7 +73,7 @@ def classify_answers(responses: DataFrame, cards: DataFrame, id_pattern: str = t
     bucket = (
         F.when(named == 0, "no_id").when(named == F.col("_blanks"), "good").otherwise("mismatch")
     )
-    return lookup_join(ids, blanks, ["lang", "black_id"]).withColumn("bucket", bucket).drop("_blanks")
+    return small_join(ids, blanks, ["lang", "black_id"]).withColumn("bucket", bucket).drop("_blanks")
 
 
 def split_answers(
@@ -104,22 +105,24 @@ def most_blanks(cards: DataFrame) -> int:
     return row[0] or 0
 
 
-def by_distinct(rows: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``rows`` with ``sentence``, which ``build`` adds to each distinct combination of ``keys`` once.
+def by_distinct(rows: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame], added: Sequence[str] = ("sentence",)) -> DataFrame:
+    """``rows`` with the columns ``added``, which ``build`` adds to each distinct combination of ``keys`` once.
 
     Rows and combinations meet by a digest of 16 bytes.
     """
     given = [c for k in keys for c in (F.isnull(k), F.col(k))]
+    # Nulls in a list add nothing to a hash; their places do.
+    given += [F.transform(k, F.isnull) for k in keys if isinstance(rows.schema[k].dataType, T.ArrayType)]
     digest = {"_made_1": F.xxhash64(*given), "_made_2": F.xxhash64(F.lit(1), *given)}
     marked = rows.withColumns(digest)
     built = build(marked.select(*digest, *keys).dropDuplicates([*digest]))
-    return match_join(marked, built.select(*digest, "sentence"), [*digest]).drop(*digest)
+    return match_join(marked, built.select(*digest, *added), [*digest]).drop(*digest)
 
 
 def filled_once(plays: DataFrame, cards: DataFrame) -> DataFrame:
     """The sentence of each row's lang, black_id and winners: one lookup of cards, whatever the number of blanks."""
     digest = [c for c in plays.columns if c not in ("lang", "black_id", "winners")]
-    joined = lookup_join(plays, template_parts(cards).drop("head", "tail"), ["lang", "black_id"])
+    joined = small_join(plays, template_parts(cards).drop("head", "tail"), ["lang", "black_id"])
     chosen = joined.select(*digest, "lang", "parts", "blanks", F.posexplode_outer("winners").alias("_pos", "white_id"))
     named = lookup_join(chosen, white_texts(cards), ["lang", "white_id"]).groupBy(*digest).agg(
         F.any_value("parts").alias("parts"),
@@ -158,33 +161,46 @@ def winner_sentences(good: DataFrame, cards: DataFrame, blanks: int | None = Non
     return joined.withColumn("sentence", sentence).select(*good.columns, "sentence")
 
 
-def filled_first(offered: DataFrame, cards: DataFrame) -> DataFrame:
-    """The sentence of each row's lang, black_id and white_id: the first blank filled."""
+def offered_texts(plays: DataFrame, cards: DataFrame) -> DataFrame:
+    """The template of each row's lang, black_id and play, cut at its first blank, and the texts of the play's cards in order."""
+    digest = [c for c in plays.columns if c not in ("lang", "black_id", "play")]
+    offered = plays.select(*digest, "lang", "black_id", F.posexplode("play").alias("pos", "white_id"))
+    found = lookup_join(offered, white_texts(cards), ["lang", "white_id"]).groupBy(*digest).agg(
+        F.any_value("lang").alias("lang"),
+        F.any_value("black_id").alias("black_id"),
+        F.array_sort(F.collect_list(F.struct("pos", "white_text"))).alias("white_texts"),
+    )
     templates = template_parts(cards).select("lang", "black_id", "head", "tail")
-    joined = lookup_join(lookup_join(offered, templates, ["lang", "black_id"]), white_texts(cards), ["lang", "white_id"])
+    texts = F.transform("white_texts", lambda c: c["white_text"])
+    return small_join(found.withColumn("white_texts", texts), templates, ["lang", "black_id"])
+
+
+def first_filled() -> Column:
+    """The sentence that ``white_text`` makes in the first blank between ``head`` and ``tail``."""
     with_tail = F.concat("head", "white_text", "tail")
-    sentence = F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head"))
-    return joined.withColumn("sentence", text.strip(sentence))
+    return text.strip(F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head")))
 
 
 def all_combinations(good: DataFrame, cards: DataFrame) -> DataFrame:
     """One row per offered card, with the sentence that this one card makes.
 
     ``pos`` is the place of the card in the play.  A template with several
-    blanks has only its first one filled.  Beyond the broadcast limit each
-    distinct pair of cards is filled once and joined back.
+    blanks has only its first one filled.  Beyond the broadcast limit the texts of each
+    distinct play are looked up once and joined to its answers; sentences are made, and a
+    play's cards become rows, behind the last shuffle.
     """
     kept = [c for c in good.columns if c not in ("response", "bucket")]
     if not fits_broadcast(good, white_texts(cards)):
-        offered = good.select(*kept, F.posexplode("play").alias("pos", "white_id"))
-        return by_distinct(offered, ["lang", "black_id", "white_id"], lambda pairs: filled_first(pairs, cards)).select(*kept, "pos", "white_id", "sentence")
+        rows, found = good.select(*kept), ["head", "tail", "white_texts"]
+        joined = by_distinct(rows, ["lang", "black_id", "play"], lambda plays: offered_texts(plays, cards), found)
+        offered = joined.select(*kept, *found, F.posexplode("play").alias("pos", "white_id"))
+        filled = offered.withColumn("white_text", F.get("white_texts", F.col("pos")))
+        return filled.select(*kept, "pos", "white_id", first_filled().alias("sentence"))
     # templates are looked up before a play's cards become rows
     templates = template_parts(cards).select("lang", "black_id", "head", "tail")
     offered = lookup_join(good, templates, ["lang", "black_id"]).select("*", F.posexplode("play").alias("pos", "white_id"))
     joined = lookup_join(offered, white_texts(cards), ["lang", "white_id"])
-    with_tail = F.concat("head", "white_text", "tail")
-    sentence = F.when(F.col("tail").isNotNull(), with_tail).when(F.col("white_text").isNotNull(), F.col("head"))
-    return joined.select(*kept, "pos", "white_id", text.strip(sentence).alias("sentence"))
+    return joined.select(*kept, "pos", "white_id", first_filled().alias("sentence"))
 
 
 def with_sentence_reason(sentences: DataFrame) -> DataFrame:

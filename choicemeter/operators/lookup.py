@@ -40,6 +40,23 @@ def fits_broadcast(left: DataFrame, right: DataFrame) -> bool:
     return size is not None and size <= _broadcast_limit(left)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows, about: one row of an aggregate."""
+    row = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0)) + 16 * len(df.columns)
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``lookup_join`` to a table that Spark takes for larger than it is, such as one colour of all cards.
+
+    Where the estimate is beyond the broadcast limit, the table is measured; within the
+    limit it is sent to every task, and ``left`` is not shuffled.
+    """
+    if not fits_broadcast(left, right) and 0 < _broadcast_limit(left) and measured_bytes(right) <= _broadcast_limit(left):
+        return left.join(F.broadcast(right), on, how)
+    return lookup_join(left, right, on, how)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join rows to a lookup table (cards and the like) on equal keys.
 

@@ -41,10 +41,12 @@ def write_part(df: DataFrame, path: str, **values: str) -> None:
     Rows go to a folder of this attempt.  Only when all are there does a row of the
     manifest name the attempt as the partition's, so a reader, and a writer that fails
     half-way, leave the partition as it was; also a table without rows replaces it.
-    Attempts that are no longer named stay; ``unpublished`` lists them.
+    Attempts that are no longer named stay; ``unpublished`` lists them.  A task's rows are
+    written as they come, without a shuffle of whole rows: equal texts that a join has
+    brought together stay together.
     """
     spark, attempt = df.sparkSession, uuid.uuid4().hex
-    df.hint("rebalance").write.parquet(f"{path}/{ATTEMPTS}/{attempt}")
+    df.write.parquet(f"{path}/{ATTEMPTS}/{attempt}")
     keys = json.dumps(values, sort_keys=True, ensure_ascii=False)
     spark.createDataFrame([(keys, attempt, time.time_ns())], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/{PUBLISHED}")
 
@@ -87,8 +89,12 @@ def write_responses(responses: DataFrame, root: str, run_id: str) -> None:
 
 
 def write_rejects(rejects: DataFrame, root: str, run_id: str, reason: str) -> None:
-    """Keep rejected rows by run; the table is named after the reason, which is a column, too."""
-    write_part(rejects.withColumn("reason", F.lit(reason)) if "reason" not in rejects.columns else rejects, f"{root}/rejects_{reason}", run_id=run_id)
+    """Keep rejected rows by run; the table is named after the reason, which is a column, too.
+
+    The few rows of many tasks are put into few files.
+    """
+    named = rejects.withColumn("reason", F.lit(reason)) if "reason" not in rejects.columns else rejects
+    write_part(named.hint("rebalance"), f"{root}/rejects_{reason}", run_id=run_id)
 
 
 def write_sentences(sentences: DataFrame, root: str, run_id: str, kind: str) -> None:

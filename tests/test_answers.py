@@ -97,3 +97,65 @@ def test_no_python_in_the_plan(responses, cards):
     plan = answers.all_combinations(answers.split_answers(responses, cards)[0], cards)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
+def test_combinations_of_odd_plays(spark, request, cards, path):
+    if path == "shuffle":
+        request.getfixturevalue("shuffle_joins")
+    plays = [["W001", None, "W002"], ["W001", "W002"], ["W001", "W002", None], ["W002", "W001", "W001"], ["W9"], [None], [], None]
+    rows = [(n, lang, black, play) for n, (lang, black, play) in enumerate([(g, b, p) for g in ("EN", None) for b in ("B1", "B2", "B3", "B4", None) for p in plays] * 2)]
+    good = frame(spark, rows, "n int, lang string, black_id string, play array<string>")
+    white, filled = {"W001": "a cat", "W002": "the $1 dog"}, {"B1": "i like {}.", "B2": "{} and ____!", "B3": "no blank"}
+
+    def sentence(lang, black, card):
+        return filled[black].format(white[card]) if lang and black in filled and card in white else None
+
+    want = [(n, pos, card, sentence(lang, black, card)) for n, lang, black, play in rows for pos, card in enumerate(play or [])]
+    found = answers.all_combinations(good, cards)
+    assert found.columns == [*good.columns, "pos", "white_id", "sentence"]
+    key = lambda r: (r[0], r[1])
+    assert sorted(((r.n, r.pos, r.white_id, r.sentence) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_answers_are_not_shuffled_for_few_templates_among_many_cards(spark, responses):
+    black = F.col("id") < 3
+    many = spark.range(20_000).select(
+        F.lit("EN").alias("lang"), F.when(black, "BLACK").otherwise("WHITE").alias("color"),
+        F.concat(F.when(black, "B").otherwise("W"), F.col("id")).alias("card_id"), F.when(black, "I like ____.").otherwise("cat").alias("card_text"),
+    )
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10k")
+    try:
+        found = answers.classify_answers(responses, many)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.n: r.bucket for r in found.collect()}[1] == "good"
+        spark.conf.set(key, "-1")
+        assert "BroadcastHashJoin" not in answers.classify_answers(responses, many)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_plays_become_rows_behind_the_last_shuffle(spark, cards, shuffle_joins):
+    good = spark.range(2000).select("id", F.lit("EN").alias("lang"), F.lit("B1").alias("black_id"), F.array(*(F.lit(f"W00{i}") for i in range(5))).alias("play"))
+    found = answers.all_combinations(good, cards)
+    assert len(found.collect()) == 10_000
+    assert sum(shuffled_rows(found._jdf.queryExecution().executedPlan())) < 4000
+
+
+def shuffled_rows(plan):
+    """Rows that each exchange of a plan that has run wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from shuffled_rows(plan.executedPlan())
+        return
+    if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+        yield from shuffled_rows(plan.plan())
+        return
+    if name == "ShuffleExchangeExec":
+        yield plan.metrics().apply("shuffleRecordsWritten").value()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from shuffled_rows(children.apply(i))

@@ -104,3 +104,10 @@ def test_a_failed_write_leaves_the_published_rows(spark, tmp_path):
     assert [r.b for r in sinks.read_parts(spark, path, run_id="r1").collect() if "b" in r] == []
     gone = sinks.unpublished(spark, path)
     assert len(gone) >= 2 and f"{path}/{sinks.ATTEMPTS}/0123456789abcdef" in gone
+
+
+def test_a_part_is_written_as_its_tasks_have_it(spark, tmp_path):
+    """No shuffle of whole rows before a write: each task's rows stay together, in their order."""
+    sinks.write_part(spark.range(0, 4000, 1, 4), f"{tmp_path}/t", run_id="r1")
+    rows = sinks.read_parts(spark, f"{tmp_path}/t")
+    assert len(rows.inputFiles()) == 4 and rows.count() == 4000
