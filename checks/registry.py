@@ -16,7 +16,7 @@ import choicemeter
 from checks import dataset as data
 from choicemeter.functions import scores, text
 from choicemeter.operators import answers, audit, consistency, distribution, reshape, runs, scoring, states, sweep, validation
-from choicemeter.operators.lookup import lookup_join
+from choicemeter.operators.lookup import lookup_columns, lookup_join
 from choicemeter.plans import report
 from choicemeter.session import scratch_dir
 from choicemeter.sources import readers, sinks
@@ -799,12 +799,9 @@ def long_to_games_sets(spark, sf):
 
 def app_plays(spark, sf):
     """Plays as exported by an app: texts, some players without an answer."""
-    rows = data.wide_games(spark, sf)
-    whites = data.white(spark, sf)
+    texts = data.white(spark, sf).select("card_id", F.concat(F.lit("  "), F.upper("card_text"), F.lit(" ")).alias("white"))
+    rows = lookup_columns(data.wide_games(spark, sf), texts, "card_id", "white", {f"white_id_{i}": f"white_{i}" for i in range(1, 6)})
     rows = lookup_join(rows, data.black(spark, sf).select(F.col("card_id").alias("black_id"), F.concat(F.lit(" "), "card_text", F.lit(" ;")).alias("black")), ["black_id"])
-    for i in range(1, 6):
-        texts = whites.select(F.col("card_id").alias(f"white_id_{i}"), F.concat(F.lit("  "), F.upper("card_text"), F.lit(" ")).alias(f"white_{i}"))
-        rows = lookup_join(rows, texts, [f"white_id_{i}"])
     return rows.select("config", "lang", "play_no", "black", *(f"white_{i}" for i in range(1, 6)))
 
 

@@ -69,6 +69,25 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return left.join(right, on, how) if fits_broadcast(left, right) else salted_join(left, right, on, how, copies_of(right))
 
 
+def lookup_columns(df: DataFrame, right: DataFrame, key: str, value: str, columns: dict[str, str]) -> DataFrame:
+    """Look several key columns up in one table by one join; ``columns`` maps each to the name of its value column.
+
+    The result is that of one left ``lookup_join`` a column, also where rows or keys repeat,
+    but a task holds the table once and not once a column: a row's keys become rows and
+    come together again by all of its columns.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    cells = counted.select("*", F.posexplode(F.array(*columns)).alias("_pos", "_key"))
+    values = right.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    found = lookup_join(cells, values, ["_key"]).groupBy(*counted.columns).agg(F.collect_list(F.struct("_pos", "_value")).alias("_found"))
+    def values_at(pos: int) -> Column:
+        return F.transform(F.filter("_found", lambda c: c["_pos"] == pos), lambda c: c["_value"])
+
+    for i, name in enumerate(columns.values()):
+        found = found.withColumn(name, F.explode(values_at(i)))
+    return found.withColumn("_rows", F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("_rows", "_found")
+
+
 def copies_of(right: DataFrame) -> int:
     """The tasks to which a key's rows are dealt, each with its copy of ``right``."""
     size = estimated_bytes(right)

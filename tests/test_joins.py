@@ -92,3 +92,35 @@ def test_doubled_card_ids_are_set_aside(spark):
     usable, doubled = lookup.unique_cards(cards)
     assert [r.card_id for r in usable.collect()] == ["W1"]
     assert [(r.card_id, r.copies) for r in doubled.collect()] == [("W2", 2)]
+
+
+@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
+def test_several_columns_are_looked_up_by_one_join(spark, request, path):
+    """As one left join a column, with repeated rows, repeated keys, nulls and unknown keys."""
+    if path == "shuffle":
+        request.getfixturevalue("shuffle_joins")
+    keys = ["a", "b", "c", None, "x"]
+    some = [(i % 3 or None, keys[i % 5], keys[i // 5 % 5], keys[i // 25]) for i in range(125)]
+    left = frame(spark, some + some[:40] * 2, "n int, k1 string, k2 string, k3 string")
+    right = frame(spark, [("a", "A"), ("b", "B"), ("b", "B"), ("c", None), ("c", "C"), (None, "N")], "id string, text string")
+    want = left
+    for i in (1, 2, 3):
+        want = want.join(right.select(F.col("id").alias(f"k{i}"), F.col("text").alias(f"t{i}")), f"k{i}", "left")
+    found = lookup.lookup_columns(left, right, "id", "text", {f"k{i}": f"t{i}" for i in (1, 2, 3)})
+    assert found.columns == ["n", "k1", "k2", "k3", "t1", "t2", "t3"]
+    assert rows(found) == rows(want.select(found.columns))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+
+
+@pytest.mark.parametrize("name", ["compact_columns", "resolve_black_ids"])
+def test_plays_of_an_app_hold_the_option_texts_once(spark, tmp_path, name):
+    """One join with the options for all five columns: a task holds their texts once."""
+    from checks import registry
+
+    spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).select(F.col("id").alias("p_partkey"), F.lit("ring").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6).select(F.col("id").alias("item_id"), F.lit("one two three four").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = registry.app_plays(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # options, templates
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() > 0
